@@ -13,7 +13,15 @@ from tillroll.functions.columns import (
     quoted,
 )
 from tillroll.functions.frames import fill_nulls, lookup, null_tokens, rename, with_columns
-from tillroll.functions.nested import get_item, has_key, parse_items, prefix_length, repair_json, valid_prefix
+from tillroll.functions.nested import (
+    explode_items,
+    get_item,
+    has_key,
+    parse_items,
+    prefix_length,
+    repair_json,
+    valid_prefix,
+)
 
 __all__ = [
     "coerce_timestamp",
@@ -22,6 +30,7 @@ __all__ = [
     "default_if_empty",
     "display_name",
     "drop_chars",
+    "explode_items",
     "fill_nulls",
     "get_item",
     "has_key",

@@ -52,11 +52,25 @@ def item_money(item: Column, key: str) -> Column:
 
 
 def prefix_length(items: Column, is_good: Callable[[Column], Column]) -> Column:
-    """Number of elements before the first one that is not good."""
-    first_bad = F.array_position(F.transform(items, is_good), False).cast("int")
-    return F.when(first_bad == 0, F.size(items)).otherwise(first_bad - 1)
+    """Number of elements before the first one that is not good; 0 for NULL.
+
+    Never NULL, so that a comparison with it implies no filter on the array.
+    """
+    flags = F.concat(F.transform(items, is_good), F.array(F.lit(False)))
+    return F.coalesce(F.array_position(flags, False).cast("int") - 1, F.lit(0))
 
 
 def valid_prefix(items: Column, is_good: Callable[[Column], Column]) -> Column:
     """The elements before the first one that is not good."""
     return F.slice(items, F.lit(1), prefix_length(items, is_good))
+
+
+def explode_items(items: Column, outer: bool = False) -> Column:
+    """Position and element per row; no row for NULL and for an empty array.
+
+    ``outer`` gives one row with NULL position for those. The condition keeps
+    Spark from inferring a filter on the array, which would be pushed down and
+    parse the text again for each of its tests.
+    """
+    held = F.when(F.size(items) > 0, items)
+    return (F.posexplode_outer(held) if outer else F.posexplode(held)).alias("pos", "item")

@@ -6,17 +6,22 @@ sortable column that gives the source order (see ``read_export``).
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import coerce_timestamp, parse_int, parse_money
 from tillroll.functions.frames import fill_nulls
 from tillroll.functions.nested import (
+    explode_items,
     get_item,
     has_key,
     item_money,
     parse_items,
     prefix_length,
+    valid_prefix,
 )
 from tillroll.operators.dedupe import distinct_rows, keep_first
 from tillroll.operators.joins import semi_join
@@ -69,34 +74,50 @@ def build_orders(raw: DataFrame) -> DataFrame:
 
 
 def _item_fields(item: Column, raw_text: bool) -> Column:
-    """The element's fields, and whether each pass accepts it.
-
-    The items pass needs id, quantity and price to parse. The products pass
-    needs id and price to parse and the name and category keys to exist.
-    """
-    product_id = get_item(item, "product_id", "bigint")
-    quantity = get_item(item, "quantity", "bigint")
-    price = item_money(item, "price")
     fields = [
-        product_id.alias("product_id"),
-        quantity.alias("quantity"),
-        price.alias("price"),
+        get_item(item, "product_id", "bigint").alias("product_id"),
+        get_item(item, "quantity", "bigint").alias("quantity"),
+        item_money(item, "price").alias("price"),
         get_item(item, "product_name").alias("product_name"),
         get_item(item, "category").alias("category"),
-        (product_id.isNotNull() & quantity.isNotNull() & price.isNotNull()).alias("item_ok"),
-        (
-            product_id.isNotNull()
-            & price.isNotNull()
-            & has_key(item, "product_name")
-            & has_key(item, "category")
-        ).alias("product_ok"),
+        (has_key(item, "product_name") & has_key(item, "category")).alias("named"),
     ]
     if raw_text:
         fields.append(item.cast("string").alias("element"))
     return F.struct(*fields)
 
 
-def parse_export(raw: DataFrame, raw_text: bool = False, wrapped_only: bool = False) -> DataFrame:
+def item_ok(e: Column) -> Column:
+    """The items pass needs id, quantity and price to parse."""
+    return e["product_id"].isNotNull() & e["quantity"].isNotNull() & e["price"].isNotNull()
+
+
+def product_ok(e: Column) -> Column:
+    """The products pass needs id and price to parse, and name and category to exist."""
+    return e["product_id"].isNotNull() & e["price"].isNotNull() & e["named"]
+
+
+def _parsed(raw: DataFrame, raw_text: bool, wrapped_only: bool) -> DataFrame:
+    """The export's rows with their parsed elements and both prefix lengths.
+
+    The prefixes are taken before the explode, so the array is not carried
+    along with each of its elements.
+    """
+    parsed = parse_items("products", wrapped_only)
+    items = F.col("_items")
+    return raw.select(
+        parse_int("order_id").alias("order_id"),
+        "seq",
+        "products",
+        F.transform(parsed, lambda i: _item_fields(i, raw_text)).alias("_items"),
+    ).select(
+        "*",
+        prefix_length(items, item_ok).alias("item_prefix"),
+        prefix_length(items, product_ok).alias("product_prefix"),
+    )
+
+
+def parse_export(raw: DataFrame, wrapped_only: bool = False) -> DataFrame:
     """One row per element of every parsable line-item text, parsed once.
 
     ``item_prefix`` and ``product_prefix`` count the elements before the first
@@ -104,25 +125,18 @@ def parse_export(raw: DataFrame, raw_text: bool = False, wrapped_only: bool = Fa
     and loses it and the rest. Rows whose text is no JSON array vanish here
     (see ``rejects``).
     """
+    place = ("order_id", "seq", "item_prefix", "product_prefix")
+    item = F.col("item")
     return (
-        raw.select(
-            parse_int("order_id").alias("order_id"),
-            "seq",
-            parse_items("products", wrapped_only).alias("_items"),
-        )
+        _parsed(raw, False, wrapped_only)
+        .select(*place, explode_items(F.col("_items")))
         .select(
-            "order_id",
-            "seq",
-            F.transform("_items", lambda i: _item_fields(i, raw_text)).alias("_items"),
+            *place,
+            "pos",
+            "item.*",
+            item_ok(item).alias("item_ok"),
+            product_ok(item).alias("product_ok"),
         )
-        .select(
-            "order_id",
-            "seq",
-            prefix_length(F.col("_items"), lambda i: i.item_ok).alias("item_prefix"),
-            prefix_length(F.col("_items"), lambda i: i.product_ok).alias("product_prefix"),
-            F.posexplode("_items").alias("pos", "item"),
-        )
-        .select("order_id", "seq", "pos", "item_prefix", "product_prefix", "item.*")
     )
 
 
@@ -158,33 +172,37 @@ def build_products(raw: DataFrame, each: bool = False) -> DataFrame:
     return products_from_elements(parse_export(raw), each)
 
 
-def rejects(raw: DataFrame, target: str = "items") -> DataFrame:
+def rejects(raw: DataFrame, target: str = "items", wrapped_only: bool = False) -> DataFrame:
     """What a pass loses silently: ``order_id, seq, pos, text, reason``.
 
     ``pos`` is NULL where the whole text is lost.
     """
     prefix, ok = {
-        "items": ("item_prefix", "item_ok"),
-        "products": ("product_prefix", "product_ok"),
+        "items": ("item_prefix", item_ok),
+        "products": ("product_prefix", product_ok),
     }[target]
-    elements = parse_export(raw, raw_text=True)
-    lost = elements.where(F.col("pos") >= F.col(prefix)).select(
-        "order_id",
-        "seq",
-        "pos",
-        F.col("element").alias("text"),
-        F.when(F.col(ok), F.lit("after bad element")).otherwise(F.lit("bad element")).alias("reason"),
+    reason = (
+        F.when(F.col("missing"), F.lit("missing text"))
+        .when(F.col("unparsed"), F.lit("no JSON array"))
+        .when(ok(F.col("item")), F.lit("after bad element"))
+        .otherwise(F.lit("bad element"))
     )
-    unparsed = raw.where(parse_items("products").isNull()).select(
-        parse_int("order_id").alias("order_id"),
-        "seq",
-        F.lit(None).cast("int").alias("pos"),
-        F.col("products").alias("text"),
-        F.when(F.col("products").isNull(), F.lit("missing text"))
-        .otherwise(F.lit("no JSON array"))
-        .alias("reason"),
+    return (
+        _parsed(raw, True, wrapped_only)
+        .withColumns(
+            {"missing": F.col("products").isNull(), "unparsed": F.col("_items").isNull()}
+        )
+        .withColumn("products", F.when(F.col("unparsed"), F.col("products")))
+        .select("*", explode_items(F.col("_items"), outer=True))
+        .where(F.col("unparsed") | (F.col("pos") >= F.col(prefix)))
+        .select(
+            "order_id",
+            "seq",
+            "pos",
+            F.coalesce(F.col("item")["element"], F.col("products")).alias("text"),
+            reason.alias("reason"),
+        )
     )
-    return lost.unionByName(unparsed)
 
 
 # --- the flat variant -------------------------------------------------------
@@ -202,17 +220,11 @@ def build_flat_items(raw: DataFrame) -> DataFrame:
             parse_int("order_id").alias("order_id"),
             parse_int("customer_id").alias("customer_id"),
             coerce_timestamp("order_date").alias("order_date"),
-            parse_items("products").alias("_items"),
-        )
-        .select(
-            "order_id",
-            "customer_id",
-            "order_date",
             F.transform(
-                "_items",
+                parse_items("products"),
                 lambda i: F.struct(
                     *[get_item(i, k).alias(k) for k in ITEM_KEYS],
-                    *[has_key(i, k).alias(f"has_{k}") for k in ITEM_KEYS],
+                    reduce(and_, [has_key(i, k) for k in ITEM_KEYS]).alias("complete"),
                 ),
             ).alias("_items"),
         )
@@ -220,21 +232,12 @@ def build_flat_items(raw: DataFrame) -> DataFrame:
             "order_id",
             "customer_id",
             "order_date",
-            prefix_length(
-                F.col("_items"),
-                lambda i: i.has_product_id
-                & i.has_product_name
-                & i.has_category
-                & i.has_price
-                & i.has_quantity,
-            ).alias("_prefix"),
-            F.posexplode("_items").alias("_pos", "_item"),
+            explode_items(valid_prefix(F.col("_items"), lambda e: e["complete"])),
         )
-        .where("_pos < _prefix")
         .select(
             "order_id",
             "customer_id",
-            *[F.col(f"_item.{k}").alias(k) for k in ITEM_KEYS],
+            *[F.col("item")[k].alias(k) for k in ITEM_KEYS],
             "order_date",
         )
     )

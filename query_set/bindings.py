@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.functions.frames import null_tokens
+from tillroll.operators.joins import anti_join
 from tillroll.operators.numbering import number_rows
 from tillroll.schemas import EXPORT_COLUMNS
 from tillroll.session import fresh_path
@@ -106,9 +107,8 @@ def to_raw_orders(lines: DataFrame) -> DataFrame:
     consecutive numbers, so no group grows with the data and an order of any
     size spreads over many export rows.
     """
-    numbered = number_rows(
-        lines, ["l_orderkey", "l_partkey", "l_extendedprice", "l_quantity"], "_at", start=0
-    )
+    order = ["l_orderkey", "l_partkey", "l_extendedprice", "l_quantity", "_scan"]
+    numbered = number_rows(lines, order, "_at", start=0)
     gathered = numbered.groupBy(
         "l_orderkey", F.floor(F.col("_at") / DOCUMENT_LINES).alias("doc")
     ).agg(F.array_sort(F.collect_list(F.struct("_at", "element"))).alias("_lines"))
@@ -142,16 +142,33 @@ def _products_text() -> Column:
 def _build_raw(spark: SparkSession, sf: str) -> DataFrame:
     lines = (
         source(spark, sf, "lineitem")
-        .select("l_orderkey", "l_partkey", "l_extendedprice", "l_quantity")
+        .select(
+            "l_orderkey",
+            "l_partkey",
+            "l_extendedprice",
+            "l_quantity",
+            # keeps equal lines apart, so that the numbering can split them
+            F.monotonically_increasing_id().alias("_scan"),
+        )
         .join(source(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .select(
-            "l_orderkey", "l_partkey", "l_extendedprice", "l_quantity", _element().alias("element")
+            "l_orderkey",
+            "l_partkey",
+            "l_extendedprice",
+            "l_quantity",
+            "_scan",
+            _element().alias("element"),
         )
     )
     documents = to_raw_orders(lines)
+    orders_ = source(spark, sf, "orders")
+    # two inner parts instead of an outer join: only an inner join can have a
+    # hot key split on the side of the documents
     placed = (
-        source(spark, sf, "orders")
-        .join(documents, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        documents.join(orders_, F.col("l_orderkey") == F.col("o_orderkey"))
+        .unionByName(
+            anti_join(orders_, documents, "o_orderkey", "l_orderkey"), allowMissingColumns=True
+        )
         .join(source(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     )
     # an urgent order is exported twice, the second time with another phone

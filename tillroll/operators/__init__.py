@@ -8,6 +8,7 @@ from tillroll.operators.integrity import (
     check_unique,
 )
 from tillroll.operators.joins import (
+    anti_join,
     join_items_products,
     join_orders_customers,
     semi_join,
@@ -16,6 +17,7 @@ from tillroll.operators.numbering import assign_ids, max_id, number_rows
 from tillroll.operators.ranking import first_match, top_k, with_share
 
 __all__ = [
+    "anti_join",
     "assign_ids",
     "check_decimal",
     "check_fk",

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import collated, quoted
+from tillroll.operators.joins import anti_join
 
 
 def _any(tests: list[Column]) -> Column:
@@ -47,10 +48,7 @@ def check_fk(
     child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None
 ) -> DataFrame:
     """Child rows whose key is no parent's key; a NULL key violates nothing."""
-    known = parent.select(quoted(parent_key or key).alias("_known"))
-    return child.where(quoted(key).isNotNull()).join(
-        known, quoted(key) == quoted("_known"), "left_anti"
-    )
+    return anti_join(child.where(quoted(key).isNotNull()), parent, key, parent_key)
 
 
 def check_not_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:

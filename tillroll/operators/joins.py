@@ -22,13 +22,27 @@ def join_items_products(items: DataFrame, products: DataFrame) -> DataFrame:
     return items.join(products, "product_id", "inner")
 
 
+def key_set(df: DataFrame, key: str, name: str = "_key") -> DataFrame:
+    """The distinct keys of a table.
+
+    Keys are combined before the shuffle, so a key with very many rows is one
+    row per input partition. The shuffle serves the following join as well.
+    """
+    return df.select(quoted(key).alias(name)).distinct()
+
+
 def semi_join(df: DataFrame, other: DataFrame, key: str, null_safe: bool = False) -> DataFrame:
     """Rows of ``df`` whose key occurs in ``other``.
 
     ``null_safe`` lets a missing key match a missing key, as a membership test
     on data frames does; SQL's IN never matches NULL.
     """
-    left, right = df.alias("l"), other.select(quoted(key).alias("_key")).alias("r")
     mine, theirs = quoted(key), quoted("_key")
     match = mine.eqNullSafe(theirs) if null_safe else mine == theirs
-    return left.join(right, match, "left_semi")
+    return df.join(key_set(other, key), match, "left_semi")
+
+
+def anti_join(df: DataFrame, other: DataFrame, key: str, other_key: str | None = None) -> DataFrame:
+    """Rows of ``df`` whose key does not occur in ``other``; NULL occurs nowhere."""
+    known = key_set(other, other_key or key)
+    return df.join(known, quoted(key) == quoted("_key"), "left_anti")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import default_if_empty, non_empty, price_label
-from tillroll.operators.numbering import assign_ids, number_rows
+from tillroll.operators.numbering import assign_ids
 
 
 def categories(products: DataFrame) -> DataFrame:
@@ -14,17 +14,36 @@ def categories(products: DataFrame) -> DataFrame:
     return products.select("category").where(non_empty("category")).distinct()
 
 
+ID_RANGE = 100_000
+"""Product ids per block. A block of one category never holds more rows."""
+
+
 def _listed(products: DataFrame) -> DataFrame:
-    """Products with their category's first-seen id.
+    """Products with their block, their category's first-seen id, and the
+    number of products the category has in earlier blocks.
 
-    The first-seen ids are aggregated first and joined on, so a category with
-    very many products is never one task's window.
+    All counting per category runs on the blocks, and the products join their
+    own block, so a category with very many products meets no task as a whole.
     """
     shown = products.select(
-        "product_id", "name", default_if_empty("category").alias("category"), "price"
+        "product_id",
+        "name",
+        default_if_empty("category").alias("category"),
+        price_label("price").alias("price"),
+        F.coalesce(F.expr(f"product_id div {ID_RANGE}"), F.lit(0)).alias("_block"),
+    )
+    blocks = shown.groupBy("category", "_block").agg(
+        F.min("product_id").alias("_first"), F.count("*").alias("_rows")
     )
-    seen = shown.groupBy("category").agg(F.min("product_id").alias("first_seen"))
-    return shown.join(seen, "category")
+    category = Window.partitionBy("category")
+    before = category.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.select(
+        "category",
+        "_block",
+        F.min("_first").over(category).alias("first_seen"),
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
+    )
+    return shown.join(placed, ["category", "_block"])
 
 
 def catalogue(products: DataFrame) -> DataFrame:
@@ -35,7 +54,7 @@ def catalogue(products: DataFrame) -> DataFrame:
     """
     return (
         _listed(products)
-        .select("category", "first_seen", "product_id", "name", price_label("price").alias("price"))
+        .select("category", "first_seen", "product_id", "name", "price")
         .orderBy("first_seen", "product_id")
     )
 
@@ -45,20 +64,13 @@ def catalogue_pages(products: DataFrame, page_size: int = 100) -> DataFrame:
 
     Pages restart with each category and follow the display order.
     """
-    numbered = number_rows(_listed(products), ["first_seen", "product_id"], "_at")
-    starts = numbered.groupBy("category").agg(F.min("_at").alias("_start"))
-    offset = F.col("_at") - F.col("_start")
+    block = Window.partitionBy("category", "_block").orderBy("product_id")
+    place = F.col("_before") + F.row_number().over(block) - 1
     return (
-        numbered.join(starts, "category")
-        .withColumn("page", F.floor(offset / page_size) + 1)
+        _listed(products)
+        .withColumn("page", F.floor(place / page_size) + 1)
         .groupBy("category", "first_seen", "page")
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct("product_id", "name", price_label("price").alias("price"))
-                )
-            ).alias("products")
-        )
+        .agg(F.array_sort(F.collect_list(F.struct("product_id", "name", "price"))).alias("products"))
     )
 
 

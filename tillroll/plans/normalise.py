@@ -25,7 +25,7 @@ from tillroll.functions.nested import (
 )
 from tillroll.operators.dedupe import distinct_rows, keep_first
 from tillroll.operators.joins import semi_join
-from tillroll.session import fresh_path
+from tillroll.session import stage_table
 from tillroll.sources.sinks import write_csv, write_table
 
 CUSTOMER_COLUMNS = (
@@ -97,38 +97,33 @@ def product_ok(e: Column) -> Column:
     return e["product_id"].isNotNull() & e["price"].isNotNull() & e["named"]
 
 
-def _parsed(raw: DataFrame, raw_text: bool, wrapped_only: bool) -> DataFrame:
-    """The export's rows with their parsed elements and both prefix lengths.
+def parse_rows(raw: DataFrame, raw_text: bool = False, wrapped_only: bool = False) -> DataFrame:
+    """The export's rows with ``_items``, the parsed elements, and both prefix
+    lengths: the numbers of elements before the first one a pass rejects.
 
     The prefixes are taken before the explode, so the array is not carried
     along with each of its elements.
     """
     parsed = parse_items("products", wrapped_only)
     items = F.col("_items")
-    return raw.select(
-        parse_int("order_id").alias("order_id"),
-        "seq",
-        "products",
-        F.transform(parsed, lambda i: _item_fields(i, raw_text)).alias("_items"),
-    ).select(
-        "*",
-        prefix_length(items, item_ok).alias("item_prefix"),
-        prefix_length(items, product_ok).alias("product_prefix"),
+    return raw.withColumn("_items", F.transform(parsed, lambda i: _item_fields(i, raw_text))).withColumns(
+        {
+            "item_prefix": prefix_length(items, item_ok),
+            "product_prefix": prefix_length(items, product_ok),
+        }
     )
 
 
-def parse_export(raw: DataFrame, wrapped_only: bool = False) -> DataFrame:
-    """One row per element of every parsable line-item text, parsed once.
+def elements_of(rows: DataFrame) -> DataFrame:
+    """One row per element of parsed rows; rows without an array vanish.
 
-    ``item_prefix`` and ``product_prefix`` count the elements before the first
-    one the pass does not accept: a pass keeps what comes before a bad element
-    and loses it and the rest. Rows whose text is no JSON array vanish here
-    (see ``rejects``).
+    A pass keeps what comes before a bad element (``pos`` below its prefix
+    length) and loses it and the rest (see ``rejects``).
     """
     place = ("order_id", "seq", "item_prefix", "product_prefix")
     item = F.col("item")
     return (
-        _parsed(raw, False, wrapped_only)
+        rows.withColumn("order_id", parse_int("order_id"))
         .select(*place, explode_items(F.col("_items")))
         .select(
             *place,
@@ -140,6 +135,11 @@ def parse_export(raw: DataFrame, wrapped_only: bool = False) -> DataFrame:
     )
 
 
+def parse_export(raw: DataFrame, wrapped_only: bool = False) -> DataFrame:
+    """One row per element of every parsable line-item text."""
+    return elements_of(parse_rows(raw, wrapped_only=wrapped_only))
+
+
 def items_from_elements(
     elements: DataFrame, orders: DataFrame | None = None, each: bool = False
 ) -> DataFrame:
@@ -188,7 +188,8 @@ def rejects(raw: DataFrame, target: str = "items", wrapped_only: bool = False) -
         .otherwise(F.lit("bad element"))
     )
     return (
-        _parsed(raw, True, wrapped_only)
+        parse_rows(raw, True, wrapped_only)
+        .select(parse_int("order_id").alias("order_id"), "seq", "products", "_items", prefix)
         .withColumns(
             {"missing": F.col("products").isNull(), "unparsed": F.col("_items").isNull()}
         )
@@ -260,16 +261,15 @@ def flat_orders(raw: DataFrame) -> DataFrame:
 def normalise(raw: DataFrame, out: str, fmt: str = "parquet") -> dict[str, str]:
     """Write the four clean tables below ``out``; returns name -> path.
 
-    The JSON is parsed once: both item passes and all later retries read the
-    staged elements.
+    The export is read once and its JSON parsed once: the rows are staged with
+    their parsed elements, and each table reads only the columns it needs.
     """
-    spark = raw.sparkSession
-    staged = fresh_path(spark, "elements")
-    parse_export(raw).write.parquet(staged)
-    elements = spark.read.parquet(staged)
+    needed = dict.fromkeys((*CUSTOMER_COLUMNS, *ORDER_COLUMNS, "seq", "products"))
+    rows = stage_table(parse_rows(raw.select(*needed)).drop("products"), "parsed")
+    elements = elements_of(rows)
     tables = {
-        "customers": build_customers(raw),
-        "orders": build_orders(raw),
+        "customers": build_customers(rows),
+        "orders": build_orders(rows),
         "order_items": items_from_elements(elements),
         "products": products_from_elements(elements),
     }
@@ -277,5 +277,3 @@ def normalise(raw: DataFrame, out: str, fmt: str = "parquet") -> dict[str, str]:
     for name, df in tables.items():
         write(df, f"{out}/{name}")
     return {name: f"{out}/{name}" for name in tables}
-
-

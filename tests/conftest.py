@@ -20,6 +20,9 @@ def spark():
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "4g",
+            # plans in full
+            "spark.sql.debug.maxToStringFields": "1000",
+            "spark.sql.maxMetadataStringLength": "10000",
         },
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -27,7 +27,7 @@ def read_csv(
     multi_line: bool = True,
     **options: Any,
 ) -> DataFrame:
-    """CSV with a header row and doubled quotes.
+    """CSV with a header row and doubled quotes; an empty cell is NULL.
 
     Without a schema every header column is text. Headers are checked against
     the schema, so files whose columns come in another order fail the run

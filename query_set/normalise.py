@@ -165,7 +165,7 @@ def coerce_dates(spark: SparkSession, sf: str) -> DataFrame:
         "order_id",
         c.coerce_timestamp(text).alias("order_date"),
         c.month_key("order_date").alias("month"),
-        c.day_key("order_date").alias("day"),
+        c.day_key("order_date").cast("string").alias("day"),
     )
 
 
@@ -355,7 +355,7 @@ QUERIES = {
                   try_cast(CASE WHEN o_orderstatus = 'P' THEN 'soon'
                                 ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS TIMESTAMP)
                   AS order_date,
-                  strftime(o_orderdate, '%Y-%m') AS month, CAST(o_orderdate AS DATE) AS day
+                  strftime(o_orderdate, '%Y-%m') AS month, strftime(o_orderdate, '%Y-%m-%d') AS day
            FROM orders""",
     ),
     "dedupe_items": (

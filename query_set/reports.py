@@ -21,7 +21,8 @@ def monthly_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def daily_sales(spark: SparkSession, sf: str) -> DataFrame:
-    return as_double(r.daily_sales(b.orders(spark, sf)), "total_sales")
+    sales = as_double(r.daily_sales(b.orders(spark, sf)), "total_sales")
+    return sales.withColumn("order_date", F.col("order_date").cast("string"))
 
 
 def customer_revenue(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,6 +50,34 @@ def top_products(spark: SparkSession, sf: str) -> DataFrame:
     return r.top_products(b.order_items(spark, sf), b.products(spark, sf))
 
 
+def _mixed_products(spark: SparkSession, sf: str) -> DataFrame:
+    """Products whose names and categories vary in case and accents, by size."""
+    size = F.col("p_size")
+
+    def mixed(col: str):
+        return (
+            F.when(size > 35, F.upper(col))
+            .when(size > 20, F.translate(F.lower(col), "eo", "éö"))
+            .otherwise(F.col(col))
+        )
+
+    return b.source(spark, sf, "part").select(
+        F.col("p_partkey").alias("product_id"),
+        mixed("p_name").alias("name"),
+        mixed("p_type").alias("category"),
+    )
+
+
+def category_revenue_collated(spark: SparkSession, sf: str) -> DataFrame:
+    args = b.order_items(spark, sf), _mixed_products(spark, sf)
+    return as_double(r.category_revenue(*args, collation="UNICODE_CI_AI"), "revenue")
+
+
+def product_units_collated(spark: SparkSession, sf: str) -> DataFrame:
+    args = b.order_items(spark, sf), _mixed_products(spark, sf)
+    return r.product_units(*args, collation="UNICODE_CI_AI")
+
+
 def refresh_marts(spark: SparkSession, sf: str) -> DataFrame:
     """Write the five marts and read them back: rows and total of each."""
     tables = {
@@ -79,7 +108,7 @@ def refresh_marts(spark: SparkSession, sf: str) -> DataFrame:
 _MONTHS = "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS orders FROM orders GROUP BY 1"
 
 _DAYS = """
-SELECT CAST(o_orderdate AS DATE) AS order_date,
+SELECT strftime(o_orderdate, '%Y-%m-%d') AS order_date,
        CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS total_sales
 FROM orders GROUP BY 1
 """
@@ -96,6 +125,15 @@ SELECT p_type AS category,
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1
 """
 
+_MIXED = """
+SELECT p_partkey AS product_id,
+       CASE WHEN p_size > 35 THEN upper(p_name)
+            WHEN p_size > 20 THEN translate(lower(p_name), 'eo', 'éö') ELSE p_name END AS name,
+       CASE WHEN p_size > 35 THEN upper(p_type)
+            WHEN p_size > 20 THEN translate(lower(p_type), 'eo', 'éö') ELSE p_type END AS category
+FROM part
+"""
+
 _UNITS = """
 SELECT p_name AS product_name, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total_quantity
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1
@@ -121,6 +159,21 @@ QUERIES = {
     ),
     "product_units": (product_units, _UNITS),
     "top_products": (top_products, _TOP_PRODUCTS),
+    "category_revenue_collated": (
+        category_revenue_collated,
+        f"""SELECT min(category) AS category,
+                   CAST(sum(CAST(l_quantity AS BIGINT) * CAST(l_extendedprice AS DECIMAL(12,2)))
+                        AS DOUBLE) AS revenue
+            FROM lineitem JOIN ({_MIXED}) ON l_partkey = product_id
+            GROUP BY lower(strip_accents(category))""",
+    ),
+    "product_units_collated": (
+        product_units_collated,
+        f"""SELECT min(name) AS product_name,
+                   CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total_quantity
+            FROM lineitem JOIN ({_MIXED}) ON l_partkey = product_id
+            GROUP BY lower(strip_accents(name))""",
+    ),
     "refresh_marts": (
         refresh_marts,
         f"""

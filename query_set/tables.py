@@ -36,6 +36,12 @@ def categories(spark: SparkSession, sf: str) -> DataFrame:
     return cat.categories(_gappy_products(spark, sf))
 
 
+def categories_collated(spark: SparkSession, sf: str) -> DataFrame:
+    held = _gappy_products(spark, sf)
+    mixed = F.when(F.col("price") > 1000, F.lower("category")).otherwise(F.col("category"))
+    return cat.categories(held.withColumn("category", mixed), collation="UNICODE_CI_AI")
+
+
 def default_category(spark: SparkSession, sf: str) -> DataFrame:
     return _gappy_products(spark, sf).select(
         "product_id", c.default_if_empty("category").alias("category")
@@ -144,7 +150,8 @@ def pk_violations(spark: SparkSession, sf: str) -> DataFrame:
 def pk_nulls(spark: SparkSession, sf: str) -> DataFrame:
     """A key that is NULL on some rows and unique on the others."""
     key = F.when(F.col("status") != "P", F.col("order_id"))
-    return i.check_pk(b.orders(spark, sf).select(key.alias("order_id")), ["order_id"])
+    found = i.check_pk(b.orders(spark, sf).select(key.alias("order_id")), ["order_id"])
+    return found.select(F.col("order_id").isNull().alias("is_null"), "n")
 
 
 def _mixed_names(spark: SparkSession, sf: str) -> DataFrame:
@@ -301,6 +308,14 @@ QUERIES = {
         categories,
         "SELECT DISTINCT p_type AS category FROM part WHERE p_type NOT IN ('SMALL', 'LARGE')",
     ),
+    "categories_collated": (
+        categories_collated,
+        """SELECT min(category) AS category
+           FROM (SELECT CASE WHEN CAST(p_retailprice AS DECIMAL(12,2)) > 1000 THEN lower(p_type)
+                             ELSE p_type END AS category
+                 FROM part WHERE p_type NOT IN ('SMALL', 'LARGE'))
+           GROUP BY lower(category)""",
+    ),
     "default_category": (default_category, f"SELECT product_id, category FROM ({_GAPPY})"),
     "catalogue": (catalogue, _SHOWN),
     "catalogue_pages": (
@@ -362,7 +377,7 @@ QUERIES = {
     ),
     "pk_nulls": (
         pk_nulls,
-        """SELECT CAST(NULL AS BIGINT) AS order_id, count(*) AS n FROM orders
+        """SELECT true AS is_null, count(*) AS n FROM orders
            WHERE o_orderstatus = 'P'""",
     ),
     "unique_violations": (

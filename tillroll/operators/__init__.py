@@ -1,4 +1,4 @@
-from tillroll.operators.dedupe import distinct_rows, keep_first
+from tillroll.operators.dedupe import distinct_rows, keep_first, merge_spellings
 from tillroll.operators.integrity import (
     check_decimal,
     check_fk,
@@ -31,6 +31,7 @@ __all__ = [
     "join_orders_customers",
     "keep_first",
     "max_id",
+    "merge_spellings",
     "number_rows",
     "semi_join",
     "top_k",

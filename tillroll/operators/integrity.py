@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.functions.columns import collated, quoted
+from tillroll.functions.columns import quoted
+from tillroll.operators.dedupe import merge_spellings
 from tillroll.operators.joins import anti_join
 
 
@@ -27,21 +28,10 @@ def check_pk(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def check_unique(df: DataFrame, col: str, collation: str | None = None) -> DataFrame:
-    """Values held by several rows: first spelling and count; NULLs may repeat.
-
-    The text is first counted as it is. Only one row per spelling reaches the
-    collated grouping, which cannot be hashed and has to sort.
-    """
-    spellings = (
-        df.where(quoted(col).isNotNull()).groupBy(quoted(col)).agg(F.count("*").alias("_rows"))
-    )
-    value = collated(col, collation) if collation else quoted(col)
-    return (
-        spellings.groupBy(value.alias("_value"))
-        .agg(F.min(quoted(col)).alias(col), F.sum("_rows").alias("n"))
-        .where("n > 1")
-        .drop("_value")
-    )
+    """Values held by several rows: first spelling and count; NULLs may repeat."""
+    held = df.where(quoted(col).isNotNull())
+    spellings = held.groupBy(quoted(col)).agg(F.count("*").alias("n"))
+    return merge_spellings(spellings, col, "n", collation).where("n > 1")
 
 
 def check_fk(

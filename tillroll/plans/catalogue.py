@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import default_if_empty, non_empty, price_label
+from tillroll.operators.dedupe import merge_spellings
 from tillroll.operators.numbering import assign_ids
 
 
-def categories(products: DataFrame) -> DataFrame:
+def categories(products: DataFrame, collation: str | None = None) -> DataFrame:
     """Distinct categories, without NULL and the empty text."""
-    return products.select("category").where(non_empty("category")).distinct()
+    found = products.select("category").where(non_empty("category")).distinct()
+    return merge_spellings(found, "category", None, collation)
 
 
 ID_RANGE = 100_000

@@ -1,7 +1,9 @@
 """The five sales reports and their refresh.
 
 Facts are aggregated to their join key before any join, so a product or a
-customer with very many rows meets the join as a single row.
+customer with very many rows meets the join as a single row. Names compare
+exactly; a ``collation`` such as ``UNICODE_CI_AI`` merges those that differ only
+in case and accents.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import day_key, display_name, month_key
+from tillroll.operators.dedupe import merge_spellings
 from tillroll.operators.joins import join_items_products, join_orders_customers
 from tillroll.operators.ranking import top_k, with_share
 from tillroll.sources.sinks import write_marts
@@ -66,34 +69,42 @@ def product_sales(items: DataFrame, products: DataFrame) -> DataFrame:
     return join_items_products(sold, products.select("product_id", "name", "category"))
 
 
-def _category_revenue(sales: DataFrame) -> DataFrame:
-    return sales.groupBy("category").agg(F.sum("revenue").alias("revenue"))
+def _category_revenue(sales: DataFrame, collation: str | None = None) -> DataFrame:
+    revenue = sales.groupBy("category").agg(F.sum("revenue").alias("revenue"))
+    return merge_spellings(revenue, "category", "revenue", collation)
 
 
-def _product_units(sales: DataFrame) -> DataFrame:
-    return sales.groupBy(F.col("name").alias("product_name")).agg(
+def _product_units(sales: DataFrame, collation: str | None = None) -> DataFrame:
+    units = sales.groupBy(F.col("name").alias("product_name")).agg(
         F.sum("units").alias("total_quantity")
     )
+    return merge_spellings(units, "product_name", "total_quantity", collation)
 
 
-def category_revenue(items: DataFrame, products: DataFrame) -> DataFrame:
+def category_revenue(
+    items: DataFrame, products: DataFrame, collation: str | None = None
+) -> DataFrame:
     """Revenue per category; items of unknown products drop out."""
-    return _category_revenue(product_sales(items, products))
+    return _category_revenue(product_sales(items, products), collation)
 
 
-def category_share(items: DataFrame, products: DataFrame) -> DataFrame:
+def category_share(
+    items: DataFrame, products: DataFrame, collation: str | None = None
+) -> DataFrame:
     """Revenue per category with its percentage of the total."""
-    return with_share(category_revenue(items, products), "revenue")
+    return with_share(category_revenue(items, products, collation), "revenue")
 
 
-def product_units(items: DataFrame, products: DataFrame) -> DataFrame:
+def product_units(items: DataFrame, products: DataFrame, collation: str | None = None) -> DataFrame:
     """Units per product name; products of one name count together."""
-    return _product_units(product_sales(items, products))
+    return _product_units(product_sales(items, products), collation)
 
 
-def top_products(items: DataFrame, products: DataFrame, k: int = 5) -> DataFrame:
+def top_products(
+    items: DataFrame, products: DataFrame, k: int = 5, collation: str | None = None
+) -> DataFrame:
     """The ``k`` names with most units; ties go to the smaller name."""
-    return top_k(product_units(items, products), "total_quantity", "product_name", k)
+    return top_k(product_units(items, products, collation), "total_quantity", "product_name", k)
 
 
 def refresh_marts(tables: Mapping[str, DataFrame], out: str, k: int = 5) -> dict[str, str]:

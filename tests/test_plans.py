@@ -72,8 +72,15 @@ def test_reports_read_only_their_columns(spark, sf):
     }
 
 
-def test_items_are_aggregated_before_the_join(spark, sf):
-    plan = plan_text(r.product_units(b.order_items(spark, sf), b.products(spark, sf)))
+def test_items_join_a_small_catalogue_before_their_only_shuffle(spark, sf):
+    items, products = b.order_items(spark, sf), b.products(spark, sf)
+    plan = plan_text(r.product_sales(items, products, ["name"]))
+    assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_items_are_aggregated_before_a_shuffled_join(spark, sf):
+    items, products = b.order_items(spark, sf), b.products(spark, sf)
+    plan = plan_text(r.product_sales(items, products, ["name"], broadcast_rows=10))
     assert plan.index("Join") < plan.index("partial_sum(quantity")
 
 

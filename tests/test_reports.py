@@ -94,6 +94,11 @@ def test_products(tables):
     for x in got:
         assert abs(x.share - 100 * x.revenue / total) <= D("0.05")
     assert {x.product_name: x.total_quantity for x in r.product_units(*args).collect()} == units
+    for rows in (0, 49, 50):  # both ways to join the catalogue
+        sales = r.product_sales(*args, ["category"], broadcast_rows=rows).collect()
+        assert {x.category: x.revenue for x in sales} == dict(revenue)
+        sales = r.product_sales(*args, ["name"], broadcast_rows=rows).collect()
+        assert {x.name: x.units for x in sales} == units
     best = sorted(units.items(), key=lambda kv: (-kv[1], kv[0]))[:5]
     assert [(x.product_name, x.total_quantity) for x in r.top_products(*args).collect()] == best
 

@@ -1,8 +1,8 @@
 """The joins of the shop schema.
 
-No broadcast hint is used: adaptive execution measures the smaller side and
-broadcasts it only below the session's threshold, and otherwise splits the
-partitions of a hot key in the shuffled join.
+None of them carries a broadcast hint: adaptive execution measures the smaller
+side and broadcasts it only below the session's threshold, and otherwise splits
+the partitions of a hot key in the shuffled join.
 """
 
 from __future__ import annotations
@@ -22,6 +22,11 @@ def join_items_products(items: DataFrame, products: DataFrame) -> DataFrame:
     return items.join(products, "product_id", "inner")
 
 
+def has_at_most(df: DataFrame, rows: int) -> bool:
+    """Whether the frame has at most so many rows; counts no further than that."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def key_set(df: DataFrame, key: str, name: str = "_key") -> DataFrame:
     """The distinct keys of a table.
 

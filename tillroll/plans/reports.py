@@ -1,22 +1,21 @@
 """The five sales reports and their refresh.
 
-Facts are aggregated to their join key before any join, so a product or a
-customer with very many rows meets the join as a single row. Names compare
+Facts meet a shuffled join only as sums per join key, so a product or a customer
+with very many rows is a single row there. Names compare
 exactly; a ``collation`` such as ``UNICODE_CI_AI`` merges those that differ only
 in case and accents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import day_key, display_name, month_key
 from tillroll.operators.dedupe import merge_spellings
-from tillroll.operators.joins import join_items_products, join_orders_customers
+from tillroll.operators.joins import has_at_most, join_items_products, join_orders_customers
 from tillroll.operators.ranking import top_k, with_share
 from tillroll.sources.sinks import write_marts
 
@@ -28,6 +27,9 @@ MART_NAMES = (
     "daily_sales",
 )
 
+BROADCAST_ROWS = 500_000
+"""Largest catalogue to broadcast: an id and two short texts per row."""
+
 
 def monthly_orders(orders: DataFrame) -> DataFrame:
     """Orders per month, in time order; orders without a date form one group."""
@@ -60,23 +62,38 @@ def top_customers(orders: DataFrame, customers: DataFrame, k: int = 5) -> DataFr
     return top_k(customer_revenue(orders, customers), "revenue", "customer_id", k)
 
 
-def product_sales(items: DataFrame, products: DataFrame) -> DataFrame:
-    """Units and revenue per product id: the shared base of two reports."""
-    sold = items.groupBy("product_id").agg(
+def product_sales(
+    items: DataFrame, products: DataFrame, by: Sequence[str], broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Units and revenue per product column(s) ``by``, such as name or category.
+
+    A catalogue of at most ``broadcast_rows`` products (counted, not estimated)
+    is broadcast, and items are combined to ``by`` before their only shuffle.
+    A larger one is joined to the items' sums per product id.
+    """
+    sums = [
         F.sum("quantity").alias("units"),
         F.sum(F.col("quantity") * F.col("price")).alias("revenue"),
+    ]
+    known = products.select("product_id", *by)
+    if has_at_most(products.select("product_id"), broadcast_rows):
+        return join_items_products(items, F.broadcast(known)).groupBy(*by).agg(*sums)
+    sold = items.groupBy("product_id").agg(*sums)
+    return (
+        join_items_products(sold, known)
+        .groupBy(*by)
+        .agg(F.sum("units").alias("units"), F.sum("revenue").alias("revenue"))
     )
-    return join_items_products(sold, products.select("product_id", "name", "category"))
 
 
 def _category_revenue(sales: DataFrame, collation: str | None = None) -> DataFrame:
-    revenue = sales.groupBy("category").agg(F.sum("revenue").alias("revenue"))
+    revenue = sales.select("category", "revenue")
     return merge_spellings(revenue, "category", "revenue", collation)
 
 
 def _product_units(sales: DataFrame, collation: str | None = None) -> DataFrame:
-    units = sales.groupBy(F.col("name").alias("product_name")).agg(
-        F.sum("units").alias("total_quantity")
+    units = sales.select(
+        F.col("name").alias("product_name"), F.col("units").alias("total_quantity")
     )
     return merge_spellings(units, "product_name", "total_quantity", collation)
 
@@ -85,7 +102,7 @@ def category_revenue(
     items: DataFrame, products: DataFrame, collation: str | None = None
 ) -> DataFrame:
     """Revenue per category; items of unknown products drop out."""
-    return _category_revenue(product_sales(items, products), collation)
+    return _category_revenue(product_sales(items, products, ["category"]), collation)
 
 
 def category_share(
@@ -97,7 +114,7 @@ def category_share(
 
 def product_units(items: DataFrame, products: DataFrame, collation: str | None = None) -> DataFrame:
     """Units per product name; products of one name count together."""
-    return _product_units(product_sales(items, products), collation)
+    return _product_units(product_sales(items, products, ["name"]), collation)
 
 
 def top_products(
@@ -112,23 +129,24 @@ def refresh_marts(tables: Mapping[str, DataFrame], out: str, k: int = 5) -> dict
 
     Orders are scanned twice (by day, by customer) and items once: the month
     counts come from the day rows, and both product reports from the sales per
-    product. These two small bases are kept for the duration of the writes.
+    category and name. These two bases are kept for the duration of the writes.
     """
     orders, customers = tables["orders"], tables["customers"]
-    level = StorageLevel.MEMORY_AND_DISK
     days = (
         orders.groupBy(day_key("order_date").alias("order_date"))
         .agg(F.count("*").alias("orders"), F.sum("total_price").alias("total_sales"))
-        .persist(level)
+        .persist()
     )
-    sales = product_sales(tables["order_items"], tables["products"]).persist(level)
+    sales = product_sales(tables["order_items"], tables["products"], ["category", "name"]).persist()
+    by_category = sales.groupBy("category").agg(F.sum("revenue").alias("revenue"))
+    by_name = sales.groupBy("name").agg(F.sum("units").alias("units"))
     marts = {
         "monthly_orders": days.groupBy(month_key("order_date").alias("month"))
         .agg(F.sum("orders").alias("orders"))
         .orderBy("month"),
         "top_customers": top_customers(orders, customers, k),
-        "category_revenue": with_share(_category_revenue(sales), "revenue"),
-        "top_products": top_k(_product_units(sales), "total_quantity", "product_name", k),
+        "category_revenue": with_share(by_category, "revenue"),
+        "top_products": top_k(_product_units(by_name), "total_quantity", "product_name", k),
         "daily_sales": days.select("order_date", "total_sales").orderBy("order_date"),
     }
     try:

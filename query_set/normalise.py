@@ -57,9 +57,9 @@ def csv_export_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 def csv_export_elements(spark: SparkSession, sf: str) -> DataFrame:
     """Accepted elements per order, read back from CSV."""
-    elements = n.parse_export(_from_csv(spark, sf))
+    elements = n.parse_export(_from_csv(spark, sf), ["items"])
     return (
-        elements.where("pos < item_prefix")
+        elements.where("pos < items_prefix")
         .groupBy("order_id")
         .agg(
             F.count("*").alias("n"),

@@ -245,7 +245,7 @@ def test_rejects_and_items_make_up_all_elements(spark):
     }
     elements = n.parse_export(raw)
     assert elements.count() == 5
-    assert elements.where("pos < item_prefix").count() == 2
+    assert elements.where("pos < items_prefix").count() == 2
 
 
 def test_valid_prefix_on_plain_arrays(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -57,9 +58,11 @@ def check_decimal(
 
     ``exact`` also reports digits that the scale would round away.
     """
-    fitted = quoted(col).try_cast(f"decimal({precision},{scale})")
-    bad = fitted.isNull()
+    rounded = quoted(col).try_cast(f"decimal(38,{scale})")
+    limit = F.lit(Decimal(10) ** (precision - scale))
+    bad = rounded.isNull() | (F.abs(rounded) >= limit)
     if exact:
-        wide = quoted(col).try_cast(f"decimal(38,{min(scale + 12, 30)})")
-        bad = bad | (wide != fitted)
+        more = min(12, 38 - precision)
+        finer = quoted(col).try_cast(f"decimal({precision + more},{scale + more})")
+        bad = bad | (finer != rounded.try_cast(f"decimal({precision},{scale})"))
     return df.where(quoted(col).isNotNull() & bad)

@@ -6,6 +6,7 @@ sortable column that gives the source order (see ``read_export``).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
@@ -73,55 +74,64 @@ def build_orders(raw: DataFrame) -> DataFrame:
 # --- line items -------------------------------------------------------------
 
 
-def _item_fields(item: Column, raw_text: bool) -> Column:
+def _items_ok(e: Column) -> Column:
+    """The items pass needs id, quantity and price to parse."""
+    return e["product_id"].isNotNull() & e["quantity"].isNotNull() & e["price"].isNotNull()
+
+
+def _products_ok(e: Column) -> Column:
+    """The products pass needs id and price to parse, and name and category to exist."""
+    return e["product_id"].isNotNull() & e["price"].isNotNull() & e["named"]
+
+
+PASSES = {"items": _items_ok, "products": _products_ok}
+
+
+def _item_fields(item: Column, passes: Sequence[str], raw_text: bool) -> Column:
+    """The element's fields that the passes look at."""
     fields = [
         get_item(item, "product_id", "bigint").alias("product_id"),
-        get_item(item, "quantity", "bigint").alias("quantity"),
         item_money(item, "price").alias("price"),
-        get_item(item, "product_name").alias("product_name"),
-        get_item(item, "category").alias("category"),
-        (has_key(item, "product_name") & has_key(item, "category")).alias("named"),
     ]
+    if "items" in passes:
+        fields.append(get_item(item, "quantity", "bigint").alias("quantity"))
+    if "products" in passes:
+        fields += [
+            get_item(item, "product_name").alias("product_name"),
+            get_item(item, "category").alias("category"),
+            (has_key(item, "product_name") & has_key(item, "category")).alias("named"),
+        ]
     if raw_text:
         fields.append(item.cast("string").alias("element"))
     return F.struct(*fields)
 
 
-def item_ok(e: Column) -> Column:
-    """The items pass needs id, quantity and price to parse."""
-    return e["product_id"].isNotNull() & e["quantity"].isNotNull() & e["price"].isNotNull()
-
-
-def product_ok(e: Column) -> Column:
-    """The products pass needs id and price to parse, and name and category to exist."""
-    return e["product_id"].isNotNull() & e["price"].isNotNull() & e["named"]
-
-
-def parse_rows(raw: DataFrame, raw_text: bool = False, wrapped_only: bool = False) -> DataFrame:
-    """The export's rows with ``_items``, the parsed elements, and both prefix
-    lengths: the numbers of elements before the first one a pass rejects.
+def parse_rows(
+    raw: DataFrame,
+    passes: Sequence[str] = tuple(PASSES),
+    raw_text: bool = False,
+    wrapped_only: bool = False,
+) -> DataFrame:
+    """The export's rows with ``_items``, the parsed elements, and per pass
+    ``<pass>_prefix``, the number of elements before the first one it rejects.
 
     The prefixes are taken before the explode, so the array is not carried
     along with each of its elements.
     """
     parsed = parse_items("products", wrapped_only)
-    items = F.col("_items")
-    return raw.withColumn("_items", F.transform(parsed, lambda i: _item_fields(i, raw_text))).withColumns(
-        {
-            "item_prefix": prefix_length(items, item_ok),
-            "product_prefix": prefix_length(items, product_ok),
-        }
-    )
+    fields = F.transform(parsed, lambda i: _item_fields(i, passes, raw_text))
+    prefixes = {f"{p}_prefix": prefix_length(F.col("_items"), PASSES[p]) for p in passes}
+    return raw.withColumn("_items", fields).withColumns(prefixes)
 
 
-def elements_of(rows: DataFrame) -> DataFrame:
+def elements_of(rows: DataFrame, passes: Sequence[str] = tuple(PASSES)) -> DataFrame:
     """One row per element of parsed rows; rows without an array vanish.
 
     A pass keeps what comes before a bad element (``pos`` below its prefix
-    length) and loses it and the rest (see ``rejects``).
+    length) and loses it and the rest (see ``rejects``). ``<pass>_ok`` tells
+    about the element alone.
     """
-    place = ("order_id", "seq", "item_prefix", "product_prefix")
-    item = F.col("item")
+    place = ("order_id", "seq", *[f"{p}_prefix" for p in passes])
     return (
         rows.withColumn("order_id", parse_int("order_id"))
         .select(*place, explode_items(F.col("_items")))
@@ -129,15 +139,16 @@ def elements_of(rows: DataFrame) -> DataFrame:
             *place,
             "pos",
             "item.*",
-            item_ok(item).alias("item_ok"),
-            product_ok(item).alias("product_ok"),
+            *[PASSES[p](F.col("item")).alias(f"{p}_ok") for p in passes],
         )
     )
 
 
-def parse_export(raw: DataFrame, wrapped_only: bool = False) -> DataFrame:
+def parse_export(
+    raw: DataFrame, passes: Sequence[str] = tuple(PASSES), wrapped_only: bool = False
+) -> DataFrame:
     """One row per element of every parsable line-item text."""
-    return elements_of(parse_rows(raw, wrapped_only=wrapped_only))
+    return elements_of(parse_rows(raw, passes, wrapped_only=wrapped_only), passes)
 
 
 def items_from_elements(
@@ -149,7 +160,7 @@ def items_from_elements(
     known orders; leave it out when the orders come from the same export, where
     it could drop nothing. ``each`` keeps good elements behind a bad one too.
     """
-    kept = elements.where("item_ok" if each else "pos < item_prefix")
+    kept = elements.where("items_ok" if each else "pos < items_prefix")
     kept = kept.select("order_id", "product_id", "quantity", "price", "seq", "pos")
     items = keep_first(kept, ["order_id", "product_id"], ["seq", "pos"]).drop("seq", "pos")
     return items if orders is None else semi_join(items, orders, "order_id", null_safe=True)
@@ -157,7 +168,7 @@ def items_from_elements(
 
 def products_from_elements(elements: DataFrame, each: bool = False) -> DataFrame:
     """Products from parsed elements: one per product id, the first."""
-    kept = elements.where("product_ok" if each else "pos < product_prefix")
+    kept = elements.where("products_ok" if each else "pos < products_prefix")
     kept = kept.select("product_id", "product_name", "category", "price", "seq", "pos")
     return keep_first(kept, ["product_id"], ["seq", "pos"]).drop("seq", "pos")
 
@@ -165,11 +176,11 @@ def products_from_elements(elements: DataFrame, each: bool = False) -> DataFrame
 def build_order_items(
     raw: DataFrame, orders: DataFrame | None = None, each: bool = False
 ) -> DataFrame:
-    return items_from_elements(parse_export(raw), orders, each)
+    return items_from_elements(parse_export(raw, ["items"]), orders, each)
 
 
 def build_products(raw: DataFrame, each: bool = False) -> DataFrame:
-    return products_from_elements(parse_export(raw), each)
+    return products_from_elements(parse_export(raw, ["products"]), each)
 
 
 def rejects(raw: DataFrame, target: str = "items", wrapped_only: bool = False) -> DataFrame:
@@ -177,18 +188,15 @@ def rejects(raw: DataFrame, target: str = "items", wrapped_only: bool = False) -
 
     ``pos`` is NULL where the whole text is lost.
     """
-    prefix, ok = {
-        "items": ("item_prefix", item_ok),
-        "products": ("product_prefix", product_ok),
-    }[target]
+    prefix = f"{target}_prefix"
     reason = (
         F.when(F.col("missing"), F.lit("missing text"))
         .when(F.col("unparsed"), F.lit("no JSON array"))
-        .when(ok(F.col("item")), F.lit("after bad element"))
+        .when(PASSES[target](F.col("item")), F.lit("after bad element"))
         .otherwise(F.lit("bad element"))
     )
     return (
-        parse_rows(raw, True, wrapped_only)
+        parse_rows(raw, [target], True, wrapped_only)
         .select(parse_int("order_id").alias("order_id"), "seq", "products", "_items", prefix)
         .withColumns(
             {"missing": F.col("products").isNull(), "unparsed": F.col("_items").isNull()}

@@ -32,10 +32,14 @@ BROADCAST_ROWS = 500_000
 
 
 def monthly_orders(orders: DataFrame) -> DataFrame:
-    """Orders per month, in time order; orders without a date form one group."""
+    """Orders per month, in time order; orders without a date form one group.
+
+    Grouped by the month's first day; only the result rows are formatted.
+    """
     return (
-        orders.groupBy(month_key("order_date").alias("month"))
+        orders.groupBy(F.trunc("order_date", "month").alias("month"))
         .agg(F.count("*").alias("orders"))
+        .select(month_key("month").alias("month"), "orders")
         .orderBy("month")
     )
 

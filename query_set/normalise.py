@@ -320,6 +320,11 @@ QUERIES = {
                AS quantity,
                placed AS order_date
         FROM lines JOIN exported ON l_orderkey = o_orderkey
+        JOIN (SELECT l_orderkey AS key, min(doc) AS first_doc  -- equal documents count once
+              FROM (SELECT l_orderkey, doc, string_agg(l_partkey || ':' || price || ':' || quantity,
+                                                       ',' ORDER BY line_at) AS content
+                    FROM lines GROUP BY 1, 2)
+              GROUP BY l_orderkey, content) ON key = l_orderkey AND first_doc = doc
         WHERE NOT lost AND NOT flat_lost
           AND (copy = 0 OR c_mktsegment NOT IN ('FURNITURE', 'BUILDING'))""",
     ),

@@ -27,7 +27,7 @@ from tillroll.functions.nested import (
 from tillroll.operators.dedupe import distinct_rows, keep_first
 from tillroll.operators.joins import semi_join
 from tillroll.session import stage_table
-from tillroll.sources.sinks import write_csv, write_table
+from tillroll.sources.sinks import write_all, write_csv, write_table
 
 CUSTOMER_COLUMNS = (
     "customer_id",
@@ -281,7 +281,5 @@ def normalise(raw: DataFrame, out: str, fmt: str = "parquet") -> dict[str, str]:
         "order_items": items_from_elements(elements),
         "products": products_from_elements(elements),
     }
-    write = {"parquet": write_table, "csv": write_csv}[fmt]
-    for name, df in tables.items():
-        write(df, f"{out}/{name}")
+    write_all(tables, out, {"parquet": write_table, "csv": write_csv}[fmt])
     return {name: f"{out}/{name}" for name in tables}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
@@ -50,7 +50,16 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.select(*cols).write.mode("append").parquet(path)
 
 
+def write_all(
+    tables: Mapping[str, DataFrame],
+    out: str,
+    write: Callable[[DataFrame, str], None] = write_table,
+) -> None:
+    """Write each frame to ``out/<name>``; the writes run side by side."""
+    with ThreadPoolExecutor(len(tables)) as pool:
+        list(pool.map(lambda name: write(tables[name], f"{out}/{name}"), tables))
+
+
 def write_marts(marts: Mapping[str, DataFrame], out: str) -> None:
-    """Write each report to ``out/<name>``; the writes run side by side."""
-    with ThreadPoolExecutor(len(marts)) as pool:
-        list(pool.map(lambda kv: write_table(kv[1], f"{out}/{kv[0]}"), marts.items()))
+    """Write each report's rows to ``out/<report>``, replacing the last refresh."""
+    write_all(marts, out)

@@ -179,7 +179,7 @@ def _build_raw(spark: SparkSession, sf: str) -> DataFrame:
     phone = (
         F.when(segment == "FURNITURE", F.lit(None))
         .when(segment == "BUILDING", F.lit("nan"))
-        .otherwise(F.concat_ws("-", "c_nationkey", "c_custkey", "o_orderkey", "copy"))
+        .otherwise(F.concat_ws("-", "c_nationkey", "o_orderkey", "copy"))
     )
     bad_date = (F.col("o_orderpriority") == "3-MEDIUM") & (F.col("o_orderstatus") == "O")
     cells = {

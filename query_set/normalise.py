@@ -12,8 +12,10 @@ from tillroll.functions.nested import get_item, has_key
 from tillroll.operators.dedupe import distinct_rows, keep_first
 from tillroll.operators.joins import semi_join
 from tillroll.plans import normalise as n
+from tillroll.plans.reports import refresh_marts
+from tillroll.schemas import TABLES
 from tillroll.session import fresh_path
-from tillroll.sources.readers import read_export, table
+from tillroll.sources.readers import load_table, read_export, table
 from tillroll.sources.sinks import write_csv
 
 
@@ -89,6 +91,14 @@ def normalise_tables(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+def export_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """From the raw export to a report: clean-up, typed load, refresh."""
+    paths = n.normalise(b.raw_export(spark, sf), fresh_path(spark, "clean"))
+    loaded = {name: load_table(table(spark, path), TABLES[name]) for name, path in paths.items()}
+    marts = refresh_marts(loaded, fresh_path(spark, "marts"))
+    return as_double(table(spark, marts["category_revenue"]), "revenue", "share")
+
+
 def flat_items(spark: SparkSession, sf: str) -> DataFrame:
     flat = n.build_flat_items(b.raw_export(spark, sf))
     return flat.select(
@@ -220,7 +230,7 @@ WITH numbered AS (
 ), exported AS (
   SELECT orders.*, customer.*, copy,
          CASE WHEN c_mktsegment IN ('FURNITURE', 'BUILDING') THEN 'N/A'
-              ELSE c_nationkey || '-' || c_custkey || '-' || o_orderkey || '-' || copy END AS phone,
+              ELSE c_nationkey || '-' || o_orderkey || '-' || copy END AS phone,
          CASE WHEN o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'O' THEN NULL
               ELSE o_orderdate END AS placed
   FROM orders JOIN customer ON o_custkey = c_custkey
@@ -308,6 +318,16 @@ QUERIES = {
         UNION ALL SELECT 'products', count(*),
                CAST(sum(CAST(price AS DECIMAL(12,2))) AS DOUBLE) FROM ({_FIRST_PRODUCTS})""",
     ),
+    "export_reports": (
+        export_reports,
+        f"""{_LINES}
+        SELECT category, CAST(r AS DOUBLE) AS revenue,
+               CAST(round(100.0 * r / sum(r) OVER (), 1) AS DOUBLE) AS share
+        FROM (SELECT category, sum(quantity * CAST(i.price AS DECIMAL(12,2))) AS r
+              FROM ({_FIRST_ITEMS.format(bad="item_lost")}) i
+              JOIN ({_FIRST_PRODUCTS}) p ON i.product_id = p.product_id
+              GROUP BY 1)""",
+    ),
     "flat_items": (
         flat_items,
         f"""{_LINES}

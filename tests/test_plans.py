@@ -84,6 +84,12 @@ def test_items_are_aggregated_before_a_shuffled_join(spark, sf):
     assert plan.index("Join") < plan.index("partial_sum(quantity")
 
 
+def test_the_share_reuses_the_shuffle_of_the_sums(spark, sf):
+    df = r.category_share(b.order_items(spark, sf), b.products(spark, sf))
+    df.collect()
+    assert "ReusedExchange" in plan_text(df)
+
+
 def test_lookup_reaches_the_scan(spark, sf):
     plan = plan_text(lookup(b.source(spark, sf, "customer"), c_mktsegment="BUILDING", c_nationkey=7))
     assert "EqualTo(c_mktsegment,BUILDING)" in plan and "EqualTo(c_nationkey,7)" in plan

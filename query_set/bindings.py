@@ -90,7 +90,9 @@ def _element() -> Column:
     # a number in place of a text, and a JSON null in place of a name
     plain = F.to_json(F.struct(head, name.alias("product_name"), amount.alias("price"), *tail))
     unnamed = F.to_json(
-        F.struct(head, F.lit(None).cast("string").alias("product_name"), price.alias("price"), *tail),
+        F.struct(
+            head, F.lit(None).cast("string").alias("product_name"), price.alias("price"), *tail
+        ),
         {"ignoreNullFields": "false"},
     )
     return (

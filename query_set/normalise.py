@@ -386,7 +386,8 @@ QUERIES = {
     "dedupe_items": (
         dedupe_items,
         """SELECT l_orderkey AS order_id, l_partkey AS product_id, l_linenumber AS line_number,
-                  l_suppkey AS supplier_id, CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS DOUBLE) AS price,
+                  l_suppkey AS supplier_id,
+                  CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS DOUBLE) AS price,
                   CAST(l_quantity AS BIGINT) AS quantity
            FROM lineitem
            QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey

@@ -162,7 +162,9 @@ def _mixed_names(spark: SparkSession, sf: str) -> DataFrame:
         .when(size > 20, F.translate("p_name", "eo", "éö"))
         .otherwise(F.col("p_name"))
     )
-    return b.source(spark, sf, "part").select(F.col("p_partkey").alias("product_id"), name.alias("name"))
+    return b.source(spark, sf, "part").select(
+        F.col("p_partkey").alias("product_id"), name.alias("name")
+    )
 
 
 def unique_violations(spark: SparkSession, sf: str) -> DataFrame:
@@ -243,7 +245,9 @@ def csv_quoting(spark: SparkSession, sf: str) -> DataFrame:
     note = F.concat(
         F.lit(' "'), F.col("p_name"), F.lit('", \\'), F.col("p_brand"), F.lit("\n ")
     )
-    held = b.source(spark, sf, "part").select(F.col("p_partkey").alias("product_id"), note.alias("note"))
+    held = b.source(spark, sf, "part").select(
+        F.col("p_partkey").alias("product_id"), note.alias("note")
+    )
     write_csv(held, path)
     return read_csv(spark, path, "product_id bigint, note string")
 

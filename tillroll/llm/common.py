@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +16,19 @@ from tillroll.session import stage_table
 __all__ = ["body", "fresh_name", "paired", "scan", "stage_table", "text_hash", "texts_of"]
 
 
+def _reachable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver has it;
+    on a cluster it is passed along with ``--py-files`` or installed."""
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    held = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in held:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *held])
+
+
 def scan(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     """One of the given tables, whole."""
+    _reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -16,6 +16,7 @@ from tillroll.llm.lm_score import lm_scores
 from tillroll.llm.packing import pack
 from tillroll.llm.quality import quality_scores
 from tillroll.llm.simhash import near_duplicates
+from tillroll.llm.suffix_dedup import suffix_dedup
 from tillroll.llm.token_count import token_counts
 
 
@@ -46,6 +47,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(scan(spark, sf_dir))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup(scan(spark, sf_dir))
+    return left.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(scan(spark, sf_dir), scan(spark, sf_dir, "labels"))
 
@@ -67,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_exact_dedup,
         op5_line_dedup,
         op6_token_counts,
+        op7_suffix_array_dedup,
         op8_quality_classifier,
         op9_lm_scoring,
         op10_simhash_near_dedup,
@@ -128,9 +137,9 @@ spans AS (
 )
 SELECT doc_id, len(lines) AS n_lines, coalesce(n_removed, 0) AS n_removed,
        CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-       sha256(array_to_string(list_transform(
-         list_filter(range(1, len(lines) + 1), i -> NOT list_contains(coalesce(gone, []), i)),
-         i -> lines[i]), chr(10))) AS kept_sha256
+       sha256(array_to_string(
+         [lines[i] FOR i IN range(1, len(lines) + 1) IF NOT list_contains(coalesce(gone, []), i)],
+         chr(10))) AS kept_sha256
 FROM doc LEFT JOIN spans USING (doc_id)
 """
 

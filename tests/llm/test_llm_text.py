@@ -1,0 +1,339 @@
+"""Licences, contamination, tokens, packing, quality and language-model scores."""
+
+from __future__ import annotations
+
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tillroll.llm import decontaminate, license_scan, lm_score, packing, quality, token_count
+from tillroll.llm.common import scan
+
+SCHEMA = "doc_id long, text string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return scan(spark, sf)
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r["doc_id"], r["text"]) for r in docs.collect()]
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(token_count.vocabulary_path())
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+# --- licences ---------------------------------------------------------------
+
+PHRASES = [(t.label, t.words) for t in license_scan.BASE]
+
+
+def scanned(df):
+    names = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    return Counter(tuple(r[n] for n in names) for r in df.collect())
+
+
+def test_licences_all(docs, rows):
+    found = license_scan.license_scan(docs)
+    assert scanned(found) == Counter(brute.licences(rows, PHRASES))
+    assert all(0 <= r["score"] <= 1 for r in found.collect())
+
+
+ODD = [
+    (1, None), (2, ""), (3, "..."), (4, "Under the MIT License"), (5, "under the mit-license!"),
+    (6, "the MIT license under the mit licence"), (7, "CC BY-NC 4.0, cc by nc; CC-BY-NC"),
+    (8, "Apache License, Version 2.0"), (8, "Apache License, Version 2.0"), (9, "apache license version 20"),
+    (10, "Kelvin İ ÉTÉ under the mİt license"), (11, "word " * 60_000 + "cc by nc"),
+    (None, "under the mit license under the mit license"),
+]
+
+
+def test_licences_odd_rows(spark):
+    found = license_scan.license_scan(frame(spark, ODD))
+    assert scanned(found) == Counter(brute.licences(ODD, PHRASES))
+    assert license_scan.license_scan(frame(spark, [])).count() == 0
+
+
+def test_licences_of_longer_templates(spark):
+    bsd = next(t for t in license_scan.NOTICES if t.label == "bsd")
+    text = bsd.text.title()
+    rows = [
+        (1, text), (2, text.replace("Or Without", "and also without")),
+        (3, text.replace("Following Conditions", "next conditions")),
+        (4, "GNU General Public License, and under the MIT License"),
+    ]
+    found = {r["doc_id"]: r for r in license_scan.license_scan(frame(spark, rows)).collect()}
+    assert found[1]["labels"] == "bsd" and found[1]["score"] == pytest.approx(1)
+    assert found[3]["labels"] == "" and found[3]["score"] == 0
+    assert found[4]["labels"] == "gpl,mit" and found[4]["base_labels"] == "mit"
+
+
+def test_licences_without_python(docs):
+    plan = license_scan.license_scan(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+# --- contamination ----------------------------------------------------------
+
+
+def digest(docs, benchmark, **options):
+    found = decontaminate.digest(decontaminate.contamination(docs, benchmark, **options))
+    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return Counter(tuple(r[n] for n in names) for r in found.collect())
+
+
+def test_contamination_all(spark, sf, docs, rows):
+    benchmark = scan(spark, sf, "benchmark")
+    items = [(r["item_id"], r["text"]) for r in benchmark.collect()]
+    expected = Counter(brute.contamination(rows, items))
+    assert digest(docs, benchmark) == expected
+    assert digest(docs, benchmark, block_bytes=2000) == expected  # several blocks
+    kept = decontaminate.drop_contaminated(docs, benchmark, block_bytes=2000)
+    clean = sorted(doc for doc, *_, bad in brute.contamination(rows, items) if not bad)
+    assert sorted(r["doc_id"] for r in kept.collect()) == clean and kept.columns == docs.columns
+
+
+def test_contamination_small_words(spark):
+    rng = random.Random(2)
+    vocabulary = ["a", "b", "c", "É", "x1"]
+
+    def text(n):
+        return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+    items = [(i, text(rng.randint(1, 14))) for i in range(12)] + [
+        (20, None), (21, "..."), (None, "only here"), (5, text(11)), (30, "Long " * 12),
+    ]
+    rows = [(i, text(rng.randint(0, 60))) for i in range(40)] + [
+        (50, None), (51, ""), (52, "ONLY, here"), (52, "ONLY, here"), (53, "long " * 9),
+        (54, "long " * 30_000), (None, "only here"),
+    ]
+    for own in (items, items[-1:], []):
+        benchmark = spark.createDataFrame(own, "item_id long, text string")
+        assert digest(frame(spark, rows), benchmark) == Counter(brute.contamination(rows, own))
+    assert digest(frame(spark, []), benchmark) == Counter()
+
+
+# --- tokens -----------------------------------------------------------------
+
+
+def test_counts_all(docs, rows, library):
+    found = {r["doc_id"]: r for r in token_count.token_counts(docs, chunk=700).collect()}
+    for doc, text in rows:
+        n = len(library.encode(text or "", add_special_tokens=False).ids)
+        r = found[doc]
+        assert (r["n_tokens"], r["over_limit"], r["n_bytes"]) == (n, n > 1024, len((text or "").encode()))
+
+
+def test_encoder_against_the_library(library):
+    """Chunks of a few characters, over all that makes a boundary doubtful."""
+    encode = token_count.encoder(token_count.vocabulary_path())
+    rng = random.Random(1)
+    parts = [
+        "a", "the ", "  ", "\n", "\n\n", " don't", "'s", "é", "日本", "<|endoftext|>", "x" * 40, "123", "!?",
+        "\t", " ", " <|endoft", "ext|>", "\x1f", "\x85 ", " ", "0 ", "’ll ", "'LL",
+    ]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 200)))
+        ids = encode(text, chunk=rng.choice([8, 16, 40, 100]), overlap=rng.choice([2, 4, 16]))
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_counts_odd_rows(spark, library):
+    odd = [(1, None), (2, ""), (2, ""), (3, "a" * 100_000), (4, " " * 100_000), (None, "a b")]
+    found = token_count.token_counts(frame(spark, odd).withColumn("n_tokens", F.lit(7)))
+    expected = Counter(
+        (doc, len(library.encode(text or "", add_special_tokens=False).ids)) for doc, text in odd
+    )
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in found.collect()) == expected
+    assert token_count.token_counts(frame(spark, [])).count() == 0
+
+
+# --- packing ----------------------------------------------------------------
+
+
+def check_packing(df, rows, library, capacity=1024):
+    """The pieces are the documents' ids, and the sequences hold them without a gap."""
+    found = df.collect()
+    crcs = defaultdict(list)
+    for doc, text in rows:
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        first = len(ids) % capacity if len(ids) > capacity else len(ids)
+        cuts = [0, *range(first or capacity, len(ids) + 1, capacity)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            crcs[doc].append((k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+    own = defaultdict(list)
+    for r in found:
+        own[r["doc_id"]].append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+    assert {d: sorted(v) for d, v in own.items()} == {d: sorted(v) for d, v in crcs.items()}
+    sequences = defaultdict(list)
+    for r in found:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for held in sequences.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(sequences), -(-sum(r["length"] for r in found) // capacity)
+
+
+def test_packing_all(docs, rows, library):
+    sequences, bound = check_packing(packing.pack(docs), rows, library)
+    assert sequences <= bound * 1.01 + 1
+
+
+def test_packing_in_many_groups(docs, rows, library):
+    sequences, bound = check_packing(packing.pack(docs, group=16), rows, library)
+    assert sequences <= bound * 1.05 + 2
+
+
+def test_packing_odd_rows(spark, library):
+    odd = [(1, None), (1, None), (2, ""), (3, "word " * 5000), (None, "a"), (4, " a" * 1023), (5, " a" * 1024)]
+    check_packing(packing.pack(frame(spark, odd)), odd, library)
+    assert packing.pack(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_local_search_raises_squared_fill(seed):
+    rng = random.Random(seed)
+    sizes = [rng.randint(1, 100) if seed % 2 else rng.randint(30, 70) for _ in range(200)]
+    start = packing.best_fit(sizes, 100)
+    before = sum(sum(sizes[i] for i in b) ** 2 for b in start)
+    bins = packing.improve([list(b) for b in start], sizes, 100)
+    fills = [sum(sizes[i] for i in b) for b in bins]
+    assert sorted(i for b in bins for i in b) == list(range(200))
+    assert max(fills) <= 100 and len(bins) <= len(start) and sum(f * f for f in fills) >= before
+
+
+def test_local_search_empties_a_bin():
+    sizes = [60, 60, 30, 30, 20, 20, 20, 40, 20]  # 300 in all
+    bins = packing.improve([[0, 2], [1, 3], [4, 5, 6], [7, 8]], sizes, 100)
+    assert len(bins) == 3
+
+
+# --- quality ----------------------------------------------------------------
+
+
+def test_quality_held_out_accuracy(spark, docs, sf):
+    labels = scan(spark, sf, "labels")
+    scored = quality.quality_scores(docs, labels)
+    rows = scored.join(labels, "doc_id").where("held_out").collect()
+    right = sum(r["predicted"] == r["quality"] for r in rows)
+    assert len(rows) > 10 and right / len(rows) >= 0.9
+    assert scored.count() == docs.count()
+
+
+def test_quality_held_out_labels_are_not_learned(spark, docs, sf):
+    labels = scan(spark, sf, "labels")
+    flipped = labels.withColumn(
+        "quality", F.when(quality.remainder(4) == 2, 1 - F.col("quality")).otherwise(F.col("quality"))
+    )
+    one = {r["doc_id"]: r["score"] for r in quality.quality_scores(docs, labels).collect()}
+    two = {r["doc_id"]: r["score"] for r in quality.quality_scores(docs, flipped).collect()}
+    assert one == two
+
+
+def test_quality_gradients():
+    rng = np.random.default_rng(0)
+    passages, first = rng.normal(size=(9, quality.FEATURES)), np.array([0, 2, 5])
+    labels = np.array([1.0, 0.0, 1.0])
+    model = quality.Attention(passages.mean(0), passages.std(0) + 0.1)
+
+    def loss():
+        score = model.score(passages, first)
+        return -np.mean(labels * np.log(score) + (1 - labels) * np.log(1 - score))
+
+    for name, gradient in model.gradients(passages, first, labels).items():
+        flat, step = model.weights[name].reshape(-1), 1e-5
+        for at in (0, len(flat) // 2):
+            held = flat[at]
+            flat[at] = held + step
+            up = loss()
+            flat[at] = held - step
+            down = loss()
+            flat[at] = held
+            assert (up - down) / (2 * step) == pytest.approx(gradient.reshape(-1)[at], abs=1e-7)
+
+
+def test_quality_odd_rows(spark):
+    rows = [(i, ("clean words here " if i % 2 else "### !! ") * 20) for i in range(40)]
+    odd = [*rows, (50, None), (51, ""), (51, ""), (None, "clean words here"), (52, "clean words " * 50_000)]
+    labels = spark.createDataFrame(
+        [(i, i % 2) for i in range(40)] + [(3, None), (None, 1)], "doc_id long, quality int"
+    )
+    found = quality.quality_scores(frame(spark, odd), labels).collect()
+    assert len(found) == len(odd) and all(0 <= r["score"] <= 1 for r in found)
+    assert {r["predicted"] for r in found if r["doc_id"] == 52} == {1}
+    kept = quality.drop_rejected(frame(spark, odd).withColumn("score", F.lit(0)), labels)
+    assert kept.columns == ["doc_id", "text", "score"]
+    assert {r["doc_id"] for r in kept.collect()} >= {i for i in range(40) if i % 2}
+    none = labels.where("quality > 5")
+    assert {r["score"] for r in quality.quality_scores(frame(spark, odd), none).collect()} == {0.5}
+    assert quality.quality_scores(frame(spark, []), labels).count() == 0
+
+
+# --- language model ---------------------------------------------------------
+
+
+def check_base(df, rows):
+    expected = sorted(brute.base_scores(rows), key=str)
+    found = sorted(
+        (
+            (r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"])
+            for r in df.collect()
+        ),
+        key=str,
+    )
+    assert [f[:5] for f in found] == [e[:5] for e in expected]
+    assert [f[5] for f in found] == pytest.approx([e[5] for e in expected], rel=1e-9)
+
+
+def test_base_scores_all(docs, rows):
+    check_base(lm_score.lm_scores(docs), rows)
+    check_base(lm_score.lm_scores(docs, top=50), rows)  # most words are joined
+
+
+def test_model_scores(spark, docs):
+    found = lm_score.lm_scores(docs).collect()
+    assert all(r["score"] < 0 for r in found)
+    held = [r["bits_per_byte"] for r in found if r["held_out"] and r["n_tokens"] > 50]
+    assert np.mean(held) < 4.0  # eight without a model
+
+
+def test_symbol_probabilities_sum_to_one(docs):
+    counted = lm_score.count_table(docs, 7, 2).cache()
+    model = lm_score.fit(docs, counted, 7, 2)
+    counted.unpersist()
+    for before in (b"the", b"\xff\xff\xff", b"zqx", b" a\n"):
+        gram = np.uint32(int.from_bytes(before + b"\0", "big")) + np.arange(256, dtype=np.uint32)
+        assert np.exp(model.symbol_codes(gram)).sum(axis=0) == pytest.approx([1, 1])
+
+
+def test_grams_of_several_texts():
+    gram, first = lm_score.grams([b"aB", b"", b"c"])
+    assert first.tolist() == [0, 3, 4]
+    symbols = [bytes(int(g).to_bytes(4, "big")) for g in gram]
+    end, start = lm_score.END, lm_score.START
+    assert symbols[:4] == [start + b"a", start[:2] + b"ab", start[:1] + b"ab" + end, start + end]
+
+
+def test_scores_odd_rows(spark):
+    odd = [(1, None), (2, ""), (3, "a b A"), (3, "a b A"), (None, "a \x0b b"), (4, "É é"), (5, "x " * 200_000)]
+    check_base(lm_score.lm_scores(frame(spark, odd)), odd)
+    assert lm_score.lm_scores(frame(spark, [])).count() == 0
+    alone = [(i, "a") for i in range(40) if lm_score.held_out(i)]
+    check_base(lm_score.lm_scores(frame(spark, alone)), alone)

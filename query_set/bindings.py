@@ -7,18 +7,16 @@ of the order priority, the category the part type.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.functions.frames import null_tokens
-from tillroll.operators.joins import anti_join
-from tillroll.operators.numbering import number_rows
 from tillroll.schemas import EXPORT_COLUMNS
 from tillroll.session import fresh_path
 
-DOCUMENT_LINES = 8
-"""No document of the raw export holds more lines than this."""
-
 PRICE = "decimal(12,2)"
 
 
@@ -103,21 +101,17 @@ def _element() -> Column:
 
 
 def to_raw_orders(lines: DataFrame) -> DataFrame:
-    """Lines with an element text gathered into documents, one row each.
+    """Lines with an element text gathered into one document per order.
 
-    A document holds the lines of one order within ``DOCUMENT_LINES``
-    consecutive numbers, so no group grows with the data and an order of any
-    size spreads over many export rows.
+    A row of the export is an order with all its lines, so its size is the
+    order's; lines are in a fixed order.
     """
-    order = ["l_orderkey", "l_partkey", "l_extendedprice", "l_quantity", "_scan"]
-    numbered = number_rows(lines, order, "_at", start=0)
-    gathered = numbered.groupBy(
-        "l_orderkey", F.floor(F.col("_at") / DOCUMENT_LINES).alias("doc")
-    ).agg(F.array_sort(F.collect_list(F.struct("_at", "element"))).alias("_lines"))
-    texts = F.array_join(F.transform("_lines", lambda line: line.element), ",")
-    return gathered.select(
-        "l_orderkey", "doc", F.concat(F.lit("["), texts, F.lit("]")).alias("document")
+    place = ["l_partkey", "l_extendedprice", "l_quantity", "element"]
+    gathered = lines.groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct(*place))).alias("_lines")
     )
+    texts = F.array_join(F.transform("_lines", lambda line: line.element), ",")
+    return gathered.select("l_orderkey", F.concat(F.lit("["), texts, F.lit("]")).alias("document"))
 
 
 def _products_text() -> Column:
@@ -149,8 +143,6 @@ def _build_raw(spark: SparkSession, sf: str) -> DataFrame:
             "l_partkey",
             "l_extendedprice",
             "l_quantity",
-            # keeps equal lines apart, so that the numbering can split them
-            F.monotonically_increasing_id().alias("_scan"),
         )
         .join(source(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .select(
@@ -158,20 +150,13 @@ def _build_raw(spark: SparkSession, sf: str) -> DataFrame:
             "l_partkey",
             "l_extendedprice",
             "l_quantity",
-            "_scan",
             _element().alias("element"),
         )
     )
     documents = to_raw_orders(lines)
     orders_ = source(spark, sf, "orders")
-    # two inner parts instead of an outer join: only an inner join can have a
-    # hot key split on the side of the documents
-    placed = (
-        documents.join(orders_, F.col("l_orderkey") == F.col("o_orderkey"))
-        .unionByName(
-            anti_join(orders_, documents, "o_orderkey", "l_orderkey"), allowMissingColumns=True
-        )
-        .join(source(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    placed = orders_.join(documents, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(
+        source(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")
     )
     # an urgent order is exported twice, the second time with another phone
     copies = F.when(F.col("o_orderpriority") == "1-URGENT", F.array(F.lit(0), F.lit(1))).otherwise(
@@ -210,20 +195,30 @@ def _build_raw(spark: SparkSession, sf: str) -> DataFrame:
         *[cells[c].cast("string").alias(c) for c in EXPORT_COLUMNS],
         F.struct(
             F.col("o_orderkey").alias("order_id"),
-            F.coalesce("doc", F.lit(-1)).alias("doc"),
             "copy",
         ).alias("seq"),
     )
 
 
-_written: dict[tuple[str, str], str] = {}
+_written: dict[tuple[str, str, str], Any] = {}
+
+
+def once(spark: SparkSession, sf: str, label: str, write: Callable[[str], Any]) -> Any:
+    """What ``write`` returns for a new path; called once per application and data folder."""
+    key = (spark.sparkContext.applicationId, sf, label)
+    if key not in _written:
+        _written[key] = write(fresh_path(spark, label))
+    return _written[key]
 
 
 def raw_export(spark: SparkSession, sf: str) -> DataFrame:
     """The raw export of a whole data folder, written once per application."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _written:
-        path = fresh_path(spark, "export")
+
+    def write(path: str) -> str:
         _build_raw(spark, sf).write.parquet(path)
-        _written[key] = path
-    return null_tokens(spark.read.parquet(_written[key]), EXPORT_COLUMNS)
+        return path
+
+    # as build_session has it; the registered queries run in any session
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    path = once(spark, sf, "export", write)
+    return null_tokens(spark.read.parquet(path), EXPORT_COLUMNS)

@@ -131,7 +131,6 @@ def flat_orders(spark: SparkSession, sf: str) -> DataFrame:
 def _rejected(spark: SparkSession, sf: str, target: str) -> DataFrame:
     return n.rejects(b.raw_export(spark, sf), target).select(
         "order_id",
-        F.col("seq.doc").alias("doc"),
         F.col("seq.copy").cast("bigint").alias("copy"),
         F.coalesce("pos", F.lit(-1)).cast("bigint").alias("pos"),
         "reason",
@@ -197,7 +196,7 @@ def items_semi_orders(spark: SparkSession, sf: str) -> DataFrame:
     return as_double(semi_join(items, finished, "order_id"), "price")
 
 
-# Lines as the export holds them: documents of eight lines in sorted order,
+# Lines as the export holds them: one document per order, lines in sorted order,
 # with what each pass rejects, and what is lost as a whole document.
 _LINES = """
 WITH numbered AS (
@@ -209,12 +208,12 @@ WITH numbered AS (
          row_number() OVER (ORDER BY l_orderkey, l_partkey, l_extendedprice, l_quantity) - 1 AS line_at
   FROM lineitem JOIN part ON l_partkey = p_partkey
 ), documents AS (
-  SELECT n.*, line_at // 8 AS doc, o.o_custkey, o.o_orderdate, o.o_orderpriority, o.o_orderstatus,
+  SELECT n.*, o.o_custkey, o.o_orderdate, o.o_orderpriority, o.o_orderstatus,
          (o_orderstatus = 'P' AND o_orderpriority = '5-LOW')
          OR (o_orderstatus = 'O' AND o_orderpriority = '2-HIGH')
          OR (o_orderstatus = 'F' AND o_orderpriority = '4-NOT SPECIFIED')
          OR (o_orderstatus = 'F'
-             AND bool_or(coalesce(name = '', false)) OVER (PARTITION BY l_orderkey, line_at // 8))
+             AND bool_or(coalesce(name = '', false)) OVER (PARTITION BY l_orderkey))
          AS lost,
          price_bad OR p_brand = 'Brand#9' AS item_bad,
          price_bad OR p_brand = 'Brand#21' AS product_bad,
@@ -223,9 +222,9 @@ WITH numbered AS (
 ), lines AS (
   SELECT *, bool_or(item_bad) OVER w AS item_lost, bool_or(product_bad) OVER w AS product_lost,
          bool_or(flat_bad) OVER w AS flat_lost,
-         row_number() OVER (PARTITION BY l_orderkey, doc ORDER BY line_at) - 1 AS pos
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY line_at) - 1 AS pos
   FROM documents
-  WINDOW w AS (PARTITION BY l_orderkey, doc ORDER BY line_at
+  WINDOW w AS (PARTITION BY l_orderkey ORDER BY line_at
                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ), exported AS (
   SELECT orders.*, customer.*, copy,
@@ -241,14 +240,14 @@ WITH numbered AS (
 _FIRST_ITEMS = """
   SELECT l_orderkey AS order_id, l_partkey AS product_id, quantity, CAST(price AS DOUBLE) AS price
   FROM lines WHERE NOT lost AND NOT {bad}
-  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY doc, line_at) = 1
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY line_at) = 1
 """
 
 _FIRST_PRODUCTS = """
   SELECT l_partkey AS product_id, name AS product_name, p_type AS category,
          CAST(price AS DOUBLE) AS price
   FROM lines WHERE NOT lost AND NOT product_lost
-  QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, doc, line_at) = 1
+  QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, line_at) = 1
 """
 
 _CLEAN_ORDERS = """
@@ -273,14 +272,14 @@ _CLEAN_CUSTOMERS = f"""
 
 def _rejects_sql(bad: str, lost: str) -> str:
     return f"""{_LINES}
-SELECT l_orderkey AS order_id, doc, CAST(copy AS BIGINT) AS copy, pos,
+SELECT l_orderkey AS order_id, CAST(copy AS BIGINT) AS copy, pos,
        CASE WHEN {bad} THEN 'bad element' ELSE 'after bad element' END AS reason
 FROM lines JOIN exported ON l_orderkey = o_orderkey WHERE NOT lost AND {lost}
 UNION ALL
-SELECT DISTINCT l_orderkey, doc, CAST(copy AS BIGINT), CAST(-1 AS BIGINT), 'no JSON array'
+SELECT DISTINCT l_orderkey, CAST(copy AS BIGINT), CAST(-1 AS BIGINT), 'no JSON array'
 FROM lines JOIN exported ON l_orderkey = o_orderkey WHERE lost
 UNION ALL
-SELECT o_orderkey, CAST(-1 AS BIGINT), CAST(copy AS BIGINT), CAST(-1 AS BIGINT), 'missing text'
+SELECT o_orderkey, CAST(copy AS BIGINT), CAST(-1 AS BIGINT), 'missing text'
 FROM exported WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
 """
 
@@ -340,11 +339,6 @@ QUERIES = {
                AS quantity,
                placed AS order_date
         FROM lines JOIN exported ON l_orderkey = o_orderkey
-        JOIN (SELECT l_orderkey AS key, min(doc) AS first_doc  -- equal documents count once
-              FROM (SELECT l_orderkey, doc, string_agg(l_partkey || ':' || price || ':' || quantity,
-                                                       ',' ORDER BY line_at) AS content
-                    FROM lines GROUP BY 1, 2)
-              GROUP BY l_orderkey, content) ON key = l_orderkey AND first_doc = doc
         WHERE NOT lost AND NOT flat_lost
           AND (copy = 0 OR c_mktsegment NOT IN ('FURNITURE', 'BUILDING'))""",
     ),

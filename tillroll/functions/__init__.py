@@ -12,7 +12,7 @@ from tillroll.functions.columns import (
     price_label,
     quoted,
 )
-from tillroll.functions.frames import fill_nulls, lookup, null_tokens, rename, with_columns
+from tillroll.functions.frames import fill_nulls, lookup, null_tokens
 from tillroll.functions.nested import (
     explode_items,
     get_item,
@@ -44,8 +44,6 @@ __all__ = [
     "prefix_length",
     "price_label",
     "quoted",
-    "rename",
     "repair_json",
     "valid_prefix",
-    "with_columns",
 ]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,9 +54,16 @@ def drop_chars(col: Column | str, chars: str) -> Column:
     return F.translate(as_column(col), chars, "")
 
 
-def coerce_timestamp(col: Column | str) -> Column:
-    """Timestamp without zone; text that is none becomes NULL."""
-    return as_column(col).try_cast("timestamp_ntz")
+def coerce_timestamp(col: Column | str, formats: Sequence[str] = ()) -> Column:
+    """Timestamp without zone; text that is none becomes NULL.
+
+    ISO spellings are read as they are. Other spellings have to be named as
+    Spark datetime patterns in ``formats``, such as ``MM/dd/yyyy`` or ``MMM d, yyyy``;
+    the first one that fits counts.
+    """
+    text = as_column(col)
+    read = [F.try_to_timestamp(text, F.lit(f)).try_cast("timestamp_ntz") for f in formats]
+    return F.coalesce(text.try_cast("timestamp_ntz"), *read)
 
 
 def parse_int(col: Column | str) -> Column:
@@ -62,20 +71,27 @@ def parse_int(col: Column | str) -> Column:
     return as_column(col).try_cast("bigint")
 
 
-def parse_money(
-    col: Column | str, strip: str = "$,", type_: str = "decimal(18,6)", strict: bool = False
-) -> Column:
+AMOUNT = "decimal(38,12)"
+"""26 digits before the point and 12 behind it; finer digits are rounded half up."""
+
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def parse_money(col: Column | str, strip: str = "$,", strict: bool = False) -> Column:
     """Amount from text after removing the ``strip`` characters.
 
-    ``strict`` fails the run on text that is no amount, whatever the session's
-    ANSI setting; otherwise such text becomes NULL.
+    Text that is no number becomes NULL, or with ``strict`` fails the run. A number
+    beyond ``AMOUNT`` always fails the run: it is an amount, so a NULL would
+    lose it silently. Neither depends on the session's ANSI setting.
     """
     col = as_column(col)
-    amount = drop_chars(col, strip).try_cast(type_)
-    if not strict:
-        return amount
-    bad = F.raise_error(F.concat(F.lit("not an amount: "), col)).cast(type_)
-    return F.when(col.isNotNull() & amount.isNull(), bad).otherwise(amount)
+    text = drop_chars(col, strip)
+    large = F.raise_error(F.concat(F.lit("amount out of range: "), col)).cast(AMOUNT)
+    bad = F.raise_error(F.concat(F.lit("not an amount: "), col)).cast(AMOUNT)
+    failed = F.when(text.rlike(_NUMBER), large)
+    if strict:
+        failed = failed.when(col.isNotNull(), bad)
+    return F.coalesce(text.try_cast(AMOUNT), failed)
 
 
 def collated(col: Column | str, collation: str = "UNICODE_CI_AI") -> Column:

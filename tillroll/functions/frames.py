@@ -1,4 +1,4 @@
-"""Frame-level column work: renames, fills, equality look-ups."""
+"""Frame-level column work: fills and equality look-ups."""
 
 from __future__ import annotations
 
@@ -13,14 +13,6 @@ from tillroll.functions.columns import quoted
 from tillroll.schemas import NULL_TOKENS
 
 
-def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    return df.withColumnsRenamed(dict(names))
-
-
-def with_columns(df: DataFrame, **cols: Column) -> DataFrame:
-    return df.withColumns(cols)
-
-
 def _replace(df: DataFrame, new: Mapping[str, Column]) -> DataFrame:
     unknown = set(new) - set(df.columns)
     if unknown:

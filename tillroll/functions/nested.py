@@ -26,14 +26,31 @@ def repair_json(text: Column | str, wrapped_only: bool = False) -> Column:
     return F.when(text.startswith('"'), fixed).otherwise(text) if wrapped_only else fixed
 
 
+MAX_TEXT = 16 << 20
+"""A text over so many bytes that does not parse fails the run: it may be good
+JSON beyond what a VARIANT holds."""
+
+
 def parse_items(text: Column | str, wrapped_only: bool = False) -> Column:
     """``array<variant>`` of the elements; NULL unless the text is one JSON array.
 
-    The text is parsed as the value of a one-key object, because the parser
-    accepts trailing characters after a complete value.
+    The parser accepts trailing characters after a complete value. So the text
+    is parsed as the only element of an array: whatever follows it makes
+    that no JSON, or an array of several elements.
     """
-    document = F.concat(F.lit('{"items":'), repair_json(text, wrapped_only), F.lit("}"))
-    return F.try_variant_get(F.try_parse_json(document), "$.items", "array<variant>")
+    text = repair_json(text, wrapped_only)
+    document = F.concat(F.lit("["), text, F.lit("]"))
+    parsed = F.try_variant_get(F.try_parse_json(document), "$", "array<variant>")
+    # through a lambda, so that the text is parsed once and not for each use
+    only = F.transform(F.array(parsed), lambda d: F.when(F.size(d) == 1, F.get(d, F.lit(0))))
+    items = F.try_variant_get(F.get(only, F.lit(0)), "$", "array<variant>")
+    message = F.concat(
+        F.lit("line items do not parse, or exceed a VARIANT: "),
+        F.octet_length(text).cast("string"),
+        F.lit(" bytes"),
+    )
+    large = F.when(F.octet_length(text) > MAX_TEXT, F.raise_error(message).cast("array<variant>"))
+    return F.coalesce(items, large)
 
 
 def has_key(item: Column, key: str) -> Column:

@@ -9,7 +9,6 @@ from tillroll.operators.integrity import (
 )
 from tillroll.operators.joins import (
     anti_join,
-    has_at_most,
     join_items_products,
     join_orders_customers,
     semi_join,
@@ -28,7 +27,6 @@ __all__ = [
     "check_unique",
     "distinct_rows",
     "first_match",
-    "has_at_most",
     "join_items_products",
     "join_orders_customers",
     "keep_first",

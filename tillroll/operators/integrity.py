@@ -62,7 +62,7 @@ def check_decimal(
     limit = F.lit(Decimal(10) ** (precision - scale))
     bad = rounded.isNull() | (F.abs(rounded) >= limit)
     if exact:
-        more = min(12, 38 - precision)
-        finer = quoted(col).try_cast(f"decimal({precision + more},{scale + more})")
+        # all digits a decimal has room for behind an amount in range
+        finer = quoted(col).try_cast(f"decimal(38,{38 - precision + scale})")
         bad = bad | (finer != rounded.try_cast(f"decimal({precision},{scale})"))
     return df.where(quoted(col).isNotNull() & bad)

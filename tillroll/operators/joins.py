@@ -22,11 +22,6 @@ def join_items_products(items: DataFrame, products: DataFrame) -> DataFrame:
     return items.join(products, "product_id", "inner")
 
 
-def has_at_most(df: DataFrame, rows: int) -> bool:
-    """Whether the frame has at most so many rows; counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def key_set(df: DataFrame, key: str, name: str = "_key") -> DataFrame:
     """The distinct keys of a table.
 

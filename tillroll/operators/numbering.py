@@ -10,12 +10,19 @@ from pyspark.sql import functions as F
 from tillroll.functions.columns import quoted
 from tillroll.session import stage_table
 
+SLICE_BYTES = 256 << 20
+MOST_SLICES = 100_000
+
 _ROW_BITS = (1 << 33) - 1
 """Low bits of monotonically_increasing_id: the row's place in its partition."""
 
 
 def number_rows(
-    df: DataFrame, order_by: Sequence[str], name: str = "id", start: int = 1
+    df: DataFrame,
+    order_by: Sequence[str],
+    name: str = "id",
+    start: int = 1,
+    slices: int | None = None,
 ) -> DataFrame:
     """Number all rows ``start, start + 1, ...`` in ``order_by`` order.
 
@@ -24,9 +31,17 @@ def number_rows(
     in it, and each slice is shifted by the sizes of the slices before it. The
     staged table pins the placement: a task that is run again cannot number
     its rows differently. Only one row per slice is broadcast.
+
+    ``slices`` is the number of sort tasks. By default there are as many as shuffle
+    partitions, and more where the planner's estimate of the input gives
+    one over ``SLICE_BYTES``.
     """
     spark = df.sparkSession
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if slices is None:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # an estimate of a join may be far too large; a slice is broadcast as one row
+        slices = max(parts, min(-(-size // SLICE_BYTES), MOST_SLICES))
     order = list(map(quoted, order_by))
     placed = stage_table(
         df.repartitionByRange(slices, *order)

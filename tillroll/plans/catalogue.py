@@ -17,7 +17,8 @@ def categories(products: DataFrame, collation: str | None = None) -> DataFrame:
 
 
 ID_RANGE = 100_000
-"""Product ids per block. A block of one category never holds more rows."""
+"""Product ids per block. As ids are a key, a block of one category never holds more rows;
+NULL ids, which a key excludes, would all be in block 0."""
 
 
 def _listed(products: DataFrame) -> DataFrame:
@@ -79,17 +80,21 @@ def catalogue_pages(products: DataFrame, page_size: int = 100) -> DataFrame:
 def validate_products(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """The batch with ``reason``: NULL where the product may be added.
 
-    A name is required, the price has to be an amount on the 0.01 grid, and
-    the category has to be in use already.
+    A name is required, the price has to be an amount in range and on the 0.01
+    grid, and the category has to be in use already.
     """
-    amount = F.expr("try_cast(price AS decimal(38,10))")
+    price = F.col("price").cast("string")
+    is_number = price.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$")
+    cents = price.try_cast("decimal(10,2)")
+    # in range, eight digits stand before the point, which leaves thirty behind it
+    exact = price.try_cast("decimal(38,30)")
     known = categories(existing).select(F.col("category").alias("_known"))
     tested = batch.join(known, F.col("category") == F.col("_known"), "left")
     reason = (
         F.when(~non_empty("name"), F.lit("name missing"))
-        .when(amount.isNull(), F.lit("price is no amount"))
-        .when(amount != F.round(amount, 2), F.lit("price off the 0.01 grid"))
-        .when(amount.try_cast("decimal(10,2)").isNull(), F.lit("price out of range"))
+        .when(~F.coalesce(is_number, F.lit(False)), F.lit("price is no amount"))
+        .when(cents.isNull() | exact.isNull(), F.lit("price out of range"))
+        .when(exact != cents, F.lit("price off the 0.01 grid"))
         .when(F.col("_known").isNull(), F.lit("unknown category"))
     )
     return tested.withColumn("reason", reason).drop("_known")

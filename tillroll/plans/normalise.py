@@ -26,17 +26,13 @@ from tillroll.functions.nested import (
 )
 from tillroll.operators.dedupe import distinct_rows, keep_first
 from tillroll.operators.joins import semi_join
-from tillroll.session import stage_table
+from tillroll.schemas import CUSTOMERS
+from tillroll.session import staged
 from tillroll.sources.sinks import write_all, write_csv, write_table
 
-CUSTOMER_COLUMNS = (
-    "customer_id",
-    "customer_first_name",
-    "customer_last_name",
-    "customer_gender",
-    "email",
-    "customer_phone",
-)
+CUSTOMER_COLUMNS = tuple(c.header for c in CUSTOMERS.columns)
+
+# Export columns of an order, and keys of a line item.
 ORDER_COLUMNS = ("order_id", "customer_id", "order_date", "total_quantity", "taxful_total_price")
 ITEM_KEYS = ("product_id", "product_name", "category", "price", "quantity")
 
@@ -55,15 +51,15 @@ def build_customers(raw: DataFrame) -> DataFrame:
     return keep_first(typed, ["customer_id"], ["seq"]).drop("seq")
 
 
-def build_orders(raw: DataFrame) -> DataFrame:
+def build_orders(raw: DataFrame, date_formats: Sequence[str] = ()) -> DataFrame:
     """One row per order id, the first in source order.
 
-    A bad date becomes NULL; a total that is no amount fails the run.
+    A bad date becomes NULL (see ``bad_dates``); a total that is no amount fails the run.
     """
     typed = raw.select(
         parse_int("order_id").alias("order_id"),
         parse_int("customer_id").alias("customer_id"),
-        coerce_timestamp("order_date").alias("order_date"),
+        coerce_timestamp("order_date", date_formats).alias("order_date"),
         parse_int("total_quantity").alias("total_quantity"),
         parse_money("taxful_total_price", strip="$,", strict=True).alias("total_price"),
         "seq",
@@ -84,7 +80,12 @@ def _products_ok(e: Column) -> Column:
     return e["product_id"].isNotNull() & e["price"].isNotNull() & e["named"]
 
 
-PASSES = {"items": _items_ok, "products": _products_ok}
+def _flat_ok(e: Column) -> Column:
+    """The flat pass needs all keys to exist, and parses nothing."""
+    return e["complete"]
+
+
+PASSES = {"items": _items_ok, "products": _products_ok, "flat": _flat_ok}
 
 
 def _item_fields(item: Column, passes: Sequence[str], raw_text: bool) -> Column:
@@ -101,6 +102,8 @@ def _item_fields(item: Column, passes: Sequence[str], raw_text: bool) -> Column:
             get_item(item, "category").alias("category"),
             (has_key(item, "product_name") & has_key(item, "category")).alias("named"),
         ]
+    if "flat" in passes:
+        fields.append(reduce(and_, [has_key(item, k) for k in ITEM_KEYS]).alias("complete"))
     if raw_text:
         fields.append(item.cast("string").alias("element"))
     return F.struct(*fields)
@@ -108,7 +111,7 @@ def _item_fields(item: Column, passes: Sequence[str], raw_text: bool) -> Column:
 
 def parse_rows(
     raw: DataFrame,
-    passes: Sequence[str] = tuple(PASSES),
+    passes: Sequence[str] = ("items", "products"),
     raw_text: bool = False,
     wrapped_only: bool = False,
 ) -> DataFrame:
@@ -116,15 +119,25 @@ def parse_rows(
     ``<pass>_prefix``, the number of elements before the first one it rejects.
 
     The prefixes are taken before the explode, so the array is not carried
-    along with each of its elements.
+    along with each of its elements. ``raw_text`` adds the text of the elements that some pass
+    rejects.
     """
     parsed = parse_items("products", wrapped_only)
     fields = F.transform(parsed, lambda i: _item_fields(i, passes, raw_text))
     prefixes = {f"{p}_prefix": prefix_length(F.col("_items"), PASSES[p]) for p in passes}
-    return raw.withColumn("_items", fields).withColumns(prefixes)
+    rows = raw.withColumn("_items", fields).withColumns(prefixes)
+    if not raw_text:
+        return rows
+    kept = [F.col(p) for p in prefixes]
+    kept_by_all = F.least(*kept) if len(kept) > 1 else kept[0]
+
+    def with_text(e: Column, at: Column) -> Column:
+        return e.withField("element", F.when(at >= kept_by_all, e["element"]))
 
+    return rows.withColumn("_items", F.transform("_items", with_text))
 
-def elements_of(rows: DataFrame, passes: Sequence[str] = tuple(PASSES)) -> DataFrame:
+
+def elements_of(rows: DataFrame, passes: Sequence[str] = ("items", "products")) -> DataFrame:
     """One row per element of parsed rows; rows without an array vanish.
 
     A pass keeps what comes before a bad element (``pos`` below its prefix
@@ -145,7 +158,7 @@ def elements_of(rows: DataFrame, passes: Sequence[str] = tuple(PASSES)) -> DataF
 
 
 def parse_export(
-    raw: DataFrame, passes: Sequence[str] = tuple(PASSES), wrapped_only: bool = False
+    raw: DataFrame, passes: Sequence[str] = ("items", "products"), wrapped_only: bool = False
 ) -> DataFrame:
     """One row per element of every parsable line-item text."""
     return elements_of(parse_rows(raw, passes, wrapped_only=wrapped_only), passes)
@@ -186,21 +199,24 @@ def build_products(raw: DataFrame, each: bool = False) -> DataFrame:
 def rejects(raw: DataFrame, target: str = "items", wrapped_only: bool = False) -> DataFrame:
     """What a pass loses silently: ``order_id, seq, pos, text, reason``.
 
-    ``pos`` is NULL where the whole text is lost.
+    ``pos`` is NULL where the whole text is lost. The flat pass counts rows as they are
+    exported, before identical ones are merged.
     """
+    return rejects_of(parse_rows(raw, [target], True, wrapped_only), target)
+
+
+def rejects_of(rows: DataFrame, target: str) -> DataFrame:
+    """The rejects of one pass from parsed rows with the texts of their elements."""
     prefix = f"{target}_prefix"
     reason = (
-        F.when(F.col("missing"), F.lit("missing text"))
+        F.when(F.col("unparsed") & F.col("products").isNull(), F.lit("missing text"))
         .when(F.col("unparsed"), F.lit("no JSON array"))
         .when(PASSES[target](F.col("item")), F.lit("after bad element"))
         .otherwise(F.lit("bad element"))
     )
     return (
-        parse_rows(raw, [target], True, wrapped_only)
-        .select(parse_int("order_id").alias("order_id"), "seq", "products", "_items", prefix)
-        .withColumns(
-            {"missing": F.col("products").isNull(), "unparsed": F.col("_items").isNull()}
-        )
+        rows.select(parse_int("order_id").alias("order_id"), "seq", "products", "_items", prefix)
+        .withColumn("unparsed", F.col("_items").isNull())
         .withColumn("products", F.when(F.col("unparsed"), F.col("products")))
         .select("*", explode_items(F.col("_items"), outer=True))
         .where(F.col("unparsed") | (F.col("pos") >= F.col(prefix)))
@@ -214,6 +230,31 @@ def rejects(raw: DataFrame, target: str = "items", wrapped_only: bool = False) -
     )
 
 
+def bad_dates(raw: DataFrame, date_formats: Sequence[str] = ()) -> DataFrame:
+    """Export rows whose date is a text that becomes NULL, in the columns of ``rejects``."""
+    lost = raw.where(
+        F.col("order_date").isNotNull() & coerce_timestamp("order_date", date_formats).isNull()
+    )
+    return lost.select(
+        parse_int("order_id").alias("order_id"),
+        "seq",
+        F.lit(None).cast("int").alias("pos"),
+        F.col("order_date").alias("text"),
+        F.lit("bad date").alias("reason"),
+    )
+
+
+def all_rejects(rows: DataFrame, date_formats: Sequence[str] = ()) -> DataFrame:
+    """What every pass over the parsed rows loses, named by ``pass``; dates under ``orders``."""
+    parts = {name: rejects_of(rows, name) for name in PASSES}
+    parts["orders"] = bad_dates(rows, date_formats)
+    named = [
+        part.select(F.lit(name).alias("pass"), "*").withColumn("seq", F.col("seq").cast("string"))
+        for name, part in parts.items()
+    ]
+    return reduce(DataFrame.unionByName, named)
+
+
 # --- the flat variant -------------------------------------------------------
 
 
@@ -266,20 +307,26 @@ def flat_orders(raw: DataFrame) -> DataFrame:
 # --- the whole job ----------------------------------------------------------
 
 
-def normalise(raw: DataFrame, out: str, fmt: str = "parquet") -> dict[str, str]:
-    """Write the four clean tables below ``out``; returns name -> path.
+def normalise(
+    raw: DataFrame, out: str, fmt: str = "parquet", date_formats: Sequence[str] = ()
+) -> dict[str, str]:
+    """Write the four clean tables and the rejects below ``out``; returns name -> path.
 
     The export is read once and its JSON parsed once: the rows are staged with
-    their parsed elements, and each table reads only the columns it needs.
+    their parsed elements, and each table reads only the columns it needs. The staged
+    rows are deleted behind the writes.
     """
     needed = dict.fromkeys((*CUSTOMER_COLUMNS, *ORDER_COLUMNS, "seq", "products"))
-    rows = stage_table(parse_rows(raw.select(*needed)).drop("products"), "parsed")
-    elements = elements_of(rows)
-    tables = {
-        "customers": build_customers(rows),
-        "orders": build_orders(rows),
-        "order_items": items_from_elements(elements),
-        "products": products_from_elements(elements),
-    }
-    write_all(tables, out, {"parquet": write_table, "csv": write_csv}[fmt])
+    parsed = parse_rows(raw.select(*needed), tuple(PASSES), raw_text=True)
+    lost = F.when(F.col("_items").isNull(), F.col("products"))
+    with staged(parsed.withColumn("products", lost), "parsed") as rows:
+        elements = elements_of(rows)
+        tables = {
+            "customers": build_customers(rows),
+            "orders": build_orders(rows, date_formats),
+            "order_items": items_from_elements(elements),
+            "products": products_from_elements(elements),
+            "rejects": all_rejects(rows, date_formats),
+        }
+        write_all(tables, out, {"parquet": write_table, "csv": write_csv}[fmt])
     return {name: f"{out}/{name}" for name in tables}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.columns import day_key, display_name, month_key
 from tillroll.operators.dedupe import merge_spellings
-from tillroll.operators.joins import has_at_most, join_items_products, join_orders_customers
+from tillroll.operators.joins import join_items_products, join_orders_customers
 from tillroll.operators.ranking import top_k, with_share
 from tillroll.sources.sinks import write_marts
 
@@ -27,29 +27,23 @@ MART_NAMES = (
     "daily_sales",
 )
 
-BROADCAST_ROWS = 500_000
-"""Largest catalogue to broadcast: an id and two short texts per row."""
-
-
 def monthly_orders(orders: DataFrame) -> DataFrame:
-    """Orders per month, in time order; orders without a date form one group.
+    """Orders per month; orders without a date form one group.
 
     Grouped by the month's first day; only the result rows are formatted.
+    Unsorted, as ``daily_sales``: the marts put both in time order as they are written.
     """
     return (
         orders.groupBy(F.trunc("order_date", "month").alias("month"))
         .agg(F.count("*").alias("orders"))
         .select(month_key("month").alias("month"), "orders")
-        .orderBy("month")
     )
 
 
 def daily_sales(orders: DataFrame) -> DataFrame:
-    """Sales per day, in time order."""
-    return (
-        orders.groupBy(day_key("order_date").alias("order_date"))
-        .agg(F.sum("total_price").alias("total_sales"))
-        .orderBy("order_date")
+    """Sales per day."""
+    return orders.groupBy(day_key("order_date").alias("order_date")).agg(
+        F.sum("total_price").alias("total_sales")
     )
 
 
@@ -62,29 +56,32 @@ def customer_revenue(orders: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def top_customers(orders: DataFrame, customers: DataFrame, k: int = 5) -> DataFrame:
-    """The ``k`` customers with most revenue; ties go to the smaller id."""
-    return top_k(customer_revenue(orders, customers), "revenue", "customer_id", k)
+    """The ``k`` customers with most revenue; ties go to the smaller id.
 
+    Only the ids decide, so only ``k`` rows meet the names.
+    """
+    revenue = orders.groupBy("customer_id").agg(F.sum("total_price").alias("revenue"))
+    known = revenue.join(customers.select("customer_id"), "customer_id", "left_semi")
+    best = top_k(known, "revenue", "customer_id", k)
+    named = join_orders_customers(best, customers).select(
+        "customer_id", display_name("first_name", "last_name").alias("customer_name"), "revenue"
+    )
+    return top_k(named, "revenue", "customer_id", k)
 
-def product_sales(
-    items: DataFrame, products: DataFrame, by: Sequence[str], broadcast_rows: int = BROADCAST_ROWS
-) -> DataFrame:
+
+def product_sales(items: DataFrame, products: DataFrame, by: Sequence[str]) -> DataFrame:
     """Units and revenue per product column(s) ``by``, such as name or category.
 
-    A catalogue of at most ``broadcast_rows`` products (counted, not estimated)
-    is broadcast, and items are combined to ``by`` before their only shuffle.
-    A larger one is joined to the items' sums per product id.
+    Items are summed per product id, combined before the shuffle, and only the sums are
+    joined: a product with very many items is one row there, and adaptive
+    execution chooses the join by what it has measured.
     """
-    sums = [
+    sold = items.groupBy("product_id").agg(
         F.sum("quantity").alias("units"),
         F.sum(F.col("quantity") * F.col("price")).alias("revenue"),
-    ]
-    known = products.select("product_id", *by)
-    if has_at_most(products.select("product_id"), broadcast_rows):
-        return join_items_products(items, F.broadcast(known)).groupBy(*by).agg(*sums)
-    sold = items.groupBy("product_id").agg(*sums)
+    )
     return (
-        join_items_products(sold, known)
+        join_items_products(sold, products.select("product_id", *by))
         .groupBy(*by)
         .agg(F.sum("units").alias("units"), F.sum("revenue").alias("revenue"))
     )

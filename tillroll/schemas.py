@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import types as T
-
 MONEY = "decimal(10,2)"
 
 
@@ -17,6 +15,10 @@ class Column:
     """Header of the cleaned CSV file where it differs from the column name."""
     length: int | None = None
     required: bool = False
+    optional: bool = False
+    """May be absent from the input."""
+    numbered: bool = False
+    """Counts the rows as they are loaded."""
 
     @property
     def header(self) -> str:
@@ -32,11 +34,11 @@ class Table:
     """column -> (parent table, parent column)"""
 
     @property
-    def csv_schema(self) -> T.StructType:
-        """Schema of the cleaned CSV file; everything lands as text."""
-        return T.StructType(
-            [T.StructField(c.header, T.StringType()) for c in self.columns if c.header]
-        )
+    def amounts(self) -> dict[str, tuple[int, int]]:
+        """column -> (precision, scale) of the decimal columns"""
+        held = {c.name: c.type.removeprefix("decimal(") for c in self.columns}
+        shapes = {n: t[:-1].split(",") for n, t in held.items() if t.endswith(")")}
+        return {n: (int(precision), int(scale)) for n, (precision, scale) in shapes.items()}
 
     @property
     def lengths(self) -> dict[str, int]:
@@ -77,12 +79,13 @@ ORDERS = Table(
 ORDER_ITEMS = Table(
     "order_items",
     (
+        Column("id", "bigint", required=True, numbered=True),
         Column("order_id", "bigint"),
         Column("product_id", "bigint"),
         Column("quantity", "bigint"),
         Column("price", MONEY),
     ),
-    key=("order_id", "product_id"),
+    key=("id",),
     references={"order_id": ("orders", "order_id")},
 )
 
@@ -93,6 +96,7 @@ PRODUCTS = Table(
         Column("name", "string", source="product_name", length=100),
         Column("category", "string", length=50),
         Column("price", MONEY),
+        Column("image_path", "string", length=200, optional=True),
     ),
     key=("product_id",),
 )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,8 @@ def build_session(app: str = "tillroll", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
+        # of a key given twice in one object the last value counts
+        "spark.sql.variant.allowDuplicateKeys": "true",
         "spark.ui.enabled": "false",
         **conf,
     }
@@ -53,7 +57,32 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def stage_table(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, cutting its lineage."""
-    path = fresh_path(df.sparkSession, label)
+    """Write ``df`` to the shared folder and read it back, cutting its lineage.
+
+    The table stays until the application's folder is deleted; see ``staged``.
+    """
+    return _stage(df, fresh_path(df.sparkSession, label))
+
+
+def _stage(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staged(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """A staged table for the duration of a ``with`` block, deleted behind it.
+
+    What reads it has to be written, or collected, inside the block.
+    """
+    path = fresh_path(df.sparkSession, label)
+    try:
+        yield _stage(df, path)
+    finally:
+        delete_path(df.sparkSession, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, whichever that is."""
+    held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(held, True)

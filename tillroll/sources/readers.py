@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tillroll.functions.columns import quoted
 from tillroll.functions.frames import null_tokens
+from tillroll.operators.numbering import number_rows
 from tillroll.schemas import EXPORT_COLUMNS, Table
 
 CSV_OPTIONS = {
@@ -49,7 +50,8 @@ def read_export(
     Columns are taken by header name; others are not read. Missing-value
     tokens become NULL. ``seq`` compares by file, block and row within the
     block, so it does not depend on how Spark packs files into tasks and needs
-    no numbering pass.
+    no numbering pass. Files compare by their path as text, so number them with
+    leading zeros: ``export_10`` comes before ``export_2`` and decides what counts as first.
     """
     seq = F.struct(
         F.col("_metadata.file_path").alias("file"),
@@ -115,15 +117,28 @@ def load_table(df: DataFrame, target: Table, strict: bool = True) -> DataFrame:
     """Cast and rename cleaned columns into the target table's columns.
 
     Accepts the CSV header or the column name. Text over its length fails the
-    run, or is left for ``check_length`` with ``strict=False``; casts follow
-    the session's ANSI setting. Amounts are rounded half up.
+    run, or is left for ``check_length`` with ``strict=False``; a value that its
+    type cannot hold fails the run whatever the session's ANSI setting. Amounts are
+    rounded half up. A column the input lacks is NULL if the table allows that; a
+    numbered one counts the rows from 1 in the order of the others.
     """
     cols = []
     for c in target.columns:
+        if c.numbered:
+            continue
+        if not {c.header, c.name} & set(df.columns) and c.optional:
+            cols.append(F.lit(None).cast(c.type).alias(c.name))
+            continue
         held = quoted(c.header if c.header in df.columns else c.name)
-        value = held.cast(c.type)
+        value = held.try_cast(c.type)
+        unfit = F.concat(F.lit(f"{target.name}.{c.name} cannot hold "), held.cast("string"))
+        value = F.coalesce(value, F.when(held.isNotNull(), F.raise_error(unfit).cast(c.type)))
         if strict and c.length:
             too_long = F.raise_error(F.lit(f"{target.name}.{c.name} exceeds {c.length} characters"))
             value = F.when(F.length(value) > c.length, too_long.cast("string")).otherwise(value)
         cols.append(value.alias(c.name))
-    return df.select(*cols)
+    loaded = df.select(*cols)
+    for c in target.columns:
+        if c.numbered:
+            loaded = number_rows(loaded, loaded.columns, c.name)
+    return loaded.select(*[c.name for c in target.columns])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +38,30 @@ def write_table(
     writer.parquet(path)
 
 
-def append_rows(df: DataFrame, path: str) -> None:
-    """Append to a Parquet table; columns of the table not in ``df`` become NULL."""
-    held = df.sparkSession.read.parquet(path).schema
+def partition_columns(df: DataFrame, path: str) -> list[str]:
+    """The columns a stored table is partitioned by, from the folder of one of its files."""
+    first = df.sparkSession.read.parquet(path).select("_metadata.file_path").limit(1).collect()
+    if not first:
+        return []
+    folders = unquote(first[0][0]).rstrip("/").split("/")[:-1]
+    named = [f.split("=", 1)[0] for f in folders if "=" in f]
+    outer = [f.split("=", 1)[0] for f in path.rstrip("/").split("/") if "=" in f]
+    return [unquote(n) for n in named[len(outer) :]]
+
+
+def append_rows(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+    """Append to a Parquet table; columns of the table not in ``df`` become NULL.
+
+    ``partition_by`` has to be how the table is stored: files beside the partition
+    folders, or folders in a plain table, would not be read back.
+    """
+    stored = partition_columns(df, path)
+    if stored and stored != list(partition_by):
+        raise ValueError(f"the table is partitioned by {stored}, not by {list(partition_by)}")
+    held = df.sparkSession.read.parquet(path)
+    if not stored and partition_by and not held.isEmpty():
+        raise ValueError(f"the table is not partitioned, not by {list(partition_by)}")
+    held = held.schema
     unknown = set(df.columns) - set(held.names)
     if unknown:
         raise ValueError(f"not in the table: {sorted(unknown)}")
@@ -47,7 +69,7 @@ def append_rows(df: DataFrame, path: str) -> None:
         (quoted(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in held
     ]
-    df.select(*cols).write.mode("append").parquet(path)
+    df.select(*cols).write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def write_all(

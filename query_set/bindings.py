@@ -93,8 +93,11 @@ def _element() -> Column:
         ),
         {"ignoreNullFields": "false"},
     )
+    # a key given twice, of which the last value counts
+    twice = F.concat(F.lit('{"quantity":"x",'), F.ltrim(named, F.lit("{")))
     return (
         F.when(brand == "Brand#22", unnamed)
+        .when(brand == "Brand#5", twice)
         .when((F.col("p_type") == "PROMO") & ~brand.isin("Brand#13", "Brand#7"), plain)
         .otherwise(named)
     )
@@ -130,6 +133,7 @@ def _products_text() -> Column:
             (status == "F") & (priority == "4-NOT SPECIFIED"),
             F.concat(document, F.lit(" end")),
         )
+        .when((status == "F") & (priority == "2-HIGH"), F.concat(document, F.lit(',"x":1')))
         .when(status == "F", document)
         .otherwise(quoted)
     )
@@ -222,3 +226,25 @@ def raw_export(spark: SparkSession, sf: str) -> DataFrame:
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     path = once(spark, sf, "export", write)
     return null_tokens(spark.read.parquet(path), EXPORT_COLUMNS)
+
+
+def wide_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Export rows whose prices have 13 digits before the point, or 8 decimals."""
+    amount = F.col("l_extendedprice").cast(PRICE)
+    price = F.when(
+        F.col("l_linenumber") % 2 == 0,
+        F.concat(F.lit("$"), (amount + F.lit(10**12)).cast("string")),
+    ).otherwise(F.concat(F.lit("$"), amount.cast("string"), F.lit("000001")))
+    element = F.to_json(
+        F.struct(
+            F.col("l_partkey").alias("product_id"),
+            price.alias("price"),
+            F.col("l_quantity").cast("bigint").alias("quantity"),
+        )
+    )
+    documents = to_raw_orders(source(spark, sf, "lineitem").withColumn("element", element))
+    return documents.select(
+        F.col("l_orderkey").cast("string").alias("order_id"),
+        F.col("document").alias("products"),
+        F.col("l_orderkey").alias("seq"),
+    )

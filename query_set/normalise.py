@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +73,16 @@ def csv_export_elements(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def wide_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """Items with very large and very fine prices, none of them lost or rounded."""
+    return as_double(n.build_order_items(b.wide_export(spark, sf)), "price")
+
+
+def _clean(spark: SparkSession, sf: str) -> dict[str, str]:
+    """The clean-up job over the whole export, run once per application."""
+    return b.once(spark, sf, "clean", lambda path: n.normalise(b.raw_export(spark, sf), path))
+
+
 def normalise_tables(spark: SparkSession, sf: str) -> DataFrame:
     """The whole clean-up job: rows and a total of each written table."""
     paths = n.normalise(b.raw_export(spark, sf), fresh_path(spark, "clean"))
@@ -88,17 +100,74 @@ def normalise_tables(spark: SparkSession, sf: str) -> DataFrame:
         )
         for name, col in measures.items()
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return reduce(DataFrame.unionByName, parts)
+
+
+def clean_customers(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, _clean(spark, sf)["customers"])
+
+
+def clean_orders(spark: SparkSession, sf: str) -> DataFrame:
+    return as_double(table(spark, _clean(spark, sf)["orders"]), "total_price")
+
+
+def clean_order_items(spark: SparkSession, sf: str) -> DataFrame:
+    return as_double(table(spark, _clean(spark, sf)["order_items"]), "price")
+
+
+def clean_products(spark: SparkSession, sf: str) -> DataFrame:
+    return as_double(table(spark, _clean(spark, sf)["products"]), "price")
+
+
+def clean_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """What the job wrote as lost, by every pass, dates included."""
+    return table(spark, _clean(spark, sf)["rejects"]).select(
+        "pass",
+        "order_id",
+        F.regexp_extract("seq", r", (\d+)\}", 1).cast("bigint").alias("copy"),
+        F.coalesce("pos", F.lit(-1)).cast("bigint").alias("pos"),
+        "reason",
+    )
+
+
+def _load(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
+    return {name: load_table(table(spark, paths[name]), TABLES[name]) for name in TABLES}
+
+
+def _marts(spark: SparkSession, sf: str) -> dict[str, str]:
+    """From the clean tables to the written reports, once per application."""
+    loaded = lambda: _load(spark, _clean(spark, sf))
+    return b.once(spark, sf, "marts", lambda path: refresh_marts(loaded(), path))
 
 
 def export_reports(spark: SparkSession, sf: str) -> DataFrame:
     """From the raw export to a report: clean-up, typed load, refresh."""
     paths = n.normalise(b.raw_export(spark, sf), fresh_path(spark, "clean"))
-    loaded = {name: load_table(table(spark, path), TABLES[name]) for name, path in paths.items()}
-    marts = refresh_marts(loaded, fresh_path(spark, "marts"))
+    marts = refresh_marts(_load(spark, paths), fresh_path(spark, "marts"))
     return as_double(table(spark, marts["category_revenue"]), "revenue", "share")
 
 
+def export_monthly_orders(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, _marts(spark, sf)["monthly_orders"])
+
+
+def export_daily_sales(spark: SparkSession, sf: str) -> DataFrame:
+    days = as_double(table(spark, _marts(spark, sf)["daily_sales"]), "total_sales")
+    return days.withColumn("order_date", F.col("order_date").cast("string"))
+
+
+def export_top_customers(spark: SparkSession, sf: str) -> DataFrame:
+    return as_double(table(spark, _marts(spark, sf)["top_customers"]), "revenue")
+
+
+def export_top_products(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, _marts(spark, sf)["top_products"])
+
+
+def flat_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    return _rejected(spark, sf, "flat")
+
+
 def flat_items(spark: SparkSession, sf: str) -> DataFrame:
     flat = n.build_flat_items(b.raw_export(spark, sf))
     return flat.select(
@@ -211,7 +280,7 @@ WITH numbered AS (
   SELECT n.*, o.o_custkey, o.o_orderdate, o.o_orderpriority, o.o_orderstatus,
          (o_orderstatus = 'P' AND o_orderpriority = '5-LOW')
          OR (o_orderstatus = 'O' AND o_orderpriority = '2-HIGH')
-         OR (o_orderstatus = 'F' AND o_orderpriority = '4-NOT SPECIFIED')
+         OR (o_orderstatus = 'F' AND o_orderpriority IN ('4-NOT SPECIFIED', '2-HIGH'))
          OR (o_orderstatus = 'F'
              AND bool_or(coalesce(name = '', false)) OVER (PARTITION BY l_orderkey))
          AS lost,
@@ -270,8 +339,8 @@ _CLEAN_CUSTOMERS = f"""
 """
 
 
-def _rejects_sql(bad: str, lost: str) -> str:
-    return f"""{_LINES}
+def _rejected_rows(bad: str, lost: str) -> str:
+    return f"""
 SELECT l_orderkey AS order_id, CAST(copy AS BIGINT) AS copy, pos,
        CASE WHEN {bad} THEN 'bad element' ELSE 'after bad element' END AS reason
 FROM lines JOIN exported ON l_orderkey = o_orderkey WHERE NOT lost AND {lost}
@@ -284,6 +353,28 @@ FROM exported WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
 """
 
 
+def _rejects_sql(bad: str, lost: str) -> str:
+    return _LINES + _rejected_rows(bad, lost)
+
+
+_ALL_REJECTS = f"""
+SELECT 'items' AS pass, * FROM ({_rejected_rows("item_bad", "item_lost")})
+UNION ALL SELECT 'products', * FROM ({_rejected_rows("product_bad", "product_lost")})
+UNION ALL SELECT 'flat', * FROM ({_rejected_rows("flat_bad", "flat_lost")})
+UNION ALL SELECT 'orders', o_orderkey, CAST(copy AS BIGINT), CAST(-1 AS BIGINT), 'bad date'
+FROM exported WHERE placed IS NULL
+"""
+
+_CATEGORY_SHARES = f"""
+  SELECT category, CAST(r AS DOUBLE) AS revenue,
+         CAST(round(100.0 * r / sum(r) OVER (), 1) AS DOUBLE) AS share
+  FROM (SELECT category, sum(quantity * CAST(i.price AS DECIMAL(12,2))) AS r
+        FROM ({_FIRST_ITEMS.format(bad="item_lost")}) i
+        JOIN ({_FIRST_PRODUCTS}) p ON i.product_id = p.product_id
+        GROUP BY 1)
+"""
+
+
 QUERIES = {
     "raw_customers": (raw_customers, _LINES + _CLEAN_CUSTOMERS),
     "raw_orders": (raw_orders, _LINES + _CLEAN_ORDERS),
@@ -317,23 +408,60 @@ QUERIES = {
         UNION ALL SELECT 'products', count(*),
                CAST(sum(CAST(price AS DECIMAL(12,2))) AS DOUBLE) FROM ({_FIRST_PRODUCTS})""",
     ),
-    "export_reports": (
-        export_reports,
-        f"""{_LINES}
-        SELECT category, CAST(r AS DOUBLE) AS revenue,
-               CAST(round(100.0 * r / sum(r) OVER (), 1) AS DOUBLE) AS share
-        FROM (SELECT category, sum(quantity * CAST(i.price AS DECIMAL(12,2))) AS r
-              FROM ({_FIRST_ITEMS.format(bad="item_lost")}) i
-              JOIN ({_FIRST_PRODUCTS}) p ON i.product_id = p.product_id
-              GROUP BY 1)""",
+    "clean_customers": (clean_customers, _LINES + _CLEAN_CUSTOMERS),
+    "clean_orders": (clean_orders, _LINES + _CLEAN_ORDERS),
+    "clean_order_items": (clean_order_items, _LINES + _FIRST_ITEMS.format(bad="item_lost")),
+    "clean_products": (clean_products, _LINES + _FIRST_PRODUCTS),
+    "clean_rejects": (clean_rejects, _LINES + _ALL_REJECTS),
+    "wide_prices": (
+        wide_prices,
+        """SELECT l_orderkey AS order_id, l_partkey AS product_id,
+                  CAST(l_quantity AS BIGINT) AS quantity,
+                  CAST(CAST(CASE WHEN l_linenumber % 2 = 0
+                                 THEN CAST(l_extendedprice AS DECIMAL(12,2)) + 1000000000000
+                                 ELSE CAST(l_extendedprice AS DECIMAL(12,2)) + 0.00000001 END
+                            AS DECIMAL(38,12)) AS DOUBLE) AS price
+           FROM lineitem
+           QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey
+                                      ORDER BY l_extendedprice, l_quantity,
+                                               CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE 1 END) = 1
+        """,
+    ),
+    "export_reports": (export_reports, _LINES + _CATEGORY_SHARES),
+    "export_monthly_orders": (
+        export_monthly_orders,
+        f"""{_LINES} SELECT strftime(order_date, '%Y-%m') AS month, count(*) AS orders
+            FROM ({_CLEAN_ORDERS}) GROUP BY 1""",
+    ),
+    "export_daily_sales": (
+        export_daily_sales,
+        f"""{_LINES} SELECT strftime(order_date, '%Y-%m-%d') AS order_date,
+                   CAST(sum(CAST(total_price AS DECIMAL(12,2))) AS DOUBLE) AS total_sales
+            FROM ({_CLEAN_ORDERS}) GROUP BY 1""",
+    ),
+    "export_top_customers": (
+        export_top_customers,
+        f"""{_LINES} SELECT customer_id, any_value(customer_first_name || ' '
+                                                   || customer_last_name) AS customer_name,
+                   CAST(sum(CAST(total_price AS DECIMAL(12,2))) AS DOUBLE) AS revenue
+            FROM ({_CLEAN_ORDERS}) JOIN ({_CLEAN_CUSTOMERS}) USING (customer_id) GROUP BY 1
+            ORDER BY revenue DESC, customer_id LIMIT 5""",
+    ),
+    "export_top_products": (
+        export_top_products,
+        f"""{_LINES} SELECT product_name, CAST(sum(quantity) AS BIGINT) AS total_quantity
+            FROM ({_FIRST_ITEMS.format(bad="item_lost")}) i
+            JOIN ({_FIRST_PRODUCTS}) p ON i.product_id = p.product_id GROUP BY 1
+            ORDER BY total_quantity DESC, product_name NULLS FIRST LIMIT 5""",
     ),
+    "flat_rejects": (flat_rejects, _rejects_sql("flat_bad", "flat_lost")),
     "flat_items": (
         flat_items,
         f"""{_LINES}
         SELECT l_orderkey AS order_id, lines.o_custkey AS customer_id, l_partkey AS product_id,
                name AS product_name, p_type AS category,
                p_brand NOT IN ('Brand#13')
-               AND (p_type <> 'PROMO' OR p_brand IN ('Brand#7', 'Brand#22')) AS has_sign,
+               AND (p_type <> 'PROMO' OR p_brand IN ('Brand#7', 'Brand#22', 'Brand#5')) AS has_sign,
                CASE WHEN NOT price_bad THEN CAST(price AS DOUBLE) END AS amount,
                CASE WHEN p_brand = 'Brand#9' THEN '2.5' ELSE CAST(quantity AS VARCHAR) END
                AS quantity,

@@ -14,7 +14,8 @@ from tillroll.operators.dedupe import keep_first
 from tillroll.operators.numbering import assign_ids, max_id, number_rows
 from tillroll.operators.ranking import first_match
 from tillroll.plans import catalogue as cat
-from tillroll.schemas import ORDERS, PRODUCTS
+from tillroll.plans.checks import check_tables
+from tillroll.schemas import CUSTOMERS, ORDER_ITEMS, ORDERS, PRODUCTS
 from tillroll.session import fresh_path
 from tillroll.sources.readers import load_table, read_csv, table
 from tillroll.sources.sinks import append_rows, write_csv, write_table
@@ -105,20 +106,20 @@ def append_products(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def append_rejects(spark: SparkSession, sf: str) -> DataFrame:
-    return cat.append_products(b.products(spark, sf), _batch(spark, sf), ["offer"])[1]
+    tested = cat.validate_products(b.products(spark, sf), _batch(spark, sf))
+    return tested.where("reason IS NOT NULL")
 
 
 def append_sink(spark: SparkSession, sf: str) -> DataFrame:
-    """Append to a stored table that has one column more than the new rows."""
+    """Append to a partitioned table that has one column more: old and new rows."""
     path = fresh_path(spark, "products")
     existing = b.products(spark, sf).withColumn("image_path", F.lit("shelf.png"))
     write_table(existing, path, partition_by=["category"])
     stored = table(spark, path)
     new = b.products(spark, sf).select("product_id", "name", "category", "price")
     numbered = assign_ids(stored, new.withColumnRenamed("product_id", "old"), "product_id", ["old"])
-    write_table(existing.where("false"), path + "-log")
-    append_rows(numbered.drop("old"), path + "-log")
-    return as_double(table(spark, path + "-log"), "price")
+    append_rows(numbered.drop("old"), path, partition_by=["category"])
+    return as_double(table(spark, path), "price")
 
 
 def next_product_id(spark: SparkSession, sf: str) -> DataFrame:
@@ -273,6 +274,72 @@ def typed_load_products(spark: SparkSession, sf: str) -> DataFrame:
     return as_double(load_table(_cleaned_csv(spark, sf, held), PRODUCTS), "price")
 
 
+def typed_load_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers with the file's headers."""
+    held = b.source(spark, sf, "customer").select(
+        F.col("c_custkey").alias("customer_id"),
+        F.col("c_name").alias("customer_first_name"),
+        F.col("c_mktsegment").alias("customer_last_name"),
+        F.when(F.col("c_nationkey") < 12, "FEMALE").otherwise("MALE").alias("customer_gender"),
+        F.concat(F.lower("c_name"), F.lit("@shop.test")).alias("email"),
+        F.col("c_nationkey").alias("customer_phone"),
+    )
+    return load_table(_cleaned_csv(spark, sf, held), CUSTOMERS)
+
+
+def typed_load_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Order items from cleaned CSV text, numbered on load."""
+    held = b.order_items(spark, sf).select("order_id", "product_id", "quantity", "price")
+    return as_double(load_table(_cleaned_csv(spark, sf, held), ORDER_ITEMS), "price")
+
+
+def table_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """All rules of two tables, over rows that break each kind of them.
+
+    Customers of one segment lose their id, those of another have too long a name;
+    orders of one priority point to nobody, those of another cost too much.
+    """
+    segment, priority = F.col("last_name"), F.col("total_quantity")
+    customer_id = F.when(segment != "BUILDING", F.col("customer_id"))
+    last_name = F.when(segment == "MACHINERY", F.repeat(segment, 6)).otherwise(segment)
+    held = {
+        "customers": b.customers(spark, sf).select(
+            customer_id.alias("customer_id"),
+            "first_name",
+            last_name.alias("last_name"),
+            *[F.lit(None).cast("string").alias(n) for n in ("gender", "email", "phone")],
+        ),
+        "orders": b.orders(spark, sf).select(
+            "order_id",
+            F.when(priority == 4, -F.col("customer_id")).otherwise(F.col("customer_id")).alias(
+                "customer_id"
+            ),
+            "order_date",
+            "total_quantity",
+            F.when(priority == 5, F.col("total_price") + 100_000_000)
+            .otherwise(F.col("total_price"))
+            .cast("decimal(12,2)")
+            .alias("total_price"),
+        ),
+    }
+    return check_tables(held)
+
+
+_PERTURBED = """
+WITH held_customers AS (
+  SELECT CASE WHEN c_mktsegment <> 'BUILDING' THEN c_custkey END AS customer_id,
+         CASE WHEN c_mktsegment = 'MACHINERY' THEN repeat(c_mktsegment, 6) ELSE c_mktsegment END
+         AS last_name
+  FROM customer
+), held_orders AS (
+  SELECT CASE WHEN left(o_orderpriority, 1) = '4' THEN -o_custkey ELSE o_custkey END AS customer_id,
+         CAST(CAST(o_totalprice AS DECIMAL(12,2))
+              + CASE WHEN left(o_orderpriority, 1) = '5' THEN 100000000 ELSE 0 END
+              AS DECIMAL(12,2)) AS total_price
+  FROM orders
+)
+"""
+
 _GAPPY = """
 SELECT p_partkey AS product_id, p_name AS name,
        coalesce(nullif(CASE p_type WHEN 'SMALL' THEN NULL WHEN 'LARGE' THEN '' ELSE p_type END, ''),
@@ -359,10 +426,13 @@ QUERIES = {
     "append_rejects": (append_rejects, f"SELECT * FROM ({_OFFERS}) WHERE reason IS NOT NULL"),
     "append_sink": (
         append_sink,
-        """SELECT (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY p_partkey)
-                  AS product_id, p_name AS name, p_type AS category,
+        """SELECT p_partkey AS product_id, p_name AS name, p_type AS category,
                   CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE) AS price,
-                  CAST(NULL AS VARCHAR) AS image_path FROM part""",
+                  'shelf.png' AS image_path FROM part
+           UNION ALL
+           SELECT (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY p_partkey),
+                  p_name, p_type, CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE), NULL
+           FROM part""",
     ),
     "next_product_id": (
         next_product_id,
@@ -462,7 +532,40 @@ QUERIES = {
         typed_load_products,
         """SELECT p_partkey AS product_id, p_name AS name, p_type AS category,
                   CAST(CAST(p_retailprice AS DECIMAL(10,2)) + CAST(0.01 AS DECIMAL(10,2)) AS DOUBLE)
-                  AS price
+                  AS price, CAST(NULL AS VARCHAR) AS image_path
            FROM part""",
     ),
+    "typed_load_customers": (
+        typed_load_customers,
+        """SELECT c_custkey AS customer_id, c_name AS first_name, c_mktsegment AS last_name,
+                  CASE WHEN c_nationkey < 12 THEN 'FEMALE' ELSE 'MALE' END AS gender,
+                  lower(c_name) || '@shop.test' AS email,
+                  CAST(c_nationkey AS VARCHAR) AS phone
+           FROM customer""",
+    ),
+    "typed_load_items": (
+        typed_load_items,
+        """SELECT row_number() OVER (ORDER BY order_id, product_id, quantity, price) AS id, *
+           FROM (SELECT l_orderkey AS order_id, l_partkey AS product_id,
+                        CAST(l_quantity AS BIGINT) AS quantity,
+                        CAST(CAST(l_extendedprice AS DECIMAL(10,2)) AS DOUBLE) AS price
+                 FROM lineitem)""",
+    ),
+    "table_violations": (
+        table_violations,
+        f"""{_PERTURBED}
+            SELECT 'customers' AS "table", 'key' AS rule, 'customer_id' AS "column",
+                   coalesce(CAST(customer_id AS VARCHAR), '') AS value, count(*) AS n
+            FROM held_customers GROUP BY customer_id
+            HAVING count(*) > 1 OR customer_id IS NULL
+            UNION ALL SELECT 'customers', 'required', 'customer_id', NULL, 1
+            FROM held_customers WHERE customer_id IS NULL
+            UNION ALL SELECT 'customers', 'length', 'last_name', last_name, 1
+            FROM held_customers WHERE length(last_name) > 50
+            UNION ALL SELECT 'orders', 'reference', 'customer_id', CAST(customer_id AS VARCHAR), 1
+            FROM held_orders o WHERE customer_id IS NOT NULL
+              AND NOT EXISTS (SELECT 1 FROM held_customers c WHERE c.customer_id = o.customer_id)
+            UNION ALL SELECT 'orders', 'range', 'total_price', CAST(total_price AS VARCHAR), 1
+            FROM held_orders WHERE abs(total_price) >= 100000000""",
+    ),
 }

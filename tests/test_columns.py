@@ -22,8 +22,6 @@ from tillroll.functions import (
     parse_int,
     parse_money,
     price_label,
-    rename,
-    with_columns,
 )
 
 
@@ -46,6 +44,31 @@ def test_strict_money_fails_the_run(spark):
         values(spark, ["oops"], lambda c: parse_money(c, strict=True))
 
 
+def test_money_has_no_digit_cap(spark):
+    texts = ["$1000000000000.00", "47.99212345678", "1e2", "-0.00000001", "nan", "inf", "1_000"]
+    assert values(spark, texts, parse_money) == [
+        Decimal("1000000000000"),
+        Decimal("47.99212345678"),
+        Decimal(100),
+        Decimal("-0.00000001"),
+        None,
+        None,
+        None,
+    ]
+    with pytest.raises(PySparkException, match="amount out of range"):
+        values(spark, ["1" + "0" * 30], parse_money)
+
+
+def test_other_date_spellings_are_named(spark):
+    texts = ["03/29/2019", "Mar 29, 2019", "20190329", "2019-03-29 10:00:00", "soon"]
+    day = dt.datetime(2019, 3, 29)
+    plain = values(spark, texts, coerce_timestamp)
+    assert plain == [None, None, None, day.replace(hour=10), None]
+    formats = ["MM/dd/yyyy", "MMM d, yyyy", "yyyyMMdd"]
+    named = values(spark, texts, lambda c: coerce_timestamp(c, formats))
+    assert named == [day, day, day, day.replace(hour=10), None]
+
+
 def test_whole_numbers(spark):
     texts = ["12", " 12 ", "12.7", "x", "", None]
     assert values(spark, texts, parse_int) == [12, 12, None, None, None, None]
@@ -104,9 +127,3 @@ def test_lookup_binds_values(spark):
     assert lookup(df, n="' OR 1=1 --").collect() == [("' OR 1=1 --", 2)]
     with pytest.raises(ValueError):
         lookup(df)
-
-
-def test_rename_and_computed_columns(spark):
-    df = spark.createDataFrame([(2, 3)], "a int, b int")
-    out = with_columns(rename(df, {"a": "q"}), total=F.col("q") * F.col("b"))
-    assert out.columns == ["q", "b", "total"] and out.first().total == 6

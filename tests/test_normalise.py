@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import glob
 import json
 from decimal import Decimal
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from plans import optimized_text
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tillroll.functions import parse_items, repair_json, valid_prefix
+from tillroll.functions import nested, parse_items, repair_json, valid_prefix
 from tillroll.plans import normalise as n
 from tillroll.schemas import EXPORT_COLUMNS
+from tillroll.session import shared_dir, staged
 
 SCHEMA = ", ".join(f"`{c}` string" for c in EXPORT_COLUMNS) + ", seq bigint"
 
@@ -89,6 +92,10 @@ def test_a_bad_element_ends_the_items(spark, bad):
         "5",
         json.dumps(item(1)),
         json.dumps([item(1)]) + " end",
+        json.dumps([item(1)]) + ',"x":1',
+        json.dumps([item(1)]) + "," + json.dumps([item(2)]),
+        json.dumps([item(1)]) + "]",
+        "[" + json.dumps([item(1)])[:-1],
         json.dumps([item(1)])[:-1],
         str([item(1)]),  # single quotes
         "[]",
@@ -116,6 +123,31 @@ def test_accepted_spellings(spark):
     ]
 
 
+def test_amounts_of_any_size_are_kept(spark):
+    items = [item(1, price="$1000000000000.00"), item(2, price=1000000000000), item(3, price="47.99212345678")]
+    assert items_of(spark, json.dumps([*items, item(4)])) == [
+        (1, 1, Decimal(10**12)),
+        (2, 1, Decimal(10**12)),
+        (3, 1, Decimal("47.99212345678")),
+        (4, 1, D),
+    ]
+    with pytest.raises(PySparkException, match="amount out of range"):
+        items_of(spark, json.dumps([item(1, price="1" + "0" * 40)]))
+
+
+def test_of_a_key_given_twice_the_last_counts(spark):
+    text = '[{"product_id": 1, "quantity": "x", "price": "$1", "quantity": 2, "price": "$2.50"}]'
+    assert items_of(spark, text) == [(1, 2, D)]
+
+
+def test_a_text_too_large_to_parse_fails_the_run(spark, monkeypatch):
+    monkeypatch.setattr(nested, "MAX_TEXT", 100)
+    assert items_of(spark, json.dumps([item(i) for i in range(5)])) != []
+    assert items_of(spark, "not json") == []
+    with pytest.raises(PySparkException, match="exceed a VARIANT"):
+        items_of(spark, "not json" * 50)
+
+
 def test_the_passes_reject_different_elements(spark):
     # the items pass does not look at names, the products pass not at quantities
     unnamed, unmeasured = item(1, drop=("category",)), item(2, quantity="many")
@@ -254,52 +286,81 @@ def test_valid_prefix_on_plain_arrays(spark):
     assert [r[0] for r in kept] == [[1, 2], [1], [], [], None]
 
 
-element = st.one_of(
-    st.builds(
-        item,
-        pid=st.sampled_from([1, 2, 3, "4", "x", None]),
-        name=st.sampled_from(["a", None]),
-        price=st.sampled_from(["$1.50", 2, "oops", "1,5"]),
-        quantity=st.sampled_from([1, "2", "2.5"]),
-        drop=st.sampled_from([(), ("category",), ("price",)]),
-    ),
-    st.sampled_from([5, "s", None]),
-)
-
-
-def number(make, value):
-    try:
-        return make(value)
-    except (TypeError, ValueError):
-        return None
+# every spelling with what it must become, or BAD
+BAD = object()
+IDS = [(1, 1), (2, 2), (3, 3), ("4", 4), ("x", BAD), (None, BAD)]
+PRICES = [("$1.50", 1.5), (2, 2.0), ("oops", BAD), ("1,5", BAD), ("$ 7 ", 7.0)]
+QUANTITIES = [(1, 1), ("2", 2), ("2.5", BAD), (None, BAD)]
 
 
-def expected_items(documents):
-    """The rule, one document and element at a time."""
-    kept = {}
-    for order_id, elements in documents:
-        for e in elements:
-            if not isinstance(e, dict) or not {"product_id", "quantity", "price"} <= set(e):
-                break
-            pid, quantity = number(int, e["product_id"]), number(int, e["quantity"])
-            price = number(float, str(e["price"]).replace("$", ""))
-            if None in (pid, quantity, price):
-                break
-            kept.setdefault((order_id, pid), (quantity, price))
-    return kept
+@st.composite
+def element(draw):
+    """``(what the text holds, (id, quantity, price) or BAD)``"""
+    if draw(st.integers(0, 7)) == 0:
+        return draw(st.sampled_from([5, "s", None])), BAD
+    (pid, want_id), (price, want_price), (quantity, want_quantity) = (
+        draw(st.sampled_from(choices)) for choices in (IDS, PRICES, QUANTITIES)
+    )
+    dropped = draw(st.sampled_from([(), (), ("category",), ("price",)]))
+    held = item(pid, draw(st.sampled_from(["a", None])), "c", price, quantity, drop=dropped)
+    wanted = (want_id, want_quantity, BAD if "price" in dropped else want_price)
+    return held, BAD if BAD in wanted else wanted
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(st.tuples(st.integers(1, 3), st.lists(element, max_size=5)), min_size=1, max_size=8))
+@given(st.lists(st.tuples(st.integers(1, 3), st.lists(element(), max_size=5)), min_size=1, max_size=8))
 def test_items_follow_the_rule(spark, documents):
     raw = export(
-        spark, *[{"order_id": str(o), "products": wrapped(els)} for o, els in documents]
+        spark,
+        *[{"order_id": str(o), "products": wrapped([e for e, _ in els])} for o, els in documents],
     ).repartition(3)
+    want = {}
+    for order_id, elements in documents:
+        for _, wanted in elements:
+            if wanted is BAD:
+                break
+            want.setdefault((order_id, wanted[0]), wanted[1:])
     got = {
         (r.order_id, r.product_id): (r.quantity, float(r.price))
         for r in n.build_order_items(raw).collect()
     }
-    assert got == expected_items(documents)
+    assert got == want
+
+
+def test_normalise_leaves_nothing_staged_and_parses_once(spark, tmp_path, monkeypatch):
+    held = []
+    monkeypatch.setattr(n, "staged", lambda df, label: held.append(df) or staged(df, label))
+    before = set(glob.glob(shared_dir(spark) + "/**/parsed-*", recursive=True))
+    raw = export(spark, {"order_id": "1", "products": json.dumps([item(1)])})
+    n.normalise(raw, str(tmp_path))
+    assert set(glob.glob(shared_dir(spark) + "/**/parsed-*", recursive=True)) == before
+    assert optimized_text(held[0]).lower().count("parsejson(") == 1
+
+
+def test_rejects_of_the_job(spark, tmp_path):
+    """Items and rejects of a pass make up all elements; lost dates are listed."""
+    rows = [
+        {"order_id": "1", "products": json.dumps([item(1), item(2, price="oops"), item(3)]), "order_date": "soon"},
+        {"order_id": "2", "products": "not json", "order_date": "2019-01-01"},
+        {"order_id": "3", "products": None},
+        {"order_id": "4", "products": json.dumps([item(4), item(5, drop=("category",)), item(6)])},
+    ]
+    paths = n.normalise(export(spark, *rows), str(tmp_path))
+    lost = [tuple(r) for r in spark.read.parquet(paths["rejects"]).select("pass", "order_id", "pos", "reason").collect()]
+    whole = [(2, None, "no JSON array"), (3, None, "missing text")]
+    assert sorted(lost, key=str) == sorted(
+        [(p, *w) for p in ("items", "products", "flat") for w in whole]
+        + [("items", 1, 1, "bad element"), ("items", 1, 2, "after bad element")]
+        + [("products", 1, 1, "bad element"), ("products", 1, 2, "after bad element")]
+        + [(p, 4, 1, "bad element") for p in ("products", "flat")]
+        + [(p, 4, 2, "after bad element") for p in ("products", "flat")]
+        + [("orders", 1, None, "bad date")],
+        key=str,
+    )
+    texts = spark.read.parquet(paths["rejects"]).where("pass = 'items' AND order_id = 1 AND pos = 1")
+    assert json.loads(texts.first().text)["price"] == "oops"
+    kept = spark.read.parquet(paths["order_items"]).count()
+    assert kept + sum(r[0] == "items" and r[2] is not None for r in lost) == 6
 
 
 def test_normalise_writes_the_four_tables(spark, tmp_path):
@@ -317,4 +378,5 @@ def test_normalise_writes_the_four_tables(spark, tmp_path):
             "orders": 2,
             "order_items": 2,
             "products": 2,
+            "rejects": 3,
         }

@@ -109,6 +109,13 @@ def test_numbers_on_a_hot_key_with_copies(spark):
     assert [(r.k, r.seq, r.v) for r in sorted(got, key=lambda r: r.n)] == sorted(data)
 
 
+def test_the_number_of_slices_is_a_parameter(spark):
+    df = spark.range(100)
+    for slices in (1, 3, 40):
+        got = number_rows(df, ["id"], "n", slices=slices).collect()
+        assert {r.id: r.n for r in got} == {i: i + 1 for i in range(100)}
+
+
 def test_numbers_of_an_empty_table(spark):
     assert number_rows(spark.createDataFrame([], "k bigint"), ["k"]).count() == 0
 
@@ -192,3 +199,7 @@ def test_decimal_range_and_scale(spark):
     df = spark.createDataFrame([(99_999_999.99,), (1e8,), (47.992,), (None,)], "x double")
     assert check_decimal(df, "x", 10, 2).collect() == [(1e8,)]
     assert sorted(check_decimal(df, "x", 10, 2, exact=True).collect()) == [(47.992,), (1e8,)]
+    texts = ["1.000000000000001", "1.5", "99999999.99", "1." + "0" * 29 + "1"]
+    fine = spark.createDataFrame([(t,) for t in texts], "x string")
+    found = {r.x for r in check_decimal(fine, "x", 10, 2, exact=True).collect()}
+    assert found == {"1.000000000000001"} | {texts[3]}

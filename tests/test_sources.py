@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 from decimal import Decimal
 
 import pytest
@@ -8,8 +9,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tillroll.plans import normalise as n
-from tillroll.schemas import CUSTOMERS, EXPORT_COLUMNS, ORDERS, PRODUCTS, TABLES
-from tillroll.session import build_session, fresh_path, shared_dir, stage_table
+from tillroll.plans.checks import check_tables
+from tillroll.schemas import CUSTOMERS, EXPORT_COLUMNS, ORDER_ITEMS, ORDERS, PRODUCTS, TABLES
+from tillroll.session import build_session, fresh_path, shared_dir, stage_table, staged
 from tillroll.sources import (
     append_rows,
     jdbc_options,
@@ -105,10 +107,11 @@ def test_typed_load_renames_headers_and_checks_lengths(spark):
     with pytest.raises(PySparkException, match="products.name exceeds 100"):
         load_table(df, PRODUCTS).collect()
     loaded = load_table(df, PRODUCTS, strict=False)
-    assert loaded.columns == ["product_id", "name", "category", "price"]
+    assert loaded.columns == ["product_id", "name", "category", "price", "image_path"]
+    assert loaded.first().image_path is None
     assert len(loaded.first().name) == 101
-    assert [f.name for f in CUSTOMERS.csv_schema][:2] == ["customer_id", "customer_first_name"]
     assert TABLES["order_items"].references == {"order_id": ("orders", "order_id")}
+    assert PRODUCTS.amounts == {"price": (10, 2)} and CUSTOMERS.amounts == {}
 
 
 def test_append_fills_missing_columns(spark, tmp_path):
@@ -120,6 +123,49 @@ def test_append_fills_missing_columns(spark, tmp_path):
         append_rows(spark.createDataFrame([(1,)], "other int"), path)
 
 
+def test_append_to_a_partitioned_table_keeps_every_row(spark, tmp_path):
+    path = str(tmp_path / "k=9" / "t")  # a folder above that looks like a partition
+    df = spark.createDataFrame([(1, "a b", "p"), (2, None, "q")], "id bigint, kind string, image string")
+    write_table(df, path, partition_by=["kind"])
+    new = spark.createDataFrame([(3, "a b"), (4, "new")], "id bigint, kind string")
+    for wrong in ((), ("id",), ("kind", "id")):
+        with pytest.raises(ValueError, match="partitioned"):
+            append_rows(new, path, partition_by=wrong)
+    append_rows(new, path, partition_by=["kind"])
+    assert sorted((r.id, r.kind, r.image) for r in table(spark, path).collect()) == [
+        (1, "a b", "p"), (2, None, "q"), (3, "a b", None), (4, "new", None),
+    ]
+    plain = str(tmp_path / "plain")
+    write_table(df, plain)
+    with pytest.raises(ValueError, match="partitioned"):
+        append_rows(new, plain, partition_by=["kind"])
+
+
+def test_typed_load_is_strict_without_ansi(spark):
+    df = spark.createDataFrame([("1", "1", "1", "1e9")], "order_id string, product_id string, quantity string, price string")
+    old = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for ansi in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", ansi)
+            with pytest.raises(PySparkException, match="order_items.price cannot hold"):
+                load_table(df, ORDER_ITEMS).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", old)
+
+
+def test_clean_output_breaks_no_rule(spark, tmp_path):
+    cells = {"customer_id": "3", "total_quantity": "2", "taxful_total_price": "$5", "order_date": "2019-01-01"}
+    line = '[{"product_id": 1, "product_name": "n", "category": "c", "price": "$2.50", "quantity": 1}]'
+    rows = [tuple({**cells, "order_id": str(i), "products": line}.get(c) for c in EXPORT_COLUMNS) + (i,) for i in range(5)]
+    raw = spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in EXPORT_COLUMNS) + ", seq bigint")
+    paths = n.normalise(raw, str(tmp_path))
+    loaded = {name: load_table(table(spark, paths[name]), TABLES[name]) for name in TABLES}
+    assert check_tables(loaded).isEmpty()
+    broken = {**loaded, "orders": loaded["orders"].withColumn("customer_id", F.lit(9))}
+    found = check_tables(broken).collect()
+    assert {(r.table, r.rule, r.column, r.value) for r in found} == {("orders", "reference", "customer_id", "9")}
+
+
 def test_replacing_partitions(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([(1, "x"), (2, "y")], "v int, month string")
@@ -152,8 +198,12 @@ def test_jdbc_options():
 
 
 def test_staged_tables_go_to_the_shared_folder(spark):
-    staged = stage_table(spark.range(10), "ten")
-    assert staged.count() == 10
-    assert all(shared_dir(spark) in f for f in staged.inputFiles())
+    held = stage_table(spark.range(10), "ten")
+    assert held.count() == 10
+    assert all(shared_dir(spark) in f for f in held.inputFiles())
     assert fresh_path(spark, "a") != fresh_path(spark, "a")
+    with staged(spark.range(10), "ten") as df:
+        folder = os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+        assert df.count() == 10 and os.path.isdir(folder)
+    assert not os.path.exists(folder)
     assert build_session() is not None

@@ -35,15 +35,21 @@ def parse_items(text: Column | str, wrapped_only: bool = False) -> Column:
     """``array<variant>`` of the elements; NULL unless the text is one JSON array.
 
     The parser accepts trailing characters after a complete value. So the text
-    is parsed as the only element of an array: whatever follows it makes
-    that no JSON, or an array of several elements.
+    is parsed as the first of two elements, before a mark with the text's length: only a text that
+    is one whole value leaves exactly these two.
     """
     text = repair_json(text, wrapped_only)
-    document = F.concat(F.lit("["), text, F.lit("]"))
+    mark = F.concat(F.lit("end of "), F.octet_length(text).cast("string"))
+    document = F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]'))
     parsed = F.try_variant_get(F.try_parse_json(document), "$", "array<variant>")
+
+    def first(elements: Column) -> Column:
+        end = F.try_variant_get(F.get(elements, F.lit(1)), "$", "string")
+        return F.when((F.size(elements) == 2) & (end == mark), F.get(elements, F.lit(0)))
+
     # through a lambda, so that the text is parsed once and not for each use
-    only = F.transform(F.array(parsed), lambda d: F.when(F.size(d) == 1, F.get(d, F.lit(0))))
-    items = F.try_variant_get(F.get(only, F.lit(0)), "$", "array<variant>")
+    only = F.get(F.transform(F.array(parsed), first), F.lit(0))
+    items = F.try_variant_get(only, "$", "array<variant>")
     message = F.concat(
         F.lit("line items do not parse, or exceed a VARIANT: "),
         F.octet_length(text).cast("string"),

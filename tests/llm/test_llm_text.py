@@ -337,3 +337,17 @@ def test_scores_odd_rows(spark):
     assert lm_score.lm_scores(frame(spark, [])).count() == 0
     alone = [(i, "a") for i in range(40) if lm_score.held_out(i)]
     check_base(lm_score.lm_scores(frame(spark, alone)), alone)
+
+
+def test_rows_without_any_id(spark):
+    """Null ids alone, and ids of another type."""
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    for kind in ("long", "int", "string"):
+        rows = spark.createDataFrame([(None, "a b"), (None, None)], f"doc_id {kind}, text string")
+        for made in (
+            packing.pack(rows), token_count.token_counts(rows), lm_score.lm_scores(rows),
+            license_scan.license_scan(rows), quality.quality_scores(rows, labels.withColumn("doc_id", F.col("doc_id").cast(kind))),
+        ):
+            held = made.collect()
+            assert [r["doc_id"] for r in held] == [None, None]
+            assert made.schema["doc_id"].dataType == rows.schema["doc_id"].dataType

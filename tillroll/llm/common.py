@@ -48,10 +48,10 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
     """``(doc_ids, texts)`` per batch of a ``doc_id, text`` frame."""
     for batch in batches:
-        yield batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), texts_of(batch)
+        yield batch.column(batch.schema.get_field_index("doc_id")), texts_of(batch)
 
 
 def fresh_name(df: DataFrame, name: str) -> str:

@@ -318,17 +318,17 @@ def test_symbol_probabilities_sum_to_one(docs):
     counted = lm_score.count_table(docs, 7, 2).cache()
     model = lm_score.fit(docs, counted, 7, 2)
     counted.unpersist()
-    for before in (b"the", b"\xff\xff\xff", b"zqx", b" a\n"):
-        gram = np.uint32(int.from_bytes(before + b"\0", "big")) + np.arange(256, dtype=np.uint32)
+    for before in (b" the", b"\xff" * 4, b"zqxj", b"s a\n"):
+        gram = np.uint64(int.from_bytes(before + b"\0", "big")) + np.arange(256, dtype=np.uint64)
         assert np.exp(model.symbol_codes(gram)).sum(axis=0) == pytest.approx([1, 1])
 
 
 def test_grams_of_several_texts():
     gram, first = lm_score.grams([b"aB", b"", b"c"])
     assert first.tolist() == [0, 3, 4]
-    symbols = [bytes(int(g).to_bytes(4, "big")) for g in gram]
+    symbols = [int(g).to_bytes(5, "big") for g in gram]
     end, start = lm_score.END, lm_score.START
-    assert symbols[:4] == [start + b"a", start[:2] + b"ab", start[:1] + b"ab" + end, start + end]
+    assert symbols[:4] == [start + b"a", start[1:] + b"ab", start[2:] + b"ab" + end, start + end]
 
 
 def test_scores_odd_rows(spark):

@@ -154,6 +154,25 @@ def test_strings_planted(spark, seed):
     assert cut(suffix_dedup.suffix_dedup(frame(spark, rows).repartition(3))) == brute.repeats(rows)
 
 
+@pytest.mark.parametrize("size", [1, 37, 200])
+def test_a_cut_text_has_the_anchors_of_the_whole(size):
+    text = "".join(t for _, t in planted(5) if t).encode()
+    whole = {(h, p) for _, h, _, p, _ in [suffix_dedup.anchors(next(suffix_dedup.parts([text])))]
+             for h, p in zip(h.tolist(), p.tolist(), strict=True)}
+    cut = set()
+    for held in suffix_dedup.parts([b"", text], size):
+        _, hashes, number, place, _ = suffix_dedup.anchors(held)
+        assert set(number.tolist()) <= {1}
+        cut |= set(zip(hashes.tolist(), place.tolist(), strict=True))
+    assert cut == whole
+
+
+def test_strings_of_texts_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SLAB", 64)
+    rows = planted(4)
+    assert cut(suffix_dedup.suffix_dedup(frame(spark, rows).repartition(3))) == brute.repeats(rows)
+
+
 def test_strings_hot_anchors_are_split(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", 3)
     rows = planted(3)

@@ -3,25 +3,30 @@
 A byte goes if it is covered by a string of ``LENGTH`` bytes that also starts in a
 document with a smaller ``doc_id``. Strings are judged on the input.
 
-1. *Anchors.* Every string of 50 bytes holds 31 cores of 20 bytes; the one of least hash (the first of equals)
-   is its anchor. Equal strings have equal anchors at the same place, and about one byte in sixteen is an anchor. A first
-   pass finds the anchors that stand in more than one document, in blocks of hashes, and leaves them as a filter of fixed size.
-2. *Windows.* A second pass emits, for each anchor that passes the filter, the 80 bytes around it: all strings that can have
-   it as anchor. A window whose equal stands in a smaller document read before by the same task is covered as a whole; so of many
-   copies one per task is emitted. Windows meet in buckets by anchor. An anchor of more than ``HOT`` documents would
-   make a bucket too large: its windows are cut to their 31 strings, each in the bucket of its own hash.
-3. *Intervals.* A bucket's windows, aligned at their anchors, are transformed column by column from the right: the order by
-   the suffix from column ``k`` is the stable partition, by the byte in column ``k``, of the order from ``k + 1``, which is one
-   backward extension of all intervals at once. The common prefix of neighbours grows by one, from the minimum over the rows between them
-   before, and stops at 50. Rows between two smaller values form the interval of one string of 50 bytes; it is removed from
-   the rows above its least document.
-4. The spans go back to their documents, which lose the bytes.
+1. *Anchors.* A string of 50 bytes holds 31 cores of 20 bytes; the one of least hash
+   (the first of equals) is its anchor. Equal strings have equal anchors at the same
+   place, and about one byte in sixteen is an anchor. A first pass finds the anchors that
+   stand in more than one document, in blocks of hashes, and leaves a filter of fixed size.
+2. *Windows.* A second pass emits, for each anchor that passes the filter, the 80 bytes
+   around it: all strings that can have it as anchor. A window whose equal stands in a smaller
+   document read before by the same task is covered as a whole, so of many copies few
+   are emitted. Windows meet in buckets by anchor. An anchor of more than ``HOT`` documents
+   would make a bucket too large: its windows are cut to their 31 strings, each of which
+   goes to the bucket of its own hash.
+3. *Intervals.* A bucket's windows, aligned at their anchors, are transformed column by
+   column from the right. The order by the suffix from column ``k`` is the stable partition,
+   by the byte in column ``k``, of the order from ``k + 1``: one backward extension of all
+   intervals at once. The common prefix of neighbours grows by one, from the minimum
+   over the rows between them before, and stops at 50. Rows between two smaller values form the
+   interval of one string; it is removed from the rows above its least document.
+4. *Spans* go back to their documents, which lose the bytes.
 
 The filter only saves work: what passes it wrongly finds no equal string.
 
-Defined results: a null or empty text, and any of under 50 bytes, loses nothing. A null ``doc_id`` is smaller
-and larger than none, so its row loses nothing and removes nothing. Equal ids remove
-nothing from each other; rows that are the same in id and text lose the same bytes.
+Defined results: a null or empty text, and any of under 50 bytes, loses nothing. A null
+``doc_id`` is neither smaller nor larger than any, so its row loses nothing and removes
+nothing. Equal ids remove nothing from each other; rows that are the same in id and text lose
+the same bytes. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -36,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import body, text_hash, texts_of
+from tillroll.llm.common import body, texts_of
 
 LENGTH = 50
 CORE = 20
@@ -45,11 +51,14 @@ WINDOW = LENGTH + SIDE
 PAD = 0xFF  # in no UTF-8 text
 HOT = 1 << 18
 FILTER_BITS = 27
-BLOCK_BYTES = 64 << 20
-"""Text per block of anchor hashes and per bucket of windows, at most on average."""
+BLOCK_BYTES = 16 << 20
+"""Text per block of anchor hashes, at most on average."""
 
-SLAB = 1 << 22
-FLUSH = 1 << 20
+SLAB = 1 << 20
+"""Bytes of text whose anchors are found at once."""
+
+FLUSH = 1 << 19
+"""Anchors, and windows, that a task holds at most before it lets them go."""
 
 
 # --- anchors ----------------------------------------------------------------
@@ -65,63 +74,90 @@ def _eights(raw: bytes, offset: int, count: int) -> np.ndarray:
     return np.ndarray((count,), dtype="<u8", buffer=raw, offset=offset, strides=(1,))
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+@dataclass
+class Part:
+    """A piece of a text, long enough for the windows of the strings that start in it at
+    ``low..high``; ``offset`` is its place in the text."""
+
+    text: int
+    offset: int
+    data: bytes
+    low: int
+    high: int
+
+
+def parts(texts: list[bytes], size: int | None = None) -> Iterator[list[Part]]:
+    """All strings of all texts, as pieces of about ``size`` bytes in all. A text of under
+    ``LENGTH`` bytes has none; a long text is cut, and every string starts in one piece."""
+    size = size or SLAB
+    held: list[Part] = []
+    total = 0
+    for number, text in enumerate(texts):
+        strings = len(text) - LENGTH + 1
+        for start in range(0, max(0, strings), size):
+            stop = min(start + size, strings)
+            low, high = max(0, start - WINDOW), min(len(text), stop + LENGTH + WINDOW)
+            held.append(Part(number, low, text[low:high], start - low, stop - low))
+            total += high - low
+            if total >= size:
+                yield held
+                held, total = [], 0
+    if held:
+        yield held
+
+
+def anchors(held: list[Part]) -> tuple[np.ndarray, ...]:
     """``(buffer, hash, text number, place in the text, place in the buffer)`` of all anchors."""
     gap = bytes([PAD]) * SIDE
-    raw = gap + b"".join(t + gap for t in texts) + bytes(64)
+    raw = gap + b"".join(p.data + gap for p in held) + bytes(64)
     count = len(raw) - 64
-    held = _mix(_eights(raw, 0, count), 0x9E3779B97F4A7C15, 29)
-    held = _mix(held + _eights(raw, 8, count), 0xBF58476D1CE4E5B9, 31)
-    held = _mix(held + _eights(raw, CORE - 8, count), 0x94D049BB133111EB, 30)
-    # least hash and first place at once: the place stands in the lower bits
-    low = np.uint64(max(24, count.bit_length()))
-    least = (held >> low << low) | np.arange(count, dtype=np.uint64)
+    hashes = _mix(_eights(raw, 0, count), 0x9E3779B97F4A7C15, 29)
+    hashes = _mix(hashes + _eights(raw, 8, count), 0xBF58476D1CE4E5B9, 31)
+    hashes = _mix(hashes + _eights(raw, CORE - 8, count), 0x94D049BB133111EB, 30)
+    # least hash by its upper half, and the first of equals: the place stands in the lower half
+    half = np.uint64(32)
+    least = (hashes >> half << half) | np.arange(count, dtype=np.uint64)
     width, cores = 1, SIDE + 1
     while width * 2 <= cores:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     if width < cores:
         least = np.minimum(least[: width - cores], least[cores - width :])
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    sizes = np.array([len(p.data) for p in held], dtype=np.int64)
     offsets = SIDE + np.cumsum(sizes + SIDE) - sizes - SIDE
-    # a string starts at every place of a text but its last 49
     starts = np.zeros(len(least) + 1, dtype=np.int64)
-    long = sizes >= LENGTH
-    np.add.at(starts, offsets[long], 1)
-    np.add.at(starts, offsets[long] + sizes[long] - LENGTH + 1, -1)
+    np.add.at(starts, offsets + [p.low for p in held], 1)
+    np.add.at(starts, offsets + [p.high for p in held], -1)
     inside = np.cumsum(starts[:-1]) > 0
     chosen = np.zeros(count, dtype=bool)
-    chosen[(least[inside] & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)] = True
+    chosen[(least[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
     at = np.flatnonzero(chosen)
-    text = np.searchsorted(offsets, at, side="right") - 1
-    return np.frombuffer(raw, dtype=np.uint8), held[at], text, at - offsets[text], at
-
-
-def _slabs(ids: list, texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= SLAB):
-            size += len(texts[end])
-            end += 1
-        yield at, end
-        at = end
+    piece = np.searchsorted(offsets, at, side="right") - 1
+    text = np.array([p.text for p in held], dtype=np.int64)[piece]
+    place = at - offsets[piece] + np.array([p.offset for p in held], dtype=np.int64)[piece]
+    # anchors have small hashes; mixed once more they fill the range again
+    return np.frombuffer(raw, dtype=np.uint8), _mix(hashes[at], 0xA24BAED4963EE407, 32), text, place, at
 
 
 # --- the filter -------------------------------------------------------------
 
 
-def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two filter bits of a hash; both lie in the hash's own block, named by its upper bits."""
-    top = np.uint64(64 - FILTER_BITS)
-    first = hashes >> top
-    inner = np.uint64((1 << (FILTER_BITS - bits)) - 1)
-    second = (first & ~inner) | (_mix(hashes, 0xD6E8FEB86659FD93, 32) & inner)
+def _within(rest: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two filter bits, inside its block, of a hash of which 40 bits are left."""
+    inner = FILTER_BITS - bits
+    first = rest >> np.uint64(40 - inner)
+    second = _mix(rest, 0xD6E8FEB86659FD93, 32) & np.uint64((1 << inner) - 1)
     return first.astype(np.int64), second.astype(np.int64)
 
 
+def _rest(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The 40 bits of a hash behind those that name its block."""
+    return hashes << np.uint64(bits) >> np.uint64(24)
+
+
 def repeated_anchors(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(filter, hot)``: packed bits of the anchors of several documents, and the hashes of those of over ``HOT``.
+    """``(filter, hot)``: packed bits of the anchors of several documents, and those of over
+    ``HOT``, named by the upper ``bits + 40`` bits of their hashes.
 
     Hashes travel in ``2 ** bits`` blocks, each a fixed share of the hash
     space, with the number of documents where a task saw several.
@@ -129,57 +165,27 @@ def repeated_anchors(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray
     blocks = 1 << bits
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pd.Series] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            every = pd.concat(kept)
-            hashes, code = np.unique(every.index.to_numpy(), return_inverse=True)
-            seen = np.minimum(np.bincount(code, weights=every.to_numpy()), 1 << 30).astype(np.uint32)
-            cut = np.searchsorted(
-                hashes >> np.uint64(64 - bits) if bits else np.zeros(len(hashes)), np.arange(blocks + 1)
-            )
-            rows = [
-                (b, hashes[i:j].tobytes(), _counts(seen[i:j]))
-                for b, i, j in zip(range(blocks), cut[:-1], cut[1:], strict=True)
-                if j > i
-            ]
-            columns = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]],
-                ["block", "hashes", "seen"],
-            )
-
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             texts = texts_of(batch)
-            for low, high in _slabs([], texts):
-                _, held, text, _, _ = anchors(texts[low:high])
-                pairs = np.unique(np.stack([held, text.astype(np.uint64)]), axis=1) if len(held) else None
-                if pairs is None:
-                    continue
-                hashes, seen = np.unique(pairs[0], return_counts=True)
-                kept.append(pd.Series(seen, index=hashes))
-                size += len(hashes)
-                if size > FLUSH:
-                    yield out()
-                    kept.clear()
-                    size = 0
+            for held in parts(texts):
+                _, hashes, text, _, _ = anchors(held)
+                kept.append(_documents_per_hash(hashes, text))
+                if sum(len(h) for h, _ in kept) > FLUSH:
+                    yield _by_block(*_summed(kept), bits)
+                    kept = []
         if kept:
-            yield out()
+            yield _by_block(*_summed(kept), bits)
 
     def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        every = np.concatenate([np.frombuffer(h, dtype=np.uint64) for h in rows["hashes"]])
-        seen = np.concatenate(
-            [_uncounted(s, len(h) // 8) for s, h in zip(rows["seen"], rows["hashes"], strict=True)]
-        )
-        hashes, code = np.unique(every, return_inverse=True)
-        total = np.bincount(code, weights=seen)
-        inner = 1 << (FILTER_BITS - bits)
-        held = np.zeros(inner, dtype=bool)
-        for place in _places(hashes[total > 1], bits):
-            held[place & (inner - 1)] = True
-        hot = hashes[total > HOT].tobytes()
-        return pd.DataFrame({"block": [key[0]], "held": [np.packbits(held).tobytes()], "hot": [hot]})
+        both = zip(rows["hashes"], rows["seen"], strict=True)
+        hashes, total = _summed([_unpacked(held, seen) for held, seen in both])
+        held = np.zeros(1 << (FILTER_BITS - bits), dtype=bool)
+        for place in _within(hashes[total > 1], bits):
+            held[place] = True
+        named = np.uint64(key[0]) << np.uint64(40) | hashes[total > HOT]
+        packed = {"held": [np.packbits(held).tobytes()], "hot": [named.tobytes()]}
+        return pd.DataFrame({"block": [key[0]], **packed})
 
     named = docs.where("doc_id IS NOT NULL").select("text")
     rows = (
@@ -196,17 +202,63 @@ def repeated_anchors(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray
     return held.reshape(-1), np.sort(hot)
 
 
-def _counts(seen: np.ndarray) -> bytes:
-    """Counts over one, as (place, count); most are one."""
-    several = np.flatnonzero(seen > 1).astype(np.uint32)
-    return np.concatenate([several, seen[several]]).tobytes()
+def _documents_per_hash(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash once, in order, with the number of texts it stands in."""
+    order = np.argsort(hashes, kind="stable")  # texts stay in order within a hash
+    hashes, text = hashes[order], text[order]
+    new_hash = np.ones(len(hashes), dtype=bool)
+    new_hash[1:] = hashes[1:] != hashes[:-1]
+    new_text = new_hash.copy()
+    new_text[1:] |= text[1:] != text[:-1]
+    first = np.flatnonzero(new_hash)
+    seen = np.add.reduceat(new_text, first, dtype=np.int64) if len(first) else first
+    return hashes[first], seen
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash of all parts once, in order, with the sum of its counts."""
+    hashes = np.concatenate([h for h, _ in parts])
+    seen = np.concatenate([s for _, s in parts])
+    order = np.argsort(hashes)
+    hashes, seen = hashes[order], seen[order]
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    first = np.flatnonzero(new)
+    return hashes[first], np.add.reduceat(seen, first) if len(first) else seen
+
+
+def _by_block(hashes: np.ndarray, seen: np.ndarray, bits: int) -> pa.RecordBatch:
+    """``block, hashes, seen``: the hashes of each block, and their counts where over one."""
+    bounds = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    cut = [*np.searchsorted(hashes, bounds).tolist(), len(hashes)]
+    rows = []
+    for block, (i, j) in enumerate(zip(cut, cut[1:], strict=False)):
+        if j > i:
+            several = np.flatnonzero(seen[i:j] > 1)
+            counts = np.stack([several, seen[i:j][several]]).astype(np.int64)
+            rows.append((block, _packed(hashes[i:j], bits), counts.tobytes()))
+    columns = list(zip(*rows, strict=True)) or [(), (), ()]
+    types = (pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["block", "hashes", "seen"]
+    )
+
+
+def _packed(hashes: np.ndarray, bits: int) -> bytes:
+    """The 40 bits of each hash behind its block's, which name it well enough for a filter."""
+    rest = _rest(hashes, bits)
+    upper, lower = rest >> np.uint64(8), rest & np.uint64(0xFF)
+    return upper.astype("<u4").tobytes() + lower.astype(np.uint8).tobytes()
 
 
-def _uncounted(packed: bytes, size: int) -> np.ndarray:
-    pairs = np.frombuffer(packed, dtype=np.uint32).reshape(2, -1)
-    seen = np.ones(size)
-    seen[pairs[0]] = pairs[1]
-    return seen
+def _unpacked(held: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size = len(held) // 5
+    upper = np.frombuffer(held, dtype="<u4", count=size).astype(np.uint64)
+    hashes = upper << np.uint64(8) | np.frombuffer(held, dtype=np.uint8, offset=4 * size)
+    several, number = np.frombuffer(counts, dtype=np.int64).reshape(2, -1)
+    seen = np.ones(len(hashes), dtype=np.int64)
+    seen[several] = number
+    return hashes, seen
 
 
 # --- windows ----------------------------------------------------------------
@@ -221,10 +273,71 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[first], reach[np.r_[first[1:], len(starts)] - 1] if len(starts) else ends
 
 
+@dataclass
+class Windows:
+    """Windows of several texts: where each is cut from the buffer, the number of its text,
+    its first byte's place in the text (negative where it reaches over the start), and its key."""
+
+    start: np.ndarray
+    width: np.ndarray
+    text: np.ndarray
+    first: np.ndarray
+    key: np.ndarray
+
+
+def _passing(hashes: np.ndarray, held: np.ndarray, bits: int) -> np.ndarray:
+    """Which hashes have both their bits in the filter."""
+    passing = np.ones(len(hashes), dtype=bool)
+    block = (hashes >> np.uint64(64 - bits) << np.uint64(FILTER_BITS - bits)).astype(np.int64)
+    for place in _within(_rest(hashes, bits), bits):
+        bit = block | place
+        passing &= (held[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
+    return passing
+
+
+def _around(hashes, text, place, at) -> Windows:
+    """The window of each anchor."""
+    return Windows(at - SIDE, np.full(len(at), WINDOW), text, place - SIDE, hashes)
+
+
+def _strings(buffer: np.ndarray, text, place, at) -> Windows:
+    """Every string of each anchor's window, by itself; only strings inside their text."""
+    steps = np.arange(SIDE + 1)
+    start = (at[:, None] - SIDE + steps).ravel()
+    first = (place[:, None] - SIDE + steps).ravel()
+    text = np.repeat(text, SIDE + 1)
+    inside = (buffer[start] != PAD) & (buffer[start + LENGTH - 1] != PAD)
+    start, first, text = start[inside], first[inside], text[inside]
+    raw = buffer.tobytes()
+    digests = [hashlib.blake2b(raw[s : s + LENGTH], digest_size=8).digest() for s in start.tolist()]
+    key = np.frombuffer(b"".join(digests), dtype="<u8").astype(np.uint64)
+    return Windows(start, np.full(len(start), LENGTH), text, first, key)
+
+
+def _emitted(cut: list[bytes], docs: np.ndarray, least: dict[bytes, int]) -> np.ndarray:
+    """Which windows go on: those without an equal in a smaller document so far.
+
+    ``least`` holds the smallest document of each window that the task remembers.
+    """
+    out = np.zeros(len(cut), dtype=bool)
+    for i in np.argsort(docs, kind="stable").tolist():
+        doc = int(docs[i])
+        if doc <= least.get(cut[i], doc):
+            least[cut[i]] = doc
+            out[i] = True
+    return out
+
+
 def windows(docs: DataFrame, bits: int, buckets: int, shared) -> DataFrame:
     """``bucket, window, doc_id, version, start, stop``: windows to compare, with the
     place of their first byte; without a window, a span that is covered already."""
-    schema = "bucket int, window binary, doc_id long, version long, start long, stop long"
+    names = ["bucket", "window", "doc_id", "version", "start", "stop"]
+
+    def rows(bucket, window, doc, version, start, stop) -> pa.RecordBatch:
+        version = pa.array(np.asarray(version, dtype=np.int32))
+        doc, start, stop = (pa.array(np.asarray(c, dtype=np.int64)) for c in (doc, start, stop))
+        columns = [pa.array(bucket, pa.int32()), window, doc, version, start, stop]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, hot = shared.value
@@ -233,83 +346,53 @@ def windows(docs: DataFrame, bits: int, buckets: int, shared) -> DataFrame:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             versions = batch.column(1).to_numpy(zero_copy_only=False)
             texts = texts_of(batch)
-            for low, high in _slabs([], texts):
-                own = anchors(texts[low:high])
-                if len(least) > FLUSH:
-                    least.clear()
-                yield from _emit(own, ids[low:high], versions[low:high], held, hot, least)
-
-    def _emit(own, ids, versions, held, hot, least) -> Iterator[pa.RecordBatch]:
-        buffer, hashes, text, place, at = own
-        passing = np.ones(len(hashes), dtype=bool)
-        for bit in _places(hashes, bits):
-            passing &= (held[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
-        hashes, text, place, at = hashes[passing], text[passing], place[passing], at[passing]
-        start, width = at - SIDE, np.full(len(at), WINDOW)
-        if len(hot):  # each string of a hot anchor's window on its own
-            where = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
-            is_hot = hot[where] == hashes
-            each = (start[is_hot][:, None] + np.arange(SIDE + 1)).ravel()
-            text = np.r_[text[~is_hot], np.repeat(text[is_hot], SIDE + 1)]
-            shift = (place[is_hot][:, None] - SIDE + np.arange(SIDE + 1)).ravel()
-            first = np.r_[place[~is_hot] - SIDE, shift]
-            whole = buffer[each[:, None] + np.arange(LENGTH)] if len(each) else np.zeros((0, LENGTH))
-            start, width = np.r_[start[~is_hot], each], np.r_[width[~is_hot], np.full(len(each), LENGTH)]
-            keep = np.ones(len(start), dtype=bool)
-            if len(each):
-                keep[-len(each) :] = ~(whole == PAD).any(axis=1)
-            hashes = np.r_[hashes[~is_hot], np.zeros(len(each), dtype=np.uint64)]
-            text, first, start, width = text[keep], first[keep], start[keep], width[keep]
-            hashes = hashes[keep]
-        else:
-            first = place - SIDE
+            for pieces in parts(texts):
+                buffer, *found = anchors(pieces)
+                passing = _passing(found[0], held, bits)
+                found = [c[passing] for c in found]
+                is_hot = np.isin(found[0] >> np.uint64(24 - bits), hot)
+                plain = _around(*[c[~is_hot] for c in found])
+                single = _strings(buffer, *[c[is_hot] for c in found[1:]])
+                for own in (plain, single):
+                    if len(least) > FLUSH:
+                        least.clear()
+                    yield from compared(buffer, own, ids, versions, least)
+
+    def compared(buffer, own: Windows, ids, versions, least) -> Iterator[pa.RecordBatch]:
         raw = buffer.tobytes()
-        cut = [raw[s : s + w] for s, w in zip(start.tolist(), width.tolist(), strict=True)]
-        docs_of = ids[text]
-        # of equal windows the smallest document read so far goes on
-        go = np.zeros(len(cut), dtype=bool)
-        get = least.get
-        for i in np.argsort(docs_of, kind="stable").tolist():
-            key, doc = cut[i], int(docs_of[i])
-            known = get(key)
-            if known is None or doc <= known:
-                least[key] = doc
-                go[i] = True
-        go_at = np.flatnonzero(go)
-        key = hashes[go_at]
-        for n in np.flatnonzero(width[go_at] == LENGTH).tolist():
-            digest = hashlib.blake2b(cut[go_at[n]], digest_size=8).digest()
-            key[n] = int.from_bytes(digest, "little")
-        bucket = (_mix(key, 0xA24BAED4963EE407, 33) % np.uint64(buckets)).astype(np.int32)
-        yield _rows(
-            bucket, pa.array([cut[i] for i in go_at.tolist()], pa.binary()),
-            docs_of[go_at], versions[text[go_at]], first[go_at], first[go_at],
-        )
-        covered = np.flatnonzero(~go)
-        if len(covered):
-            order = covered[np.lexsort((first[covered], text[covered]))]
-            base = text[order].astype(np.int64) << 40  # one line of places for all texts
-            # the window may reach over the ends of its text
-            pads = [_pads(cut[i]) for i in order.tolist()]
-            lead = np.array([p[0] for p in pads])
-            tail = np.array([p[1] for p in pads])
-            a, b = first[order] + lead, first[order] + width[order] - tail
-            starts, stops = _merged(base + a, base + b)
-            owner = starts >> 40
+        cut = [raw[s : s + w] for s, w in zip(own.start.tolist(), own.width.tolist(), strict=True)]
+        doc, version = ids[own.text], versions[own.text]
+        go = _emitted(cut, doc, least)
+        if go.any():
+            at = np.flatnonzero(go)
+            bucket = (own.key[at] % np.uint64(buckets)).astype(np.int32)
+            window = pa.array([cut[i] for i in at.tolist()], pa.binary())
+            first = own.first[at]
+            yield rows(bucket, window, doc[at], version[at], first, first)
+        if not go.all():
+            at = np.flatnonzero(~go)
+            at = at[np.lexsort((own.first[at], own.text[at]))]
+            lead, tail = np.array([_pads(cut[i]) for i in at.tolist()]).T
+            line = own.text[at].astype(np.int64) << 40  # one line of places for all texts
+            place = line + own.first[at]
+            starts, stops = _merged(place + lead, place + own.width[at] - tail)
+            text = starts >> 40
             none = pa.nulls(len(starts), pa.binary())
             spread = (starts % buckets).astype(np.int32)
-            mask = (1 << 40) - 1
-            yield _rows(spread, none, ids[owner], versions[owner], starts & mask, stops - (owner << 40))
-
-    def _rows(bucket, window, doc, version, start, stop) -> pa.RecordBatch:
-        numbers = [pa.array(np.asarray(c, dtype=np.int64)) for c in (doc, version, start, stop)]
-        names = ["bucket", "window", "doc_id", "version", "start", "stop"]
-        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), window, *numbers], names)
+            line = text << 40
+            yield rows(spread, none, ids[text], versions[text], starts - line, stops - line)
 
     named = docs.where("doc_id IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("version"), "text"
+        F.col("doc_id").cast("long").alias("doc_id"), _version().alias("version"), "text"
     )
-    return named.mapInArrow(emit, schema)
+    return named.mapInArrow(
+        emit, "bucket int, window binary, doc_id long, version int, start long, stop long"
+    )
+
+
+def _version():
+    """Tells the texts of one ``doc_id`` apart, should it have several."""
+    return F.hash(body())
 
 
 def _pads(window: bytes) -> tuple[int, int]:
@@ -338,7 +421,7 @@ def _range_minimum(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.
 
 
 def covered_starts(window: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """For every row and every string of ``length`` bytes in it: does it stand in a smaller document's row too?
+    """For every row and each of its strings of ``length`` bytes: is it in a smaller document too?
 
     ``window`` holds one row of bytes per window, aligned. Strings are compared
     at equal columns only. Strings with a pad byte never count.
@@ -383,7 +466,7 @@ def compare_bucket(table: pa.Table) -> pa.Table:
     """The covered spans of one bucket's windows, and the spans it was given."""
     window = table.column("window")
     given = table.filter(window.is_null())
-    parts = [[given.column(c).to_numpy() for c in ("doc_id", "version", "start", "stop")]]
+    found = [[given.column(c).to_numpy() for c in ("doc_id", "version", "start", "stop")]]
     rows = table.filter(window.is_valid())
     cut = rows.column("window").to_pylist()
     size = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
@@ -394,8 +477,9 @@ def compare_bucket(table: pa.Table) -> pa.Table:
         held = held.reshape(len(own), width)
         doc, version, start = (c[own] for c in numbers)
         row, a, b = _spans(covered_starts(held, doc), LENGTH)
-        parts.append([doc[row], version[row], start[row] + a, start[row] + b])
-    columns = [np.concatenate(c).astype(np.int64) for c in zip(*parts, strict=True)]
+        found.append([doc[row], version[row], start[row] + a, start[row] + b])
+    columns = [np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True)]
+    columns[1] = columns[1].astype(np.int32)
     return pa.table(columns, names=["doc_id", "version", "start", "stop"])
 
 
@@ -403,17 +487,17 @@ def compare_bucket(table: pa.Table) -> pa.Table:
 
 
 def covered_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, version, spans``: per document that loses bytes, its spans ``[start, stop)``, not merged."""
+    """``doc_id, version, spans``: per document that loses bytes its spans, not merged."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(16, math.ceil(total / BLOCK_BYTES))
     bits = min(FILTER_BITS - 3, (blocks - 1).bit_length())
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(2 * parts, 4 * blocks)
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(2 * partitions, 4 * blocks)
     shared = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, bits))
     spans = (
         windows(docs, bits, buckets, shared)
         .groupBy("bucket")
-        .applyInArrow(compare_bucket, "doc_id long, version long, start long, stop long")
+        .applyInArrow(compare_bucket, "doc_id long, version int, start long, stop long")
     )
     return spans.groupBy("doc_id", "version").agg(
         F.collect_list(F.struct("start", "stop")).alias("spans")
@@ -424,7 +508,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     """``doc_id, kept, n_bytes, n_removed, n_spans``: what is left of each text, in bytes."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     spans = covered_spans(docs).withColumnsRenamed({"doc_id": "_id", "version": "_version"})
-    rows = docs.select("doc_id", body().alias("text"), text_hash().alias("version"))
+    rows = docs.select("doc_id", body().alias("text"), _version().alias("version"))
     same = (rows["doc_id"] == spans["_id"]) & (rows["version"] == spans["_version"])
     joined = rows.join(spans, same, "left").select(
         "doc_id",

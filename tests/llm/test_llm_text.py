@@ -324,11 +324,24 @@ def test_symbol_probabilities_sum_to_one(docs):
 
 
 def test_grams_of_several_texts():
-    gram, first = lm_score.grams([b"aB", b"", b"c"])
-    assert first.tolist() == [0, 3, 4]
-    symbols = [int(g).to_bytes(5, "big") for g in gram]
     end, start = lm_score.END, lm_score.START
-    assert symbols[:4] == [start + b"a", start[1:] + b"ab", start[2:] + b"ab" + end, start + end]
+    expected = [start + b"a", start[1:] + b"ab", start[2:] + b"ab" + end, start + end]
+    for size in (1, 2, 100):
+        pieces = list(lm_score.grams([b"aB", b"", b"cd"], size))
+        symbols = [int(g).to_bytes(5, "big") for gram, _ in pieces for g in gram]
+        assert symbols[:4] == expected and len(symbols) == 7
+        assert [n for _, text in pieces for n in text.tolist()] == [0, 0, 0, 1, 2, 2, 2]
+
+
+def test_a_long_text_is_scored_in_pieces(docs, monkeypatch):
+    counted = lm_score.count_table(docs, 7, 2).cache()
+    model = lm_score.fit(docs, counted, 7, 2)
+    counted.unpersist()
+    texts = [b"some words of text " * 50, b"", b"more " * 9]
+    whole = model.scores(texts)
+    grams = lm_score.grams
+    monkeypatch.setattr(lm_score, "grams", lambda held: grams(held, 64))
+    assert model.scores(texts) == pytest.approx(whole)
 
 
 def test_scores_odd_rows(spark):

@@ -3,15 +3,18 @@
 A document is a bag of passages of ``PASSAGE`` bytes, all of them. Every passage is
 encoded from its own bytes and words: shares of character classes and of
 each ASCII mark, word lengths, repetition. A hidden layer, a gated attention
-(a tanh branch times a sigmoid branch) and a logistic output are learned together from document labels:
-the attention weighs the passages, the weighted sum is the document, and the output scores it.
+(a tanh branch times a sigmoid branch) and a logistic output are learned together from
+document labels: the attention weighs the passages, the weighted sum is the document, and
+the output scores it.
 
-The classifier is fitted on a sample of at most ``SAMPLE`` labelled documents, those of the smallest hash of
-``doc_id`` among the rows that may be learned from. Labels, ``lang``, ``source`` and ``doc_id`` are no inputs of a score.
+The classifier is fitted on a sample of at most ``SAMPLE`` labelled documents, those of the
+smallest hash of ``doc_id`` among the rows that may be learned from. Labels, ``lang``,
+``source`` and ``doc_id`` are no inputs of a score.
 
 Defined results: a null or empty text is one empty passage and gets a score too. A null
-``doc_id`` is not held out and has no label. Labels that are null are not used; a document labelled
-several times has its mean label. Without any label every score is 0.5. Rows are scored one by one.
+``doc_id`` is not held out and has no label. Labels that are null are not used; a document
+labelled several times has its mean label. Without any label every score is 0.5. Rows are scored
+one by one.
 """
 
 from __future__ import annotations
@@ -60,11 +63,15 @@ def encode(text: bytes, size: int = PASSAGE) -> np.ndarray:
     out = np.zeros((count, FEATURES))
     if not text:
         return out
-    held = np.frombuffer(text, dtype=np.uint8).astype(np.int64)
-    passage = np.arange(len(held)) // size
-    histogram = np.bincount(passage * 256 + held, minlength=count * 256).reshape(count, 256)
-    lengths = histogram.sum(axis=1)
-    out[:, : CLASSES.shape[1]] = np.sqrt(histogram @ CLASSES / lengths[:, None])
+    lengths = np.full(count, size)
+    lengths[-1] = len(text) - (count - 1) * size
+    for low in range(0, count, 256):  # passages at once
+        held = np.frombuffer(text[low * size : (low + 256) * size], dtype=np.uint8).astype(np.int64)
+        own = min(256, count - low)
+        passage = np.arange(len(held)) // size
+        histogram = np.bincount(passage * 256 + held, minlength=own * 256).reshape(own, 256)
+        shares = histogram @ CLASSES / lengths[low : low + own, None]
+        out[low : low + own, : CLASSES.shape[1]] = np.sqrt(shares)
     for k in range(count):
         words = text[k * size : (k + 1) * size].split()
         if words:

@@ -1,4 +1,4 @@
-"""The registered queries of the operators: ``QUERIES`` and, where SQL states the same rows, ``SQL``."""
+"""The operators' registered queries: ``QUERIES`` and, where SQL gives the same rows, ``SQL``."""
 
 from __future__ import annotations
 

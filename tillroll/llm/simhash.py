@@ -7,10 +7,11 @@ Candidate search. The 64 bits are cut into three segments of at most 22 bits. Th
 leave at most one error in two of the three segments (two segments of two errors each would be
 four). Each segment is a word of the (23, 12) Golay code, a perfect code: every word is within
 three bits of exactly one codeword. A segment gives the codeword index of itself, and the
-indices of all words one bit away from it: one to six different ones. Words that differ in at most one bit find
-each other's own index among those. Per pair of segments a fingerprint is therefore entered once with the near
-indices of the first segment and its own index of the second, and once the other way round; two linked fingerprints
-meet in a key of 24 bits. The join verifies the distance of what meets, so only links leave it.
+indices of all words one bit away from it: one to six different ones. Words that differ in at
+most one bit find each other's own index among those. Per pair of segments a fingerprint is
+therefore entered once with the near indices of the first segment and its own index of the
+second, and once the other way round; two linked fingerprints meet in a key of 24 bits. The
+join verifies the distance of what meets, so only links leave it.
 
 Equal fingerprints are one node, whatever their number of rows. A fingerprint has at most 43,744 others
 within three bits, which bounds the links per node whatever the input. The components come from
@@ -139,8 +140,8 @@ def near_indices(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def search_keys(prints: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, key)`` of signed fingerprints: near indices of the pair's first segment with the own index
-    of its second, or the other way round."""
+    """``(row, key)`` of signed fingerprints: near indices of the pair's first segment with the
+    own index of its second, or the other way round."""
     bits = prints.view(np.uint64)
     parts = [
         ((bits >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64)
@@ -187,7 +188,8 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of the staged ``edges``: the smallest node it reaches.
 
-    Each round takes the smallest root among a node and its neighbours and then the root's own root, until none changes.
+    Each round takes the smallest root among a node and its neighbours and then the
+    root's own root, until none changes.
     """
     both = edges.select(F.col("low").alias("node"), F.col("high").alias("other")).unionAll(
         edges.select(F.col("high").alias("node"), F.col("low").alias("other"))

@@ -39,6 +39,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -504,22 +505,38 @@ def covered_spans(docs: DataFrame) -> DataFrame:
     )
 
 
+def _packed_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, version, packed``: the texts as they travel to their spans."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            texts = pa.array([packed(t) for t in texts_of(batch)], pa.binary())
+            columns = [batch.column(0), batch.column(1), texts]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "packed"])
+
+    rows = docs.select("doc_id", _version().alias("version"), "text")
+    return rows.mapInArrow(pack, f"doc_id {id_type}, version int, packed binary")
+
+
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """``doc_id, kept, n_bytes, n_removed, n_spans``: what is left of each text, in bytes."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     spans = covered_spans(docs).withColumnsRenamed({"doc_id": "_id", "version": "_version"})
-    rows = docs.select("doc_id", body().alias("text"), _version().alias("version"))
+    rows = _packed_texts(docs)
     same = (rows["doc_id"] == spans["_id"]) & (rows["version"] == spans["_version"])
     joined = rows.join(spans, same, "left").select(
         "doc_id",
-        "text",
+        "packed",
         F.col("spans.start").alias("starts"),
         F.col("spans.stop").alias("stops"),
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            texts = texts_of(batch)
+            texts = [unpack(t) for t in batch.column(1).to_pylist()]
             out: list[tuple[bytes, int, int]] = []
             lists = (batch.column(2).to_pylist(), batch.column(3).to_pylist())
             for text, starts, stops in zip(texts, *lists, strict=True):

@@ -51,7 +51,7 @@ SIDE = LENGTH - CORE
 WINDOW = LENGTH + SIDE
 PAD = 0xFF  # in no UTF-8 text
 HOT = 1 << 18
-FILTER_BITS = 27
+FILTER_BITS, HOT_BITS = 27, 23
 BLOCK_BYTES = 16 << 20
 """Text per block of anchor hashes, at most on average."""
 
@@ -59,7 +59,10 @@ SLAB = 1 << 20
 """Bytes of text whose anchors are found at once."""
 
 FLUSH = 1 << 19
-"""Anchors, and windows, that a task holds at most before it lets them go."""
+"""Anchors that a task holds at most before it lets them go."""
+
+REMEMBERED = 1 << 18
+"""Windows that a task remembers at most; more of them save some equal ones a way."""
 
 
 # --- anchors ----------------------------------------------------------------
@@ -143,27 +146,41 @@ def anchors(held: list[Part]) -> tuple[np.ndarray, ...]:
 # --- the filter -------------------------------------------------------------
 
 
-def _within(rest: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two filter bits, inside its block, of a hash of which 40 bits are left."""
-    inner = FILTER_BITS - bits
+def _within(rest: np.ndarray, inner: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two filter bits, inside its block of ``2 ** inner``, of a hash of which 40 bits are left."""
     first = rest >> np.uint64(40 - inner)
     second = _mix(rest, 0xD6E8FEB86659FD93, 32) & np.uint64((1 << inner) - 1)
     return first.astype(np.int64), second.astype(np.int64)
 
 
+def _bitmap(rest: np.ndarray, inner: int) -> bytes:
+    held = np.zeros(1 << inner, dtype=bool)
+    for place in _within(rest, inner):
+        held[place] = True
+    return np.packbits(held).tobytes()
+
+
+def _passing(hashes: np.ndarray, held: np.ndarray, bits: int, size: int) -> np.ndarray:
+    """Which hashes have both their bits in a filter of ``2 ** size`` bits in ``2 ** bits`` blocks."""
+    passing = np.ones(len(hashes), dtype=bool)
+    block = (hashes >> np.uint64(64 - bits) << np.uint64(size - bits)).astype(np.int64)
+    for place in _within(_rest(hashes, bits), size - bits):
+        bit = block | place
+        passing &= (held[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
+    return passing
+
+
 def _rest(hashes: np.ndarray, bits: int) -> np.ndarray:
     """The 40 bits of a hash behind those that name its block."""
     return hashes << np.uint64(bits) >> np.uint64(24)
 
 
 def repeated_anchors(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(filter, hot)``: packed bits of the anchors of several documents, and those of over
-    ``HOT``, named by the upper ``bits + 40`` bits of their hashes.
+    """Two filters of fixed size: anchors of several documents, and those of over ``HOT``.
 
     Hashes travel in ``2 ** bits`` blocks, each a fixed share of the hash
     space, with the number of documents where a task saw several.
     """
-    blocks = 1 << bits
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, np.ndarray]] = []
@@ -181,12 +198,9 @@ def repeated_anchors(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray
     def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         both = zip(rows["hashes"], rows["seen"], strict=True)
         hashes, total = _summed([_unpacked(held, seen) for held, seen in both])
-        held = np.zeros(1 << (FILTER_BITS - bits), dtype=bool)
-        for place in _within(hashes[total > 1], bits):
-            held[place] = True
-        named = np.uint64(key[0]) << np.uint64(40) | hashes[total > HOT]
-        packed = {"held": [np.packbits(held).tobytes()], "hot": [named.tobytes()]}
-        return pd.DataFrame({"block": [key[0]], **packed})
+        held = _bitmap(hashes[total > 1], FILTER_BITS - bits)
+        hot = _bitmap(hashes[total > HOT], HOT_BITS - bits)
+        return pd.DataFrame({"block": [key[0]], "held": [held], "hot": [hot]})
 
     named = docs.where("doc_id IS NOT NULL").select("text")
     rows = (
@@ -195,12 +209,13 @@ def repeated_anchors(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray
         .applyInPandas(meet, "block int, held binary, hot binary")
         .collect()
     )
-    size = 1 << (FILTER_BITS - bits)
-    held = np.zeros((blocks, size // 8), dtype=np.uint8)
-    for r in rows:
-        held[r["block"]] = np.frombuffer(r["held"], dtype=np.uint8)
-    hot = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r["hot"], np.uint64) for r in rows]])
-    return held.reshape(-1), np.sort(hot)
+    filters = []
+    for name, size in (("held", FILTER_BITS), ("hot", HOT_BITS)):
+        filled = np.zeros((1 << bits, 1 << (size - bits - 3)), dtype=np.uint8)
+        for r in rows:
+            filled[r["block"]] = np.frombuffer(r[name], dtype=np.uint8)
+        filters.append(filled.reshape(-1))
+    return filters[0], filters[1]
 
 
 def _documents_per_hash(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -286,16 +301,6 @@ class Windows:
     key: np.ndarray
 
 
-def _passing(hashes: np.ndarray, held: np.ndarray, bits: int) -> np.ndarray:
-    """Which hashes have both their bits in the filter."""
-    passing = np.ones(len(hashes), dtype=bool)
-    block = (hashes >> np.uint64(64 - bits) << np.uint64(FILTER_BITS - bits)).astype(np.int64)
-    for place in _within(_rest(hashes, bits), bits):
-        bit = block | place
-        passing &= (held[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
-    return passing
-
-
 def _around(hashes, text, place, at) -> Windows:
     """The window of each anchor."""
     return Windows(at - SIDE, np.full(len(at), WINDOW), text, place - SIDE, hashes)
@@ -349,13 +354,13 @@ def windows(docs: DataFrame, bits: int, buckets: int, shared) -> DataFrame:
             texts = texts_of(batch)
             for pieces in parts(texts):
                 buffer, *found = anchors(pieces)
-                passing = _passing(found[0], held, bits)
+                passing = _passing(found[0], held, bits, FILTER_BITS)
                 found = [c[passing] for c in found]
-                is_hot = np.isin(found[0] >> np.uint64(24 - bits), hot)
+                is_hot = _passing(found[0], hot, bits, HOT_BITS)
                 plain = _around(*[c[~is_hot] for c in found])
                 single = _strings(buffer, *[c[is_hot] for c in found[1:]])
                 for own in (plain, single):
-                    if len(least) > FLUSH:
+                    if len(least) > REMEMBERED:
                         least.clear()
                     yield from compared(buffer, own, ids, versions, least)
 
@@ -491,7 +496,7 @@ def covered_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, version, spans``: per document that loses bytes its spans, not merged."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(16, math.ceil(total / BLOCK_BYTES))
-    bits = min(FILTER_BITS - 3, (blocks - 1).bit_length())
+    bits = min(HOT_BITS - 3, (blocks - 1).bit_length())
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(2 * partitions, 4 * blocks)
     shared = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, bits))

@@ -12,6 +12,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tillroll.functions.frames import null_tokens
 from tillroll.schemas import EXPORT_COLUMNS
@@ -20,8 +21,15 @@ from tillroll.session import fresh_path
 PRICE = "decimal(12,2)"
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def source(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; its schema is read from the files once, which is a job of its own."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def customers(spark: SparkSession, sf: str) -> DataFrame:

@@ -169,20 +169,21 @@ def license_scan(
 ) -> DataFrame:
     """Per document its licence places, labels and score.
 
-    The index is a few dozen words, written into the plan. A text that holds
-    none of them has no postings, so its words are only counted.
+    The index is a few dozen words, written into the plan. A text without the rarest
+    word of any template can hold none, so its words are only counted.
     """
     templates = (*base, *notices)
     frequency = document_frequency(docs, templates)
     idf, chosen = rare_words(templates, frequency, docs.count(), rare)
     index = sorted({w for words in chosen.values() for w in words})
+    rarest = F.array(*[F.lit(w) for w in sorted({words[0] for words in chosen.values()})])
     indexed = F.array(*map(F.lit, index))
     words = F.col("words")
     placed = F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
     hits = F.filter(placed, lambda h: F.array_contains(indexed, h["word"]))
     found = (
         docs.select("doc_id", words_of(body()).alias("words"))
-        .withColumn("hits", F.when(F.arrays_overlap(words, indexed), hits))
+        .withColumn("hits", F.when(F.arrays_overlap(words, rarest), hits))
         .select(
             "doc_id",
             "words",
@@ -201,6 +202,8 @@ def license_scan(
         return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*names)))), ",")
 
     def best(starts: Column, template: Template) -> Column:
+        if not template.keys:  # found, it stands there word by word
+            return F.when(F.size(starts) > 0, F.lit(1.0)).otherwise(F.lit(0.0))
         scores = F.transform(starts, lambda start: _coverage(words, start, template, idf))
         return F.coalesce(F.array_max(scores), F.lit(0.0))
 

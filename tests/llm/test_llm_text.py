@@ -207,6 +207,21 @@ def test_packing_odd_rows(spark, library):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_sequences_hold_the_tokens(docs, rows, library):
+    found = packing.sequences(docs, group=64).collect()
+    assert all(len(r["ids"]) == sum(r["lengths"]) <= 1024 for r in found)
+    held = defaultdict(list)
+    for r in found:
+        at = 0
+        for doc, length in zip(r["doc_ids"], r["lengths"], strict=True):
+            held[doc].append(tuple(r["ids"][at : at + length]))
+            at += length
+    for doc, text in rows:
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
+        cut = [tuple(ids[a : a + n]) for a, n in packing.cuts(len(ids), 1024)]
+        assert Counter(held[doc]) == Counter(cut)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_local_search_raises_squared_fill(seed):
     rng = random.Random(seed)

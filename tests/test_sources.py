@@ -8,6 +8,8 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from tillroll import session
+from tillroll.operators import number_rows
 from tillroll.plans import normalise as n
 from tillroll.plans.checks import check_tables
 from tillroll.schemas import CUSTOMERS, EXPORT_COLUMNS, ORDER_ITEMS, ORDERS, PRODUCTS, TABLES
@@ -206,4 +208,14 @@ def test_staged_tables_go_to_the_shared_folder(spark):
         folder = os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
         assert df.count() == 10 and os.path.isdir(folder)
     assert not os.path.exists(folder)
+
+
+def test_staging_is_cleared_at_the_end_of_a_job(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "staging_dir", lambda _: f"file://{tmp_path}/app")
+    rows = number_rows(spark.range(10), ["id"], "n")
+    write_table(rows, str(tmp_path / "out"))
+    assert list((tmp_path / "app").iterdir())
+    session.clear_staging(spark)
+    assert not (tmp_path / "app").exists()
+    assert table(spark, str(tmp_path / "out")).count() == 10
     assert build_session() is not None

@@ -50,10 +50,20 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def staging_dir(spark: SparkSession) -> str:
+    """The application's own folder below the shared one."""
+    return f"{shared_dir(spark)}/tillroll-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder; one parent folder per application."""
-    app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/tillroll-{app}/{label}-{uuid.uuid4().hex}"
+    """A new path in the application's folder."""
+    return f"{staging_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_staging(spark: SparkSession) -> None:
+    """Delete all that the application has staged: the last step of a job, when every result
+    that still reads a staged table, such as numbered rows, has been written."""
+    delete_path(spark, staging_dir(spark))
 
 
 def stage_table(df: DataFrame, label: str) -> DataFrame:

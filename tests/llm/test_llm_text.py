@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tillroll.llm import decontaminate, license_scan, lm_score, packing, quality, token_count
-from tillroll.llm.common import scan
+from tillroll.llm.common import hash_sample, scan
 
 SCHEMA = "doc_id long, text string"
 
@@ -322,6 +322,21 @@ def test_base_scores_all(docs, rows):
     check_base(lm_score.lm_scores(docs, top=50), rows)  # most words are joined
 
 
+def test_frequent_words_are_bounded(spark):
+    words = spark.createDataFrame([(str(i).encode(), n) for i, n in enumerate([1] * 50 + [9, 9, 40, 41])], "word binary, n long")
+    assert lm_score._frequent(words, 0) == {} and len(lm_score._frequent(words, 99)) == 54
+    assert sorted(lm_score._frequent(words, 5).values()) == [9, 9, 40, 41]
+    assert lm_score._frequent(words, 1) == {} or len(lm_score._frequent(words, 1)) == 1
+
+
+def test_a_sample_is_the_smallest_hashes(spark):
+    df = spark.range(5000)
+    exact = [r["id"] for r in df.orderBy(F.xxhash64("id"), "id").limit(100).collect()]
+    assert [r["id"] for r in hash_sample(df, ["id"], 100, 5000).collect()] == exact
+    assert hash_sample(df, ["id"], 9000, 5000).count() == 5000
+    assert hash_sample(df.limit(0), ["id"], 10, 0).count() == 0
+
+
 def test_model_scores(spark, docs):
     found = lm_score.lm_scores(docs).collect()
     assert all(r["score"] < 0 for r in found)

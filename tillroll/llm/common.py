@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from tillroll.functions.columns import quoted
 from tillroll.session import stage_table
 
-__all__ = ["body", "fresh_name", "paired", "scan", "stage_table", "text_hash", "texts_of"]
+__all__ = [
+    "body", "fresh_name", "hash_sample", "paired", "scan", "stage_table", "text_hash", "texts_of",
+]
 
 
 def _reachable(spark: SparkSession) -> None:
@@ -54,6 +56,17 @@ def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[b
         yield batch.column(batch.schema.get_field_index("doc_id")), texts_of(batch)
 
 
+def hash_sample(df: DataFrame, by: Sequence[str], size: int, total: int) -> DataFrame:
+    """The ``size`` rows of the smallest hash of the columns ``by``, or rarely some fewer.
+
+    ``total`` is about how many rows there are. A bound on the hash leaves about four times
+    the sample, so that the sort behind it does not gather ``size`` rows of every partition.
+    """
+    key = F.xxhash64(*[quoted(c) for c in by])
+    bound = min((1 << 63) - 1, (4 * size << 64) // max(1, total) - (1 << 63))
+    return df.where(key <= F.lit(bound)).orderBy(key, *[quoted(c) for c in by]).limit(size)
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` is called so."""
     held = {c.lower() for c in df.columns}

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import paired, texts_of
+from tillroll.llm.common import hash_sample, paired, texts_of
 
 PASSAGE = 1024
 SAMPLE = 4096
@@ -193,7 +193,7 @@ def learnable(labels: DataFrame, label: str, modulus: int, held: int, sample: in
     """``doc_id, label`` of at most ``sample`` labelled rows that are not held out."""
     named = labels.where(F.col(label).isNotNull() & (remainder(modulus) != held))
     means = named.groupBy("doc_id").agg(F.avg(F.col(label).cast("double")).alias("label"))
-    return means.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return hash_sample(means, ["doc_id"], sample, means.count())
 
 
 def train(

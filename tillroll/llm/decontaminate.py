@@ -18,7 +18,6 @@ share an id count once. Rows are searched one by one, so repeated rows repeat.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections import defaultdict
 from collections.abc import Iterator, Sequence

@@ -14,7 +14,8 @@ from tillroll.functions.columns import quoted
 from tillroll.session import stage_table
 
 __all__ = [
-    "body", "fresh_name", "hash_sample", "paired", "scan", "stage_table", "text_hash", "texts_of",
+    "body", "fresh_name", "hash_sample", "paired", "scan", "small_hash", "stage_table", "text_hash",
+    "texts_of",
 ]
 
 
@@ -63,8 +64,13 @@ def hash_sample(df: DataFrame, by: Sequence[str], size: int, total: int) -> Data
     the sample, so that the sort behind it does not gather ``size`` rows of every partition.
     """
     key = F.xxhash64(*[quoted(c) for c in by])
+    return df.where(small_hash(by, size, total)).orderBy(key, *[quoted(c) for c in by]).limit(size)
+
+
+def small_hash(by: Sequence[str], size: int, total: int) -> Column:
+    """True for about ``4 * size`` of ``total`` rows, those of the smallest hashes."""
     bound = min((1 << 63) - 1, (4 * size << 64) // max(1, total) - (1 << 63))
-    return df.where(key <= F.lit(bound)).orderBy(key, *[quoted(c) for c in by]).limit(size)
+    return F.xxhash64(*[quoted(c) for c in by]) <= F.lit(bound)
 
 
 def fresh_name(df: DataFrame, name: str) -> str:

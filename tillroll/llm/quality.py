@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import hash_sample, paired, texts_of
+from tillroll.llm.common import hash_sample, paired, small_hash, texts_of
 
 PASSAGE = 1024
 SAMPLE = 4096
@@ -192,8 +192,10 @@ def remainder(modulus: int) -> Column:
 def learnable(labels: DataFrame, label: str, modulus: int, held: int, sample: int) -> DataFrame:
     """``doc_id, label`` of at most ``sample`` labelled rows that are not held out."""
     named = labels.where(F.col(label).isNotNull() & (remainder(modulus) != held))
-    means = named.groupBy("doc_id").agg(F.avg(F.col(label).cast("double")).alias("label"))
-    return hash_sample(means, ["doc_id"], sample, means.count())
+    total = labels.count()
+    few = named.where(small_hash(["doc_id"], sample, total))
+    means = few.groupBy("doc_id").agg(F.avg(F.col(label).cast("double")).alias("label"))
+    return hash_sample(means, ["doc_id"], sample, total)
 
 
 def train(
@@ -236,7 +238,7 @@ def train(
     return fit(np.concatenate(held_in).astype(np.float64), first, np.array([r["label"] for r in rows]))
 
 
-def _scores(model: Attention | None, texts: list[bytes], slab: int = 1 << 22) -> np.ndarray:
+def _scores(model: Attention | None, texts: list[bytes], slab: int = 1 << 20) -> np.ndarray:
     """Scores of a batch's texts, a slab of passages at a time."""
     if model is None:
         return np.full(len(texts), 0.5)

@@ -61,6 +61,9 @@ SLAB = 1 << 20
 FLUSH = 1 << 19
 """Anchors that a task holds at most before it lets them go."""
 
+BUNDLE = 1 << 16
+"""Windows that travel as one row per bucket."""
+
 REMEMBERED = 1 << 18
 """Windows that a task remembers at most; more of them save some equal ones a way."""
 
@@ -295,7 +298,6 @@ class Windows:
     its first byte's place in the text (negative where it reaches over the start), and its key."""
 
     start: np.ndarray
-    width: np.ndarray
     text: np.ndarray
     first: np.ndarray
     key: np.ndarray
@@ -303,7 +305,7 @@ class Windows:
 
 def _around(hashes, text, place, at) -> Windows:
     """The window of each anchor."""
-    return Windows(at - SIDE, np.full(len(at), WINDOW), text, place - SIDE, hashes)
+    return Windows(at - SIDE, text, place - SIDE, hashes)
 
 
 def _strings(buffer: np.ndarray, text, place, at) -> Windows:
@@ -317,7 +319,7 @@ def _strings(buffer: np.ndarray, text, place, at) -> Windows:
     raw = buffer.tobytes()
     digests = [hashlib.blake2b(raw[s : s + LENGTH], digest_size=8).digest() for s in start.tolist()]
     key = np.frombuffer(b"".join(digests), dtype="<u8").astype(np.uint64)
-    return Windows(start, np.full(len(start), LENGTH), text, first, key)
+    return Windows(start, text, first, key)
 
 
 def _emitted(cut: list[bytes], docs: np.ndarray, least: dict[bytes, int]) -> np.ndarray:
@@ -334,66 +336,96 @@ def _emitted(cut: list[bytes], docs: np.ndarray, least: dict[bytes, int]) -> np.
     return out
 
 
-def windows(docs: DataFrame, bits: int, buckets: int, shared) -> DataFrame:
-    """``bucket, window, doc_id, version, start, stop``: windows to compare, with the
-    place of their first byte; without a window, a span that is covered already."""
-    names = ["bucket", "window", "doc_id", "version", "start", "stop"]
+@dataclass
+class Rows:
+    """Windows to compare, all of one width, with the place of their first byte in their text; or, with
+    width 0 and no windows, spans that are covered already."""
+
+    width: int
+    windows: list[bytes]
+    bucket: np.ndarray
+    numbers: np.ndarray  # four rows: doc_id, version, start, stop
+
+
+def _bundled(held: list[Rows]) -> pa.RecordBatch:
+    """``bucket, width, windows, numbers``: one row per bucket, packed, as windows travel far
+    smaller together than alone."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    out = []
+    for width in {r.width for r in held}:
+        own = [r for r in held if r.width == width]
+        cut = [w for r in own for w in r.windows]
+        bucket = np.concatenate([r.bucket for r in own])
+        numbers = np.concatenate([r.numbers for r in own], axis=1)
+        order = np.argsort(bucket, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
+        for at in np.split(order, first[1:]):
+            joined = b"".join([cut[i] for i in at.tolist()]) if width else b""
+            packed = pack(np.ascontiguousarray(numbers[:, at]).tobytes())
+            out.append((int(bucket[at[0]]), width, pack(joined), packed))
+    types = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "width", "windows", "numbers"])
 
-    def rows(bucket, window, doc, version, start, stop) -> pa.RecordBatch:
-        version = pa.array(np.asarray(version, dtype=np.int32))
-        doc, start, stop = (pa.array(np.asarray(c, dtype=np.int64)) for c in (doc, start, stop))
-        columns = [pa.array(bucket, pa.int32()), window, doc, version, start, stop]
-        return pa.RecordBatch.from_arrays(columns, names)
+
+def windows(docs: DataFrame, bits: int, buckets: int, shared) -> DataFrame:
+    """``bucket, width, windows, numbers``: bundles of windows to compare, and of spans."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, hot = shared.value
         least: dict[bytes, int] = {}
+        held: list[Rows] = []
+        total = 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            versions = batch.column(1).to_numpy(zero_copy_only=False)
-            texts = texts_of(batch)
-            for pieces in parts(texts):
-                buffer, *found = anchors(pieces)
-                passing = _passing(found[0], held, bits, FILTER_BITS)
-                found = [c[passing] for c in found]
-                is_hot = _passing(found[0], hot, bits, HOT_BITS)
-                plain = _around(*[c[~is_hot] for c in found])
-                single = _strings(buffer, *[c[is_hot] for c in found[1:]])
-                for own in (plain, single):
-                    if len(least) > REMEMBERED:
-                        least.clear()
-                    yield from compared(buffer, own, ids, versions, least)
-
-    def compared(buffer, own: Windows, ids, versions, least) -> Iterator[pa.RecordBatch]:
-        raw = buffer.tobytes()
-        cut = [raw[s : s + w] for s, w in zip(own.start.tolist(), own.width.tolist(), strict=True)]
+            for rows in found(batch, least):
+                held.append(rows)
+                total += len(rows.bucket)
+                if total >= BUNDLE:
+                    yield _bundled(held)
+                    held, total = [], 0
+        if held:
+            yield _bundled(held)
+
+    def found(batch: pa.RecordBatch, least: dict[bytes, int]) -> Iterator[Rows]:
+        held, hot = shared.value
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        versions = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        texts = texts_of(batch)
+        for pieces in parts(texts):
+            buffer, *own = anchors(pieces)
+            passing = _passing(own[0], held, bits, FILTER_BITS)
+            own = [c[passing] for c in own]
+            is_hot = _passing(own[0], hot, bits, HOT_BITS)
+            plain = _around(*[c[~is_hot] for c in own])
+            single = _strings(buffer, *[c[is_hot] for c in own[1:]])
+            for width, each in ((WINDOW, plain), (LENGTH, single)):
+                if len(least) > REMEMBERED:
+                    least.clear()
+                yield from compared(buffer.tobytes(), each, width, ids, versions, least)
+
+    def compared(raw: bytes, own: Windows, width: int, ids, versions, least) -> Iterator[Rows]:
+        cut = [raw[s : s + width] for s in own.start.tolist()]
         doc, version = ids[own.text], versions[own.text]
         go = _emitted(cut, doc, least)
         if go.any():
             at = np.flatnonzero(go)
-            bucket = (own.key[at] % np.uint64(buckets)).astype(np.int32)
-            window = pa.array([cut[i] for i in at.tolist()], pa.binary())
-            first = own.first[at]
-            yield rows(bucket, window, doc[at], version[at], first, first)
+            bucket = (own.key[at] % np.uint64(buckets)).astype(np.int64)
+            numbers = np.stack([doc[at], version[at], own.first[at], own.first[at]])
+            yield Rows(width, [cut[i] for i in at.tolist()], bucket, numbers)
         if not go.all():
             at = np.flatnonzero(~go)
             at = at[np.lexsort((own.first[at], own.text[at]))]
             lead, tail = np.array([_pads(cut[i]) for i in at.tolist()]).T
-            line = own.text[at].astype(np.int64) << 40  # one line of places for all texts
-            place = line + own.first[at]
-            starts, stops = _merged(place + lead, place + own.width[at] - tail)
+            place = (own.text[at].astype(np.int64) << 40) + own.first[at]  # one line for all texts
+            starts, stops = _merged(place + lead, place + width - tail)
             text = starts >> 40
-            none = pa.nulls(len(starts), pa.binary())
-            spread = (starts % buckets).astype(np.int32)
             line = text << 40
-            yield rows(spread, none, ids[text], versions[text], starts - line, stops - line)
+            numbers = np.stack([ids[text], versions[text], starts - line, stops - line])
+            yield Rows(0, [], starts % buckets, numbers)
 
     named = docs.where("doc_id IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"), _version().alias("version"), "text"
     )
-    return named.mapInArrow(
-        emit, "bucket int, window binary, doc_id long, version int, start long, stop long"
-    )
+    return named.mapInArrow(emit, "bucket int, width int, windows binary, numbers binary")
 
 
 def _version():
@@ -470,23 +502,23 @@ def _spans(covered: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np
 
 def compare_bucket(table: pa.Table) -> pa.Table:
     """The covered spans of one bucket's windows, and the spans it was given."""
-    window = table.column("window")
-    given = table.filter(window.is_null())
-    found = [[given.column(c).to_numpy() for c in ("doc_id", "version", "start", "stop")]]
-    rows = table.filter(window.is_valid())
-    cut = rows.column("window").to_pylist()
-    size = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
-    numbers = [rows.column(c).to_numpy() for c in ("doc_id", "version", "start")]
-    for width in np.unique(size).tolist():
-        own = np.flatnonzero(size == width)
-        held = np.frombuffer(b"".join(cut[i] for i in own.tolist()), dtype=np.uint8)
-        held = held.reshape(len(own), width)
-        doc, version, start = (c[own] for c in numbers)
-        row, a, b = _spans(covered_starts(held, doc), LENGTH)
-        found.append([doc[row], version[row], start[row] + a, start[row] + b])
-    columns = [np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True)]
-    columns[1] = columns[1].astype(np.int32)
-    return pa.table(columns, names=["doc_id", "version", "start", "stop"])
+    unpack = zstandard.ZstdDecompressor().decompress
+    rows = table.select(["width", "windows", "numbers"]).to_pylist()
+    found = [np.zeros((4, 0), dtype=np.int64)]
+    for width in sorted({r["width"] for r in rows}):
+        own = [r for r in rows if r["width"] == width]
+        packed = [np.frombuffer(unpack(r["numbers"]), dtype=np.int64) for r in own]
+        numbers = np.concatenate([n.reshape(4, -1) for n in packed], axis=1)
+        if not width:
+            found.append(numbers)
+            continue
+        held = np.frombuffer(b"".join(unpack(r["windows"]) for r in own), dtype=np.uint8)
+        doc, version, first, _ = numbers
+        row, a, b = _spans(covered_starts(held.reshape(-1, width), doc), LENGTH)
+        found.append(np.stack([doc[row], version[row], first[row] + a, first[row] + b]))
+    doc, version, start, stop = np.concatenate(found, axis=1)
+    names = ["doc_id", "version", "start", "stop"]
+    return pa.table([doc, version.astype(np.int32), start, stop], names=names)
 
 
 # --- the whole --------------------------------------------------------------

@@ -262,6 +262,20 @@ def test_quality_held_out_labels_are_not_learned(spark, docs, sf):
     assert one == two
 
 
+def test_quality_learns_from_all_usable_labels(spark):
+    ids = F.col("id").alias("doc_id")
+    usable = F.when(F.col("id") % 500 == 0, 1).cast("int")
+    labels = spark.range(50_000).select(ids, usable.alias("quality"))
+    again = spark.range(20_000).select(F.lit(0).cast("long").alias("doc_id"), F.lit(1).alias("quality"))
+    exact = {
+        r["doc_id"]
+        for r in labels.where(F.col("quality").isNotNull() & (quality.remainder(4) != 2)).collect()
+    }
+    found = quality.learnable(labels.union(again), "quality", 4, 2, 100).collect()
+    assert len(exact) < 100 and len(found) == len(exact)
+    assert {r["doc_id"] for r in found} == exact
+
+
 def test_quality_gradients():
     rng = np.random.default_rng(0)
     passages, first = rng.normal(size=(9, quality.FEATURES)), np.array([0, 2, 5])

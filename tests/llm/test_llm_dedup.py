@@ -8,6 +8,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tillroll.llm import exact_dedup, line_dedup, simhash, suffix_dedup
@@ -179,6 +180,24 @@ def test_strings_hot_anchors_are_split(spark, monkeypatch):
     assert cut(suffix_dedup.suffix_dedup(frame(spark, rows).repartition(3))) == brute.repeats(rows)
 
 
+@pytest.mark.parametrize("hot", [0, suffix_dedup.HOT])
+def test_repeats_within_a_document_are_emitted_once(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = np.random.default_rng(11)
+    line = bytes(rng.integers(97, 123, 90).tolist()).decode()  # returns further than 50 bytes apart
+    long = "x" + "-" * 9000 + "y" + "ab " * 900 + line * 60
+    rows = [(1, long), (1, long), (2, "-" * 300 + line + "ab " * 40), (3, "z" + "-" * 5000 + line[:70])]
+    docs = frame(spark, rows).coalesce(1)
+    held = np.zeros(1 << (suffix_dedup.FILTER_BITS - 3), dtype=np.uint8) + 255
+    is_hot = np.full(1 << (suffix_dedup.HOT_BITS - 3), 0 if hot else 255, dtype=np.uint8)
+    shared = spark.sparkContext.broadcast((held, is_hot))
+    unpack = zstandard.ZstdDecompressor().decompress
+    sent = [r for r in suffix_dedup.windows(docs, 4, 8, shared).collect() if r["width"]]
+    windows = sum(len(unpack(r["windows"])) // r["width"] for r in sent)
+    assert windows < 1500
+    assert cut(suffix_dedup.suffix_dedup(docs)) == brute.repeats(rows)
+
+
 def test_strings_null_and_equal_ids(spark):
     long = "the same long text " * 8
     rows = [(None, long), (1, long), (1, long), (2, long)]

@@ -10,7 +10,9 @@ document with a smaller ``doc_id``. Strings are judged on the input.
 2. *Windows.* A second pass emits, for each anchor that passes the filter, the 80 bytes
    around it: all strings that can have it as anchor. A window whose equal stands in a smaller
    document read before by the same task is covered as a whole, so of many copies few
-   are emitted. Windows meet in buckets by anchor. An anchor of more than ``HOT`` documents
+   are emitted. A window that a document repeats is emitted once per document and slab, with its
+   places; places at most 50 bytes apart are one run, so a run of one byte is one row. Windows meet in
+   buckets by anchor. An anchor of more than ``HOT`` documents
    would make a bucket too large: its windows are cut to their 31 strings, each of which
    goes to the bucket of its own hash.
 3. *Intervals.* A bucket's windows, aligned at their anchors, are transformed column by
@@ -295,31 +297,55 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 @dataclass
 class Windows:
     """Windows of several texts: where each is cut from the buffer, the number of its text,
-    its first byte's place in the text (negative where it reaches over the start), and its key."""
+    its first byte's first and last place in the text (negative where it reaches over the start),
+    and its key. Between the two places it stands at least once in every ``LENGTH`` bytes, so a string
+    covered in one of them is covered from the first place to the last."""
 
     start: np.ndarray
     text: np.ndarray
     first: np.ndarray
+    last: np.ndarray
     key: np.ndarray
 
 
 def _around(hashes, text, place, at) -> Windows:
     """The window of each anchor."""
-    return Windows(at - SIDE, text, place - SIDE, hashes)
-
-
-def _strings(buffer: np.ndarray, text, place, at) -> Windows:
-    """Every string of each anchor's window, by itself; only strings inside their text."""
+    return Windows(at - SIDE, text, place - SIDE, place - SIDE, hashes)
+
+
+def _runs(raw: bytes, own: Windows, width: int, names: np.ndarray) -> tuple[Windows, np.ndarray]:
+    """Each different window of each document once, or, where its places lie further apart, once for
+    each run of places; and which rows are the first of their window. ``names`` has the
+    number of each text's document."""
+    if not len(own.start):
+        return own, np.zeros(0, dtype=bool)
+    number: dict[tuple[int, bytes], int] = {}
+    each = zip(names[own.text].tolist(), own.start.tolist(), strict=True)
+    kind = np.array([number.setdefault((n, raw[s : s + width]), len(number)) for n, s in each])
+    order = np.lexsort((own.first, kind))
+    line = (kind[order] << 33) + SIDE  # one line for all windows
+    starts, stops = _merged(line + own.first[order], line + own.last[order] + LENGTH)
+    kind_of = starts >> 33
+    source = order[np.searchsorted(kind[order], kind_of)]
+    line = (kind_of << 33) + SIDE
+    fresh = np.r_[True, kind_of[1:] != kind_of[:-1]]
+    first, last = starts - line, stops - line - LENGTH
+    return Windows(own.start[source], own.text[source], first, last, own.key[source]), fresh
+
+
+def _strings(buffer: np.ndarray, own: Windows) -> Windows:
+    """Every string of each window, by itself; only strings inside their text."""
     steps = np.arange(SIDE + 1)
-    start = (at[:, None] - SIDE + steps).ravel()
-    first = (place[:, None] - SIDE + steps).ravel()
-    text = np.repeat(text, SIDE + 1)
+    start = (own.start[:, None] + steps).ravel()
+    first = (own.first[:, None] + steps).ravel()
+    last = (own.last[:, None] + steps).ravel()
+    text = np.repeat(own.text, SIDE + 1)
     inside = (buffer[start] != PAD) & (buffer[start + LENGTH - 1] != PAD)
-    start, first, text = start[inside], first[inside], text[inside]
+    start, first, last, text = start[inside], first[inside], last[inside], text[inside]
     raw = buffer.tobytes()
     digests = [hashlib.blake2b(raw[s : s + LENGTH], digest_size=8).digest() for s in start.tolist()]
     key = np.frombuffer(b"".join(digests), dtype="<u8").astype(np.uint64)
-    return Windows(start, text, first, key)
+    return Windows(start, text, first, last, key)
 
 
 def _emitted(cut: list[bytes], docs: np.ndarray, least: dict[bytes, int]) -> np.ndarray:
@@ -338,13 +364,14 @@ def _emitted(cut: list[bytes], docs: np.ndarray, least: dict[bytes, int]) -> np.
 
 @dataclass
 class Rows:
-    """Windows to compare, all of one width, with the place of their first byte in their text; or, with
-    width 0 and no windows, spans that are covered already."""
+    """Windows to compare, all of one width, with the first and last place of their first byte in their
+    text; or, with width 0 and no windows, spans that are covered already. A window is empty where it
+    is the same as the one before, of the same document at other places."""
 
     width: int
     windows: list[bytes]
     bucket: np.ndarray
-    numbers: np.ndarray  # four rows: doc_id, version, start, stop
+    numbers: np.ndarray  # five rows: doc_id, version, start, stop, and 1 where a window is given
 
 
 def _bundled(held: list[Rows]) -> pa.RecordBatch:
@@ -390,36 +417,49 @@ def windows(docs: DataFrame, bits: int, buckets: int, shared) -> DataFrame:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         versions = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         texts = texts_of(batch)
+        known: dict[tuple[int, int], int] = {}
+        pairs = zip(ids.tolist(), versions.tolist(), strict=True)
+        names = np.array([known.setdefault(p, len(known)) for p in pairs], dtype=np.int64)
         for pieces in parts(texts):
             buffer, *own = anchors(pieces)
+            raw = buffer.tobytes()
             passing = _passing(own[0], held, bits, FILTER_BITS)
             own = [c[passing] for c in own]
             is_hot = _passing(own[0], hot, bits, HOT_BITS)
             plain = _around(*[c[~is_hot] for c in own])
-            single = _strings(buffer, *[c[is_hot] for c in own[1:]])
+            several, _ = _runs(raw, _around(*[c[is_hot] for c in own]), WINDOW, names)
+            single = _strings(buffer, several)
             for width, each in ((WINDOW, plain), (LENGTH, single)):
                 if len(least) > REMEMBERED:
                     least.clear()
-                yield from compared(buffer.tobytes(), each, width, ids, versions, least)
+                runs = _runs(raw, each, width, names)
+                yield from compared(raw, *runs, width, ids, versions, least)
 
-    def compared(raw: bytes, own: Windows, width: int, ids, versions, least) -> Iterator[Rows]:
+    def compared(
+        raw: bytes, own: Windows, fresh: np.ndarray, width: int, ids, versions, least
+    ) -> Iterator[Rows]:
         cut = [raw[s : s + width] for s in own.start.tolist()]
         doc, version = ids[own.text], versions[own.text]
-        go = _emitted(cut, doc, least)
+        go = np.zeros(len(cut), dtype=bool)
+        if len(cut):
+            own_cut = [cut[i] for i in np.flatnonzero(fresh).tolist()]
+            go = _emitted(own_cut, doc[fresh], least)[np.cumsum(fresh) - 1]
         if go.any():
             at = np.flatnonzero(go)
             bucket = (own.key[at] % np.uint64(buckets)).astype(np.int64)
-            numbers = np.stack([doc[at], version[at], own.first[at], own.first[at]])
-            yield Rows(width, [cut[i] for i in at.tolist()], bucket, numbers)
+            numbers = np.stack([doc[at], version[at], own.first[at], own.last[at], fresh[at]])
+            yield Rows(width, [cut[i] if fresh[i] else b"" for i in at.tolist()], bucket, numbers)
         if not go.all():
             at = np.flatnonzero(~go)
             at = at[np.lexsort((own.first[at], own.text[at]))]
             lead, tail = np.array([_pads(cut[i]) for i in at.tolist()]).T
             place = (own.text[at].astype(np.int64) << 40) + own.first[at]  # one line for all texts
-            starts, stops = _merged(place + lead, place + width - tail)
+            run = own.last[at] - own.first[at]
+            starts, stops = _merged(place + lead, place + run + width - tail)
             text = starts >> 40
             line = text << 40
-            numbers = np.stack([ids[text], versions[text], starts - line, stops - line])
+            spans = [ids[text], versions[text], starts - line, stops - line]
+            numbers = np.stack([*spans, np.zeros_like(line)])
             yield Rows(0, [], starts % buckets, numbers)
 
     named = docs.where("doc_id IS NOT NULL").select(
@@ -508,14 +548,18 @@ def compare_bucket(table: pa.Table) -> pa.Table:
     for width in sorted({r["width"] for r in rows}):
         own = [r for r in rows if r["width"] == width]
         packed = [np.frombuffer(unpack(r["numbers"]), dtype=np.int64) for r in own]
-        numbers = np.concatenate([n.reshape(4, -1) for n in packed], axis=1)
+        numbers = np.concatenate([n.reshape(5, -1) for n in packed], axis=1)
         if not width:
-            found.append(numbers)
+            found.append(numbers[:4])
             continue
         held = np.frombuffer(b"".join(unpack(r["windows"]) for r in own), dtype=np.uint8)
-        doc, version, first, _ = numbers
-        row, a, b = _spans(covered_starts(held.reshape(-1, width), doc), LENGTH)
-        found.append(np.stack([doc[row], version[row], first[row] + a, first[row] + b]))
+        doc, version, first, last, fresh = numbers
+        given = np.flatnonzero(fresh)
+        window, a, b = _spans(covered_starts(held.reshape(-1, width), doc[given]), LENGTH)
+        times = np.diff(np.r_[given, len(fresh)])[window]  # rows of the span's window
+        row = np.repeat(given[window] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        a, b = np.repeat(a, times), np.repeat(b, times)
+        found.append(np.stack([doc[row], version[row], first[row] + a, last[row] + b]))
     doc, version, start, stop = np.concatenate(found, axis=1)
     names = ["doc_id", "version", "start", "stop"]
     return pa.table([doc, version.astype(np.int32), start, stop], names=names)

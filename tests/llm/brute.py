@@ -150,3 +150,89 @@ def base_scores(rows, modulus=7, held=2):
         )
         for doc, text in rows
     ]
+
+
+# --- repeats, curve packing, spelling ---------------------------------------
+
+
+def repeated(text, doc):
+    """The words, the end of one document in ten replaced by a repeat."""
+    held = TOKEN.findall(text or "")
+    n = len(held)
+    h = 1 if doc is None else zlib.crc32(str(doc).encode())
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        held = [w if i < a else held[a + (i - a) % p] for i, w in enumerate(held)]
+    return held
+
+
+def stretches(held, least=6, times=4):
+    """``start, length, period`` of every run, period by period."""
+    n, found = len(held), {}
+    for q in range(1, n // times + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and held[j] == held[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(least, times * q):
+                found.setdefault((i, j + q), q)
+            i = max(j, i + 1)
+    return sorted(((a, b - a, q) for (a, b), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def periodic(rows):
+    out = Counter()
+    for doc, text in rows:
+        held = repeated(text, doc)
+        runs = stretches(held)
+        gone = {i for a, size, q in runs for i in range(a + q, a + size)}
+        best = (None,) * 4
+        if runs:
+            start, size, q = max(runs, key=lambda r: (r[1] / r[2], -r[0], -r[2]))
+            best = (start, size, q, 1000 * size // q)
+        listed = "".join(f"{a},{size},{q}\n" for a, size, q in runs)
+        left = " ".join(w for i, w in enumerate(held) if i not in gone)
+        out[(doc, len(runs), *best, sha(listed), sha(left))] += 1
+    return out
+
+
+LETTER_RUN = re.compile("[A-Za-zÀ-ÿ]+")
+
+
+def vocabulary(rows, length=6, times=5, modulus=199):
+    counts = Counter()
+    for doc, text in rows:
+        for run in LETTER_RUN.findall(text or ""):
+            run = run.translate(FOLD)
+            h = zlib.crc32(f"{doc}:{run}".encode())
+            if doc is not None and h % modulus == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1 :]
+            counts[run] += 1
+    return {w: n for w, n in counts.items() if n >= times and len(w) >= length}
+
+
+def variants(words, ratio=5):
+    """``word -> n, n_near, form, form_n, root`` by trying every edit of every word."""
+    letters = sorted({c for w in words for c in w})
+    form, rows = {}, {}
+    for w, n in words.items():
+        near = {w[:i] + w[i + 1 :] for i in range(len(w))}
+        near |= {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in letters}
+        near |= {w[:i] + c + w[i + 1 :] for i in range(len(w)) for c in letters}
+        near = (near & words.keys()) - {w}
+        best = min(near, key=lambda v: (-words[v], v), default=None)
+        if best is not None and words[best] < ratio * n:
+            best = None
+        form[w] = best
+        rows[w] = (n, len(near), best, words.get(best))
+    out = {}
+    for w, row in rows.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (*row, root)
+    return out

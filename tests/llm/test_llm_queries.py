@@ -21,7 +21,7 @@ ROOT = Path(__file__).resolve().parents[2]
 
 def test_all_are_registered():
     names = {n.split("_")[0] for n in registry.queries() if n.startswith("op")}
-    assert names == {f"op{n}" for n in range(1, 11)} and "pipeline" in registry.queries()
+    assert names == {f"op{n}" for n in range(1, 14)} and "pipeline" in registry.queries()
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -42,6 +42,9 @@ COLUMNS = {
     "op8": "doc_id held_out score predicted",
     "op9": "doc_id held_out n_tokens n_known train_tokens base_score score bits_per_byte",
     "op10": "doc_id fingerprint component_id",
+    "op11": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    "op12": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+    "op13": "word n n_near form form_n root",
 }
 
 

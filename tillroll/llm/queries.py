@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import scan
+from tillroll.llm.curve_packing import curve_pack
 from tillroll.llm.decontaminate import contamination, digest
 from tillroll.llm.exact_dedup import exact_dedup
 from tillroll.llm.license_scan import license_scan
 from tillroll.llm.line_dedup import line_dedup
 from tillroll.llm.lm_score import lm_scores
 from tillroll.llm.packing import pack
+from tillroll.llm.periodic_runs import digest as runs_digest
+from tillroll.llm.periodic_runs import periodic_runs
 from tillroll.llm.quality import quality_scores
 from tillroll.llm.simhash import near_duplicates
+from tillroll.llm.spelling import MODULUS, spelling_variants
 from tillroll.llm.suffix_dedup import suffix_dedup
 from tillroll.llm.token_count import token_counts
 
@@ -66,6 +70,18 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(scan(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_digest(periodic_runs(scan(spark, sf_dir), repeats=True))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve_pack(scan(spark, sf_dir))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(scan(spark, sf_dir), modulus=MODULUS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -79,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_lm_scoring,
         op10_simhash_near_dedup,
+        op11_periodic_runs,
+        op12_packing,
+        op13_spelling_variants,
     )
 }
 

@@ -1,6 +1,6 @@
 """Packing of documents along a space-filling curve.
 
-A document's vector counts its token ids, hashed to ``FEATURES`` dimensions, by ``1 + ln(count)``, and
+A document's vector holds the roots of its token ids' shares, hashed to ``FEATURES`` dimensions, and
 is projected at random to ``DIMENSIONS`` numbers. Their quantiles over all documents are
 a grid of 256 steps a dimension, and a document's place on the Hilbert curve through that grid, with a
 hash of its row behind it, is its key. The keys' quantiles cut the curve into slices; documents are
@@ -21,18 +21,20 @@ repeated rows are packed repeatedly. No documents give no sequences.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import zlib
 from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import compress, islice
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +45,8 @@ from tillroll.llm.common import paired, stage_table
 CAPACITY = 4096
 END_ID = 2
 DIMENSIONS, GRID_BITS = 4, 8
-FEATURES = 1 << 12
+FEATURE_BITS = 16
+FEATURES = 1 << FEATURE_BITS
 SEED = 12
 BLOCK = 1 << 16
 """Token ids in a row."""
@@ -61,8 +64,11 @@ READ_TOGETHER = 1 << 21
 LONG_WORD = 256
 PART = 1 << 16
 SPECIAL = b"<|"  # how the vocabulary's special strings begin
-PLAIN = re.compile(rb"([a-z]*)([!-&(-/:;=?@\[-`{-~]*)")
 DIGIT = re.compile("[0-9]")
+END = b"\0"
+# The vocabulary's pre-tokenizer on lower-case words of ASCII and of Latin letters to U+017F.
+LATIN = re.compile("[!-~ß-öø-ſ]+")
+LATIN_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
 PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 _AXES = [f"axis{k}" for k in range(DIMENSIONS)]
 
@@ -74,19 +80,56 @@ def vocabulary_path() -> str:
 # --- token ids --------------------------------------------------------------
 
 
+class WordMerges:
+    """The vocabulary's merges as ``tiktoken`` runs them, for words of Latin letters and ASCII marks.
+
+    Such a word's pieces are known without the library: it is composed already, and letters, digits and
+    marks are told apart by range. The end of a piece is the byte ``END`` there, which is merged
+    with the byte before it first. The file's merge order is checked to be its id order, on which both
+    libraries agree.
+    """
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        suffix, vocabulary = model["end_of_word_suffix"], model["vocab"]
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes shown as themselves
+        other = [b for b in range(256) if b not in plain]
+        shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+        self.ends = np.zeros(len(vocabulary), dtype=bool)
+        ranks = {}
+        for token, number in vocabulary.items():
+            body = token.removesuffix(suffix)
+            self.ends[number] = body != token
+            ranks[bytes(shown[c] for c in body) + END * (body != token)] = number
+        made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        if [vocabulary[m] for m in made] != list(range(512, 512 + len(made))):
+            raise ValueError(f"{path}: merges are not in the order of their ids")
+        self._encoding = tiktoken.Encoding(
+            path, pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={}
+        )
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words that ``LATIN`` matches, in lower case, and where each word's end."""
+        pieces = [LATIN_PIECE.findall(w) for w in words]
+        text = "".join([p + "\0" for ps in pieces for p in ps])
+        ids = np.array(self._encoding.encode_ordinary(text), dtype=np.int64)
+        ends = np.r_[0, np.flatnonzero(self.ends[ids]) + 1]
+        return ids, ends[np.cumsum([len(ps) for ps in pieces], dtype=np.int64)]
+
+
 class WordEncoder:
-    """Ids of a vocabulary that drops white space and letter case, word by word.
+    """Ids of a vocabulary that drops white space and case, word by word.
 
-    Only what no worker has seen yet goes to the library. ASCII letters with ASCII marks behind
-    them are two tokens' texts, so these are looked up one by one. An apostrophe may begin a token's text with
-    the letters behind it, and a special string is found before case is dropped; words with
-    either go to the library whole.
+    Only words that the worker does not remember are encoded, all words of Latin letters and ASCII
+    marks by ``WordMerges`` and the others by the library. A text that may hold a special string keeps its
+    case, and its words of that kind go to the library too.
     """
 
     def __init__(self, path: str) -> None:
         self._library = Tokenizer.from_file(path)
+        self._latin = WordMerges(path)
         self._known: dict[bytes, bytes] = {}
-        self._parts: dict[bytes, bytes] = {}
         self.kind = np.dtype("<u2" if self._library.get_vocab_size() <= 1 << 16 else "<u4")
 
     def __call__(self, text: bytes) -> np.ndarray:
@@ -113,21 +156,20 @@ class WordEncoder:
             yield np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=self.kind)
         if len(self._known) > REMEMBERED:  # the first words seen are the frequent ones
             self._known = dict(islice(self._known.items(), REMEMBERED // 2))
-            self._parts = dict(islice(self._parts.items(), REMEMBERED // 2))
 
     def _learn(self, words: list[bytes]) -> None:
-        split = [PLAIN.fullmatch(w) for w in words]
-        parts = [m.groups() if m else (w,) for w, m in zip(words, split, strict=True)]
-        new = [p for p in {p for ps in parts for p in ps if p} if p not in self._parts]
-        self._parts |= zip(new, self._ids([p.decode() for p in new]), strict=True)
-        look = self._parts.__getitem__
-        self._known |= {
-            w: b"".join([look(p) for p in ps if p]) for w, ps in zip(words, parts, strict=True)
-        }
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        found = self._library.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
+        texts = [w.decode().lower() for w in words]
+        latin = [LATIN.fullmatch(t) is not None and "<|" not in t for t in texts]
+        ids, ends = self._latin(list(compress(texts, latin)))
+        raw, ends = ids.astype(self.kind).tobytes(), (ends * self.kind.itemsize).tolist()
+        cuts = zip([0, *ends], ends, strict=False)
+        self._known |= zip(compress(words, latin), [raw[a:b] for a, b in cuts], strict=True)
+        other = [w for w, known in zip(words, latin, strict=True) if not known]
+        self._known |= {w: self._ids(w.decode()) for w in other}
+
+    def _ids(self, text: str) -> bytes:
+        ids = self._library.encode(text, add_special_tokens=False).ids
+        return np.array(ids, dtype=self.kind).tobytes()
 
     def _long(self, word: str) -> bytes:
         """A word of any length, in parts: an ASCII digit is a token's whole text, so a part may
@@ -136,9 +178,9 @@ class WordEncoder:
         while len(word) - low > PART:
             digit = DIGIT.search(word, low + PART)
             high = digit.start() if digit else len(word)
-            out += self._ids([word[low:high]])
+            out.append(self._ids(word[low:high]))
             low = high
-        return b"".join([*out, *self._ids([word[low:]])])
+        return b"".join([*out, self._ids(word[low:])])
 
 
 @lru_cache(maxsize=2)
@@ -158,11 +200,10 @@ def projection() -> np.ndarray:
 
 def project(ids: np.ndarray) -> np.ndarray:
     """The projection of the hashed vector of one document's ids, which are not empty."""
-    unique, times = np.unique(ids, return_counts=True)
-    mixed = unique.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    weight = 1 + np.log(times)
-    vector = weight @ projection()[(mixed >> np.uint64(52)).astype(np.int64)]
-    return vector / math.sqrt(weight @ weight)
+    mixed = ids.astype(np.uint32) * np.uint32(0x9E3779B1)
+    times = np.bincount(mixed >> np.uint32(32 - FEATURE_BITS), minlength=FEATURES)
+    held = np.flatnonzero(times)
+    return np.sqrt(times[held] / len(ids)) @ projection()[held]
 
 
 def hilbert(cells: np.ndarray, bits: int = GRID_BITS) -> np.ndarray:

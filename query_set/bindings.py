@@ -230,8 +230,6 @@ def raw_export(spark: SparkSession, sf: str) -> DataFrame:
         _build_raw(spark, sf).write.parquet(path)
         return path
 
-    # as build_session has it; the registered queries run in any session
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     path = once(spark, sf, "export", write)
     return null_tokens(spark.read.parquet(path), EXPORT_COLUMNS)
 

@@ -59,9 +59,9 @@ def csv_export_orders(spark: SparkSession, sf: str) -> DataFrame:
     return as_double(n.build_orders(_from_csv(spark, sf)), "total_price")
 
 
-def csv_export_elements(spark: SparkSession, sf: str) -> DataFrame:
-    """Accepted elements per order, read back from CSV."""
-    elements = n.parse_export(_from_csv(spark, sf), ["items"])
+def _accepted(raw: DataFrame) -> DataFrame:
+    """Accepted elements per order."""
+    elements = n.parse_export(raw, ["items"])
     return (
         elements.where("pos < items_prefix")
         .groupBy("order_id")
@@ -73,6 +73,19 @@ def csv_export_elements(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def csv_export_elements(spark: SparkSession, sf: str) -> DataFrame:
+    """Accepted elements per order, read back from CSV."""
+    return _accepted(_from_csv(spark, sf))
+
+
+def csv_split_elements(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from files whose cells have a line break between elements, read block by block."""
+    path = fresh_path(spark, "csv-lines")
+    broken = F.replace("products", F.lit("},{"), F.lit("},\n{"))
+    write_csv(b.raw_export(spark, sf).drop("seq").withColumn("products", broken), path)
+    return _accepted(read_export(spark, path, split=True))
+
+
 def wide_prices(spark: SparkSession, sf: str) -> DataFrame:
     """Items with very large and very fine prices, none of them lost or rounded."""
     return as_double(n.build_order_items(b.wide_export(spark, sf)), "price")
@@ -374,6 +387,12 @@ _CATEGORY_SHARES = f"""
         GROUP BY 1)
 """
 
+_ELEMENTS = f"""{_LINES}
+        SELECT l_orderkey AS order_id, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS quantity,
+               CAST(sum(price) AS DOUBLE) AS price
+        FROM lines JOIN exported ON l_orderkey = o_orderkey
+        WHERE NOT lost AND NOT item_lost GROUP BY 1"""
+
 
 QUERIES = {
     "raw_customers": (raw_customers, _LINES + _CLEAN_CUSTOMERS),
@@ -389,12 +408,9 @@ QUERIES = {
     "csv_export_orders": (csv_export_orders, _LINES + _CLEAN_ORDERS),
     "csv_export_elements": (
         csv_export_elements,
-        f"""{_LINES}
-        SELECT l_orderkey AS order_id, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS quantity,
-               CAST(sum(price) AS DOUBLE) AS price
-        FROM lines JOIN exported ON l_orderkey = o_orderkey
-        WHERE NOT lost AND NOT item_lost GROUP BY 1""",
+        _ELEMENTS,
     ),
+    "csv_split_elements": (csv_split_elements, _ELEMENTS),
     "normalise_tables": (
         normalise_tables,
         f"""{_LINES}

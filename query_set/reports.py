@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from query_set import bindings as b
+from tillroll.operators.joins import anti_join, semi_join
+from tillroll.plans import periods
 from tillroll.plans import reports as r
 from tillroll.session import fresh_path
 
@@ -135,6 +137,38 @@ def refresh_marts(spark: SparkSession, sf: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _late(df: DataFrame, late: bool) -> DataFrame:
+    """The orders of February with priority 3, which come late, or all others."""
+    came_late = (F.month("order_date") == 2) & (F.col("total_quantity") == 3)
+    return df.where(came_late if late else ~F.coalesce(came_late, F.lit(False)))
+
+
+def refresh_late_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows of the five reports, kept by month: one batch came late and was sent three times."""
+    state = fresh_path(spark, "months")
+    tables = _tables(spark, sf)
+    orders, items = tables["orders"], tables["order_items"]
+    early, late = _late(orders, False), _late(orders, True)
+    periods.start(early, anti_join(items, late, "order_id"), state)
+    for _ in range(3):
+        periods.apply_batch(late, semi_join(items, late, "order_id"), state, "february")
+    paths = periods.refresh(spark, state, tables["customers"], tables["products"], fresh_path(spark, "late-marts"))
+    columns = {
+        "monthly_orders": ("month", "orders"),
+        "top_customers": ("customer_name", "revenue"),
+        "category_revenue": ("category", "revenue"),
+        "top_products": ("product_name", "total_quantity"),
+        "daily_sales": ("order_date", "total_sales"),
+    }
+    parts = [
+        spark.read.parquet(paths[name]).select(
+            F.lit(name).alias("mart"), F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value")
+        )
+        for name, (key, value) in columns.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 _MONTHS = "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS orders FROM orders GROUP BY 1"
 
 _DAYS = """
@@ -210,6 +244,17 @@ QUERIES = {
             FROM lineitem JOIN ({_MIXED}) ON l_partkey = product_id
             GROUP BY lower(strip_accents(name))""",
     ),
+    "refresh_late_batch": (
+        refresh_late_batch,
+        f"""
+        SELECT 'monthly_orders' AS mart, month AS key, CAST(orders AS DOUBLE) AS value FROM ({_MONTHS})
+        UNION ALL SELECT 'daily_sales', order_date, total_sales FROM ({_DAYS})
+        UNION ALL SELECT 'top_customers', customer_name, revenue FROM ({_TOP_CUSTOMERS})
+        UNION ALL SELECT 'category_revenue', category, revenue FROM ({_SHARES})
+        UNION ALL SELECT 'top_products', product_name, CAST(total_quantity AS DOUBLE)
+        FROM ({_TOP_PRODUCTS})
+        """,
+    ),
     "refresh_marts": (
         refresh_marts,
         f"""

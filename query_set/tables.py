@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,14 +13,17 @@ from tillroll.functions import columns as c
 from tillroll.functions.frames import lookup
 from tillroll.operators import integrity as i
 from tillroll.operators.dedupe import keep_first
-from tillroll.operators.numbering import assign_ids, max_id, number_rows
+from tillroll.operators.numbering import assign_ids, assign_reserved_ids, max_id, number_rows
+from tillroll.operators.joins import semi_join
 from tillroll.operators.ranking import first_match
 from tillroll.plans import catalogue as cat
 from tillroll.plans.checks import check_tables
-from tillroll.schemas import CUSTOMERS, ORDER_ITEMS, ORDERS, PRODUCTS
+from tillroll.schemas import CUSTOMERS, ORDER_ITEMS, ORDERS, PRODUCTS, Table
 from tillroll.session import fresh_path
+from tillroll.sources.batches import append_batch, read_batches, write_batch
 from tillroll.sources.readers import load_table, read_csv, table
 from tillroll.sources.sinks import append_rows, write_csv, write_table
+from tillroll.sources.stored import declare_table, store_rows
 
 # --- catalogue --------------------------------------------------------------
 
@@ -65,6 +70,20 @@ def catalogue_pages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def catalogue_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The listing as it is read back from its folders."""
+    path = fresh_path(spark, "catalogue")
+    cat.write_catalogue(_gappy_products(spark, sf), path, rows_per_file=5000)
+    return cat.read_catalogue(spark, path).select("category", "first_seen", "product_id", "name", "price")
+
+
+def catalogue_shelf(spark: SparkSession, sf: str) -> DataFrame:
+    """One category of the stored listing: that of products without one."""
+    path = fresh_path(spark, "catalogue")
+    cat.write_catalogue(_gappy_products(spark, sf), path)
+    return cat.read_catalogue(spark, path, "Uncategorized").select("product_id", "name", "price")
+
+
 def customer_display(spark: SparkSession, sf: str) -> DataFrame:
     """Display name and balance; a missing part makes the name NULL."""
     segment = F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment"))
@@ -122,6 +141,34 @@ def append_sink(spark: SparkSession, sf: str) -> DataFrame:
     return as_double(table(spark, path), "price")
 
 
+def append_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders appended by status: one batch twice, and one that failed half-way and came again."""
+    path = fresh_path(spark, "order-batches")
+    orders = b.orders(spark, sf)
+    of = lambda status: orders.where(F.col("status") == status)
+    for _ in range(2):
+        append_batch(of("F"), path, "finished")
+    write_batch(of("O").where("order_id % 2 = 0"), path, "open")  # and then the writer died
+    append_batch(of("O"), path, "open")
+    write_batch(of("F"), path, "never-finished")
+    append_batch(of("P"), path, "pending")
+    return as_double(read_batches(spark, path), "total_price")
+
+
+def append_side_by_side(spark: SparkSession, sf: str) -> DataFrame:
+    """Two writers number their products while neither has written: ids behind the largest one."""
+    ledger = fresh_path(spark, "id-ledger")
+    existing, offers = b.products(spark, sf), _batch(spark, sf)
+    batches = {"even": offers.where("offer % 2 = 0"), "odd": offers.where("offer % 2 = 1")}
+    named = {
+        name: assign_reserved_ids(existing, batch, "product_id", ["offer"], ledger, name)
+        for name, batch in batches.items()
+    }
+    again = assign_reserved_ids(existing, batches["even"], "product_id", ["offer"], ledger, "even")
+    both = named["odd"].unionByName(again)
+    return both.select("product_id", "offer", "name")
+
+
 def next_product_id(spark: SparkSession, sf: str) -> DataFrame:
     products = b.products(spark, sf)
     return max_id(products, "product_id").select(
@@ -155,6 +202,42 @@ def pk_nulls(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("order_id").isNull().alias("is_null"), "n")
 
 
+def _stored(spark: SparkSession, df: DataFrame, target: Table, buckets: int | None = None) -> DataFrame:
+    """Rows behind a write to a declared table, by order in buckets if a number is given."""
+    name = f"{target.name}_{uuid.uuid4().hex}"
+    key = "order_id" if buckets else None
+    declare_table(spark, target, name, fresh_path(spark, name), key, buckets)
+    store_rows(df, target, name)
+    return table(spark, name)
+
+
+def _stored_orders_and_items(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables by order; returned open lines point to unknown orders."""
+    strayed = (F.col("return_flag") == "R") & (F.col("line_status") == "O")
+    order_id = F.when(strayed, -F.col("order_id") - 1).otherwise(F.col("order_id"))
+    lines = b.order_items(spark, sf).select(
+        order_id.alias("order_id"), "product_id", "quantity", "price"
+    )
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orders = b.orders(spark, sf).drop("status")
+    return _stored(spark, orders, ORDERS, buckets), _stored(spark, lines, ORDER_ITEMS, buckets)
+
+
+def fk_items_orders_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of unknown orders, from tables that are laid out by order."""
+    orders, items = _stored_orders_and_items(spark, sf)
+    found = i.check_fk(items, orders, "order_id")
+    return as_double(found.select("order_id", "product_id", "quantity", "price"), "price")
+
+
+def items_semi_orders_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of the orders since 1996, from tables that are laid out by order."""
+    orders, items = _stored_orders_and_items(spark, sf)
+    late = orders.where("order_date >= TIMESTAMP_NTZ '1996-01-01 00:00:00'")
+    kept = semi_join(items, late, "order_id")
+    return as_double(kept.select("order_id", "product_id", "quantity", "price"), "price")
+
+
 def _mixed_names(spark: SparkSession, sf: str) -> DataFrame:
     """Product names in mixed case and with accents, by size."""
     size = F.col("p_size")
@@ -265,6 +348,17 @@ def typed_load(spark: SparkSession, sf: str) -> DataFrame:
     return as_double(load_table(_cleaned_csv(spark, sf, orders), ORDERS), "total_price")
 
 
+def stored_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers from cleaned CSV text, through a table that enforces their definition."""
+    return _stored(spark, _cleaned_csv(spark, sf, _customer_cells(spark, sf)), CUSTOMERS)
+
+
+def stored_products(spark: SparkSession, sf: str) -> DataFrame:
+    """Products from cleaned CSV text, through a table that enforces their definition."""
+    held = b.products(spark, sf).withColumnRenamed("name", "product_name")
+    return as_double(_stored(spark, _cleaned_csv(spark, sf, held), PRODUCTS), "price")
+
+
 def typed_load_products(spark: SparkSession, sf: str) -> DataFrame:
     """Products with the file's headers; prices with three decimals are rounded."""
     tenths = (F.col("price") + F.lit("0.005").cast("decimal(4,3)")).cast("decimal(13,3)")
@@ -274,9 +368,9 @@ def typed_load_products(spark: SparkSession, sf: str) -> DataFrame:
     return as_double(load_table(_cleaned_csv(spark, sf, held), PRODUCTS), "price")
 
 
-def typed_load_customers(spark: SparkSession, sf: str) -> DataFrame:
+def _customer_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Customers with the file's headers."""
-    held = b.source(spark, sf, "customer").select(
+    return b.source(spark, sf, "customer").select(
         F.col("c_custkey").alias("customer_id"),
         F.col("c_name").alias("customer_first_name"),
         F.col("c_mktsegment").alias("customer_last_name"),
@@ -284,7 +378,10 @@ def typed_load_customers(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lower("c_name"), F.lit("@shop.test")).alias("email"),
         F.col("c_nationkey").alias("customer_phone"),
     )
-    return load_table(_cleaned_csv(spark, sf, held), CUSTOMERS)
+
+
+def typed_load_customers(spark: SparkSession, sf: str) -> DataFrame:
+    return load_table(_cleaned_csv(spark, sf, _customer_cells(spark, sf)), CUSTOMERS)
 
 
 def typed_load_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -367,6 +464,19 @@ SELECT s_suppkey AS offer, CASE WHEN s_nationkey = 3 THEN '' ELSE s_name END AS
 FROM supplier
 """
 
+_CUSTOMER_TABLE = """SELECT c_custkey AS customer_id, c_name AS first_name, c_mktsegment AS last_name,
+                  CASE WHEN c_nationkey < 12 THEN 'FEMALE' ELSE 'MALE' END AS gender,
+                  lower(c_name) || '@shop.test' AS email,
+                  CAST(c_nationkey AS VARCHAR) AS phone
+           FROM customer"""
+
+_STRAYED = """
+SELECT CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN -l_orderkey - 1 ELSE l_orderkey END
+       AS order_id, l_partkey AS product_id, CAST(l_quantity AS BIGINT) AS quantity,
+       CAST(CAST(l_extendedprice AS DECIMAL(10,2)) AS DOUBLE) AS price
+FROM lineitem
+"""
+
 _NAMES = """
 SELECT p_partkey AS product_id,
        CASE WHEN p_size > 35 THEN upper(p_name) WHEN p_size > 20 THEN translate(p_name, 'eo', 'éö')
@@ -389,6 +499,11 @@ QUERIES = {
     ),
     "default_category": (default_category, f"SELECT product_id, category FROM ({_GAPPY})"),
     "catalogue": (catalogue, _SHOWN),
+    "catalogue_stored": (catalogue_stored, _SHOWN),
+    "catalogue_shelf": (
+        catalogue_shelf,
+        f"SELECT product_id, name, price FROM ({_SHOWN}) WHERE category = 'Uncategorized'",
+    ),
     "catalogue_pages": (
         catalogue_pages,
         f"""SELECT category, first_seen, page, count(*) AS n,
@@ -434,6 +549,38 @@ QUERIES = {
                   p_name, p_type, CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE), NULL
            FROM part""",
     ),
+    "append_batches": (
+        append_batches,
+        """SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderdate AS order_date,
+                  CAST(left(o_orderpriority, 1) AS BIGINT) AS total_quantity,
+                  CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) AS total_price,
+                  o_orderstatus AS status
+           FROM orders""",
+    ),
+    "append_side_by_side": (
+        append_side_by_side,
+        f"""WITH offers AS ({_OFFERS})
+            SELECT (SELECT max(p_partkey) FROM part)
+                   + row_number() OVER (ORDER BY offer % 2, offer) AS product_id, offer, name
+            FROM offers""",
+    ),
+    "stored_products": (
+        stored_products,
+        """SELECT p_partkey AS product_id, p_name AS name, p_type AS category,
+                  CAST(CAST(p_retailprice AS DECIMAL(10,2)) AS DOUBLE) AS price,
+                  CAST(NULL AS VARCHAR) AS image_path
+           FROM part""",
+    ),
+    "stored_customers": (stored_customers, _CUSTOMER_TABLE),
+    "fk_items_orders_stored": (
+        fk_items_orders_stored,
+        f"SELECT * FROM ({_STRAYED}) i WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = i.order_id)",
+    ),
+    "items_semi_orders_stored": (
+        items_semi_orders_stored,
+        f"""SELECT * FROM ({_STRAYED}) WHERE order_id IN
+            (SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01')""",
+    ),
     "next_product_id": (
         next_product_id,
         """SELECT coalesce(max(p_partkey), 0) AS max_id, coalesce(max(p_partkey), 0) + 1 AS next_id
@@ -537,11 +684,7 @@ QUERIES = {
     ),
     "typed_load_customers": (
         typed_load_customers,
-        """SELECT c_custkey AS customer_id, c_name AS first_name, c_mktsegment AS last_name,
-                  CASE WHEN c_nationkey < 12 THEN 'FEMALE' ELSE 'MALE' END AS gender,
-                  lower(c_name) || '@shop.test' AS email,
-                  CAST(c_nationkey AS VARCHAR) AS phone
-           FROM customer""",
+        _CUSTOMER_TABLE,
     ),
     "typed_load_items": (
         typed_load_items,

@@ -9,7 +9,7 @@ from decimal import Decimal
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from plans import optimized_text
+from plans import optimized_text, plan_text
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -135,17 +135,57 @@ def test_amounts_of_any_size_are_kept(spark):
         items_of(spark, json.dumps([item(1, price="1" + "0" * 40)]))
 
 
-def test_of_a_key_given_twice_the_last_counts(spark):
+@pytest.fixture(params=["true", "false"])
+def duplicate_keys(spark, request):
+    """The session's setting for keys given twice, on which no result may depend."""
+    key = "spark.sql.variant.allowDuplicateKeys"
+    old = spark.conf.get(key)
+    spark.conf.set(key, request.param)
+    yield request.param
+    spark.conf.set(key, old)
+
+
+def test_of_a_key_given_twice_the_last_counts(spark, duplicate_keys):
     text = '[{"product_id": 1, "quantity": "x", "price": "$1", "quantity": 2, "price": "$2.50"}]'
     assert items_of(spark, text) == [(1, 2, D)]
 
 
-def test_a_text_too_large_to_parse_fails_the_run(spark, monkeypatch):
-    monkeypatch.setattr(nested, "MAX_TEXT", 100)
-    assert items_of(spark, json.dumps([item(i) for i in range(5)])) != []
-    assert items_of(spark, "not json") == []
-    with pytest.raises(PySparkException, match="exceed a VARIANT"):
-        items_of(spark, "not json" * 50)
+def test_a_key_given_twice_costs_no_other_element(spark, duplicate_keys):
+    twice = '{"product_id": 8, "quantity": "x", "price": "$2.50", "quantity": 1, "note": "a \\"b\\" \\\\"}'
+    ends = [5, None, "text", [1], json.dumps(item(9)), item(9, price="oops")]
+    for end in ends:
+        text = "[" + ", ".join([json.dumps(item(7)), twice, json.dumps(end), json.dumps(item(9))]) + "]"
+        assert items_of(spark, text) == [(7, 1, D), (8, 1, D)]
+        assert items_of(spark, text, each=True) == [(7, 1, D), (8, 1, D), (9, 1, D)]
+        for behind in (" end", "]", ",[]", ',"x":1', f",{text}"):
+            assert items_of(spark, text + behind) == []
+
+
+def test_both_ways_of_parsing_agree(spark):
+    texts = [
+        "[]", " [ ] ", "null", "5", '"[1]"', "{}", "[", "[1", "not json", "[5]", "[null]", '["a"]', "[[1]]",
+        json.dumps([item(1), item("2", price=3.5), {}, item(None, name="é \\ \" \ue000 \ue000q \n")]),
+        json.dumps([item(1), {"product_id": {"a": [1, None]}}]) , json.dumps([item(1)]) + " x",
+    ]
+    both = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t",
+        *[
+            F.transform(
+                items, lambda i: F.struct(*[x for k in n.ITEM_KEYS for x in (nested.has_key(i, k), nested.get_item(i, k))])
+            ).alias(name)
+            for name, items in (("whole", parse_items("t", True)), ("each", nested.parse_elements(F.col("t"))))
+        ],
+    )
+    for r in both.collect():
+        assert r.whole == r.each or r.t == '"[1]"', r.t
+
+
+def test_a_document_beyond_a_variant_is_read_whole(spark):
+    items = [item(i, name="x" * 2000) for i in range(20_000)]  # 40 MB
+    df = spark.createDataFrame([("7", json.dumps(items))], "order_id string, t string")
+    ids = F.transform(nested.parse_elements(F.col("t")), lambda i: nested.get_item(i, "product_id", "bigint"))
+    assert df.select(F.array_distinct(ids).alias("ids")).first().ids == list(range(20_000))
+    assert len(items_of(spark, json.dumps(items))) == 20_000
 
 
 def test_the_passes_reject_different_elements(spark):
@@ -178,11 +218,6 @@ def test_repair_of_wrapped_texts_only(spark):
     assert df.limit(1).select(repair_json("t", wrapped_only=True)).first()[0] == text
 
 
-def test_large_documents_are_read_whole(spark):
-    items = [item(i, name="x" * 2000) for i in range(12_000)]  # 24 MB
-    assert len(items_of(spark, json.dumps(items))) == 12_000
-
-
 def test_repeated_lines_keep_the_first_in_source_order(spark):
     raw = export(
         spark,
@@ -363,6 +398,14 @@ def test_rejects_of_the_job(spark, tmp_path):
     assert kept + sum(r[0] == "items" and r[2] is not None for r in lost) == 6
 
 
+def test_all_rejects_come_from_one_scan_and_one_explode(spark, tmp_path):
+    raw = export(spark, {"order_id": "1", "products": json.dumps([item(1), 5])})
+    with staged(n.parse_rows(raw, tuple(n.PASSES), raw_text=True), "test") as rows:
+        plan = plan_text(n.all_rejects(rows))
+        assert plan.count("FileScan") == 1 and plan.count("Generate") == 1 and "Union" not in plan
+        assert "Exchange" not in plan
+
+
 def test_normalise_writes_the_four_tables(spark, tmp_path):
     cells = {"customer_id": "3", "total_quantity": "2", "taxful_total_price": "$5"}
     raw = export(

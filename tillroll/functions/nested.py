@@ -26,21 +26,17 @@ def repair_json(text: Column | str, wrapped_only: bool = False) -> Column:
     return F.when(text.startswith('"'), fixed).otherwise(text) if wrapped_only else fixed
 
 
-MAX_TEXT = 16 << 20
-"""A text over so many bytes that does not parse fails the run: it may be good
-JSON beyond what a VARIANT holds."""
-
-
 def parse_items(text: Column | str, wrapped_only: bool = False) -> Column:
     """``array<variant>`` of the elements; NULL unless the text is one JSON array.
 
     The parser accepts trailing characters after a complete value. So the text
     is parsed as the first of two elements, before a mark with the text's length: only a text that
-    is one whole value leaves exactly these two.
+    is one whole value leaves exactly these two. A text that does not parse so, as it
+    exceeds a VARIANT, or gives a key twice where the session does not allow that, is
+    parsed element by element.
     """
     text = repair_json(text, wrapped_only)
-    mark = F.concat(F.lit("end of "), F.octet_length(text).cast("string"))
-    document = F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]'))
+    document, mark = _marked(text)
     parsed = F.try_variant_get(F.try_parse_json(document), "$", "array<variant>")
 
     def first(elements: Column) -> Column:
@@ -48,15 +44,67 @@ def parse_items(text: Column | str, wrapped_only: bool = False) -> Column:
         return F.when((F.size(elements) == 2) & (end == mark), F.get(elements, F.lit(0)))
 
     # through a lambda, so that the text is parsed once and not for each use
-    only = F.get(F.transform(F.array(parsed), first), F.lit(0))
+    only = _bound(parsed, first)
     items = F.try_variant_get(only, "$", "array<variant>")
-    message = F.concat(
-        F.lit("line items do not parse, or exceed a VARIANT: "),
-        F.octet_length(text).cast("string"),
-        F.lit(" bytes"),
-    )
-    large = F.when(F.octet_length(text) > MAX_TEXT, F.raise_error(message).cast("array<variant>"))
-    return F.coalesce(items, large)
+    return F.coalesce(items, parse_elements(text))
+
+
+def _marked(text: Column) -> tuple[Column, Column]:
+    """The text as the first of two elements, and the second one."""
+    mark = F.concat(F.lit("end of "), F.octet_length(text).cast("string"))
+    return F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')), mark
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+# What stands for a private character, an escaped backslash and an escaped quote.
+_HIDE = (("\ue000", "\ue000z"), ("\\\\", "\ue000b"), ('\\"', "\ue000q"))
+
+
+def parse_elements(text: Column) -> Column:
+    """``array<variant>`` of a JSON array's elements, each parsed by itself.
+
+    So the size of a VARIANT limits an element and not the text, and of a key given
+    twice in an element the last value counts whatever the session's setting. Escaped quotes are
+    hidden while the array is split, so that an element which is a text holding an object does
+    not become that object; a text element is a JSON null here.
+    """
+    hidden = text
+    for plain, code in _HIDE:
+        hidden = F.replace(hidden, F.lit(plain), F.lit(code))
+
+    def split(held: Column) -> Column:
+        document, mark = _marked(held)
+        both = F.from_json(document, "array<string>")
+        is_one = F.ltrim(held).startswith("[")  # a text would lose its quotes
+        return _bound(
+            both,
+            lambda e: F.when(
+                is_one & (F.size(e) == 2) & (F.get(e, F.lit(1)) == mark), F.get(e, F.lit(0))
+            ),
+        )
+
+    elements = F.from_json(_bound(hidden, split), "array<string>")
+    return F.transform(elements, _element)
+
+
+def _element(text: Column) -> Column:
+    """The value of one element's text; a JSON null for what is none."""
+    for plain, code in reversed(_HIDE):
+        text = F.replace(text, F.lit(code), F.lit(plain))
+    held = F.when(text.startswith("{"), F.from_json(text, "map<string,variant>"))
+
+    def last(entries: Column) -> Column:
+        keys = F.transform(entries, lambda e: e["key"])
+        behind = lambda i: F.slice(keys, i + 2, F.size(keys))
+        return F.filter(entries, lambda e, i: ~F.array_contains(behind(i), e["key"]))
+
+    object_ = _bound(F.map_entries(held), lambda e: F.to_variant_object(F.map_from_entries(last(e))))
+    other = F.get(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<variant>"), F.lit(0))
+    return F.coalesce(object_, other, F.to_variant_object(F.lit(None).cast("map<string,variant>")))
 
 
 def has_key(item: Column, key: str) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import quoted
 from tillroll.session import stage_table
+from tillroll.markers import names, publish, read_markers
 
 SLICE_BYTES = 256 << 20
 MOST_SLICES = 100_000
@@ -83,3 +85,54 @@ def assign_ids(
     """
     highest = max_id(existing, key).first()["max_id"]
     return number_rows(new, order_by, name=key, start=highest + 1)
+
+
+# --- several writers --------------------------------------------------------
+
+
+def reserve_ids(
+    spark: SparkSession, ledger: str, size: int, batch: str, first: int = 1
+) -> tuple[int, int]:
+    """Reserve ``size`` ids behind all reserved ones; returns the first and the last.
+
+    The ledger is a folder with one numbered marker per range. A writer reads the last one and
+    tries to create the next; only one can, and the others go on behind it, so ranges are disjoint
+    and leave no gap, in whatever order their rows are written. A batch that is in the
+    ledger gets its range again. ``first`` counts for an empty ledger.
+    """
+    while True:
+        held = names(spark, ledger)
+        last = first - 1
+        if held:
+            rows = read_markers(spark, ledger).select(F.from_json("value", _RANGE).alias("r")).select("r.*")
+            own = rows.where(F.col("batch") == batch).select("low", "high").first()
+            if own is not None:
+                if own.high - own.low + 1 != size:
+                    raise ValueError(f"batch {batch} has reserved {own.high - own.low + 1} ids, not {size}")
+                return own.low, own.high
+            last = max(last, rows.agg(F.max("high")).first()[0])
+        number = int(held[-1]) + 1 if held else 0
+        taken = {"batch": batch, "low": last + 1, "high": last + size}
+        if publish(spark, f"{ledger}/{number:019d}", json.dumps(taken)):
+            return last + 1, last + size
+
+
+_RANGE = "batch string, low bigint, high bigint"
+
+
+def assign_reserved_ids(
+    existing: DataFrame, new: DataFrame, key: str, order_by: Sequence[str], ledger: str, batch: str
+) -> DataFrame:
+    """Number a batch of new rows with ids no other writer gets, dense within the batch.
+
+    An empty ledger starts behind the largest existing id. The batch is staged first, so that the rows
+    counted are the rows numbered. Repeated, it gets the same ids.
+    """
+    spark = new.sparkSession
+    rows = stage_table(new, "batch")
+    size = rows.count()
+    if not size:
+        return number_rows(rows, order_by, name=key)
+    behind = max_id(existing, key).first()["max_id"] + 1
+    low, _ = reserve_ids(spark, ledger, size, batch, behind)
+    return number_rows(rows, order_by, name=key, start=low)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import default_if_empty, non_empty, price_label
@@ -77,6 +77,38 @@ def catalogue_pages(products: DataFrame, page_size: int = 100) -> DataFrame:
     )
 
 
+# --- on disk ----------------------------------------------------------------
+
+SHELF = "category string, first_seen bigint, product_id bigint, name string, price string"
+
+
+def write_catalogue(products: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """Write the listing, replacing the last one: a folder per category, its files in display order.
+
+    The rows are dealt by range of the display order, so a large category is several files, each of
+    ``rows_per_file`` rows at most, and small ones share a task.
+    """
+    kinds = {f.split()[0]: f.split()[1] for f in SHELF.split(", ")}
+    listed = _listed(products).select(*[F.col(n).cast(t).alias(n) for n, t in kinds.items()])
+    (
+        listed.repartitionByRange("first_seen", "product_id")
+        # the order that the writer needs to tell folders apart, and within each the display order
+        .sortWithinPartitions("category", "product_id")
+        .write.mode("overwrite")
+        .option("maxRecordsPerFile", rows_per_file)
+        .partitionBy("category")
+        .parquet(path)
+    )
+
+
+def read_catalogue(spark: SparkSession, path: str, category: str | None = None) -> DataFrame:
+    """The stored listing in display order, or one category of it, of which only its folder is read."""
+    held = spark.read.schema(SHELF).parquet(path)
+    if category is not None:
+        return held.where(F.col("category") == category).orderBy("product_id")
+    return held.orderBy("first_seen", "product_id")
+
+
 def validate_products(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """The batch with ``reason``: NULL where the product may be added.
 

@@ -202,32 +202,42 @@ def rejects(raw: DataFrame, target: str = "items", wrapped_only: bool = False) -
     ``pos`` is NULL where the whole text is lost. The flat pass counts rows as they are
     exported, before identical ones are merged.
     """
-    return rejects_of(parse_rows(raw, [target], True, wrapped_only), target)
+    return rejects_of(parse_rows(raw, [target], True, wrapped_only), [target]).drop("pass")
 
 
-def rejects_of(rows: DataFrame, target: str) -> DataFrame:
-    """The rejects of one pass from parsed rows with the texts of their elements."""
-    prefix = f"{target}_prefix"
-    reason = (
-        F.when(F.col("unparsed") & F.col("products").isNull(), F.lit("missing text"))
-        .when(F.col("unparsed"), F.lit("no JSON array"))
-        .when(PASSES[target](F.col("item")), F.lit("after bad element"))
-        .otherwise(F.lit("bad element"))
-    )
-    return (
-        rows.select(parse_int("order_id").alias("order_id"), "seq", "products", "_items", prefix)
-        .withColumn("unparsed", F.col("_items").isNull())
-        .withColumn("products", F.when(F.col("unparsed"), F.col("products")))
-        .select("*", explode_items(F.col("_items"), outer=True))
-        .where(F.col("unparsed") | (F.col("pos") >= F.col(prefix)))
-        .select(
-            "order_id",
-            "seq",
-            "pos",
-            F.coalesce(F.col("item")["element"], F.col("products")).alias("text"),
-            reason.alias("reason"),
-        )
-    )
+_REJECT = "struct<pass:string,pos:int,text:string,reason:string>"
+
+
+def _reject(name: str, pos: Column, text: Column, reason: Column) -> Column:
+    return F.struct(F.lit(name), pos, text, reason).cast(_REJECT)
+
+
+def rejects_of(rows: DataFrame, targets: Sequence[str], dates: Column | None = None) -> DataFrame:
+    """The rejects of several passes from parsed rows with the texts of their elements.
+
+    A row's rejects are gathered before the explode: each lost element gives one per pass
+    that loses it, so nothing is scanned twice and good elements become no rows. ``dates`` is the parsed
+    order date; with it the pass ``orders`` lists the texts that are none.
+    """
+    none = F.lit(None)
+    why = F.when(F.col("products").isNull(), F.lit("missing text")).otherwise(F.lit("no JSON array"))
+    whole = F.array(*[_reject(p, none, F.col("products"), why) for p in targets])
+
+    def of_element(e: Column, at: Column) -> Column:
+        lost = []
+        for p in targets:
+            good = F.when(PASSES[p](e), F.lit("after bad element")).otherwise(F.lit("bad element"))
+            lost.append(F.when(at >= F.col(f"{p}_prefix"), _reject(p, at, e["element"], good)))
+        return F.array(*lost)
+
+    lost = F.coalesce(F.flatten(F.transform("_items", of_element)), whole)
+    if dates is not None:
+        bad = F.col("order_date").isNotNull() & dates.isNull()
+        of_date = _reject("orders", none, F.col("order_date"), F.lit("bad date"))
+        lost = F.concat(lost, F.array(F.when(bad, of_date)))
+    return rows.select(
+        parse_int("order_id").alias("order_id"), "seq", F.explode(F.array_compact(lost)).alias("_lost")
+    ).select("_lost.pass", "order_id", "seq", "_lost.pos", "_lost.text", "_lost.reason")
 
 
 def bad_dates(raw: DataFrame, date_formats: Sequence[str] = ()) -> DataFrame:
@@ -245,14 +255,13 @@ def bad_dates(raw: DataFrame, date_formats: Sequence[str] = ()) -> DataFrame:
 
 
 def all_rejects(rows: DataFrame, date_formats: Sequence[str] = ()) -> DataFrame:
-    """What every pass over the parsed rows loses, named by ``pass``; dates under ``orders``."""
-    parts = {name: rejects_of(rows, name) for name in PASSES}
-    parts["orders"] = bad_dates(rows, date_formats)
-    named = [
-        part.select(F.lit(name).alias("pass"), "*").withColumn("seq", F.col("seq").cast("string"))
-        for name, part in parts.items()
-    ]
-    return reduce(DataFrame.unionByName, named)
+    """What every pass over the parsed rows loses, named by ``pass``; dates under ``orders``.
+
+    One scan of the rows and one explode serve all of them.
+    """
+    dates = coerce_timestamp("order_date", date_formats)
+    lost = rejects_of(rows, tuple(PASSES), dates)
+    return lost.withColumn("seq", F.col("seq").cast("string"))
 
 
 # --- the flat variant -------------------------------------------------------

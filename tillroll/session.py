@@ -24,7 +24,7 @@ def build_session(app: str = "tillroll", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
-        # of a key given twice in one object the last value counts
+        # a text that gives a key twice is parsed in one go; elsewhere element by element
         "spark.sql.variant.allowDuplicateKeys": "true",
         "spark.ui.enabled": "false",
         **conf,

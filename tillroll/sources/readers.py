@@ -12,6 +12,7 @@ from tillroll.functions.columns import quoted
 from tillroll.functions.frames import null_tokens
 from tillroll.operators.numbering import number_rows
 from tillroll.schemas import EXPORT_COLUMNS, Table
+from tillroll.sources.multiline import read_split_csv
 
 CSV_OPTIONS = {
     "header": "true",
@@ -34,7 +35,8 @@ def read_csv(
     the schema, so files whose columns come in another order fail the run
     instead of shifting values. ``multi_line`` allows line breaks inside
     cells, but then a file is one task: keep it for exports of many files, and
-    turn it off for huge files whose cells hold no line breaks; those are split.
+    turn it off for huge files whose cells hold no line breaks; those are split. Huge files
+    with such cells are for ``read_split_csv``.
     """
     reader = spark.read.options(
         **CSV_OPTIONS, enforceSchema="false", multiLine=str(multi_line).lower(), **options
@@ -43,7 +45,7 @@ def read_csv(
 
 
 def read_export(
-    spark: SparkSession, path: str | list[str], multi_line: bool = True
+    spark: SparkSession, path: str | list[str], multi_line: bool = True, split: bool = False
 ) -> DataFrame:
     """The raw order export as text columns plus ``seq``, its source order.
 
@@ -52,7 +54,14 @@ def read_export(
     block, so it does not depend on how Spark packs files into tasks and needs
     no numbering pass. Files compare by their path as text, so number them with
     leading zeros: ``export_10`` comes before ``export_2`` and decides what counts as first.
+
+    ``split`` reads files with line breaks inside cells in as many tasks as they have blocks, at the
+    price of a second pass over them.
     """
+    if split:
+        raw = read_split_csv(spark, path)
+        cells = raw.select(*map(quoted, EXPORT_COLUMNS), "seq")
+        return null_tokens(cells, EXPORT_COLUMNS)
     seq = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),

@@ -236,3 +236,72 @@ def variants(words, ratio=5):
             root = form[root]
         out[w] = (*row, root)
     return out
+
+
+# --- context mixing ---------------------------------------------------------
+
+
+class ContextMixing:
+    """Codes a text bit by bit, with the contexts' counts taken from the training texts."""
+
+    BITS = {1: 8, 2: 12, 3: 14, 4: 15}
+
+    def __init__(self, training, mixers):
+        self.mixers = mixers
+        self.follow = defaultdict(Counter)
+        for text in training:
+            for before, symbol in self.symbols(text):
+                for order in self.BITS:
+                    self.follow[order, self.cell(before, order)][symbol] += 1
+
+    @staticmethod
+    def symbols(text):
+        whole = b"\xff" * 4 + (text or "").translate(FOLD).encode() + b"\xff"
+        return [(whole[i - 4 : i], whole[i]) for i in range(4, len(whole))]
+
+    def cell(self, before, order):
+        number = int.from_bytes(before[4 - order :], "big")
+        if self.BITS[order] == 8 * order:
+            return number
+        return (number * 0x9E3779B97F4A7C15 % 2**64) >> (64 - self.BITS[order])
+
+    @staticmethod
+    def kind(byte):
+        if byte == 255:
+            return 0
+        if byte >= 192:
+            return 7
+        if byte >= 128:
+            return 6
+        c = chr(byte)
+        if c in " \t\n\r\x0b\f":
+            return 1
+        if c in "aeiou":
+            return 2
+        return 3 if "a" <= c <= "z" else 4 if "0" <= c <= "9" else 5
+
+    def score(self, text):
+        totals = [0.0, 0.0]
+        for before, symbol in self.symbols(text):
+            counts = [self.follow[o, self.cell(before, o)] for o in self.BITS]
+            low, width, node = 0, 256, 1
+            for depth in range(8):
+                half = width // 2
+                turn = symbol >= low + half
+                odds = []
+                for c in counts:
+                    zero = sum(n for b, n in c.items() if low <= b < low + half) + 0.4
+                    one = sum(n for b, n in c.items() if low + half <= b < low + width) + 0.4
+                    odds.append(max(-12, min(12, math.log(one / zero))))
+                for k, gate in enumerate((node, self.kind(before[-1]) * 8 + depth)):
+                    mixer = self.mixers[k]
+                    mixed = sum(w * x for w, x in zip(mixer.weights[gate], odds, strict=True))
+                    mixed = max(-12, min(12, mixed))
+                    bucket = round((max(-8, min(8, mixed)) + 8) * 2)
+                    p = (1 / (1 + math.exp(-mixed)) + mixer.table[node][bucket]) / 2
+                    p = max(1e-6, min(1 - 1e-6, p))
+                    totals[k] += math.log(p if turn else 1 - p)
+                node = 2 * node + turn
+                low, width = low + half * turn, half
+        top = max(totals)
+        return (top + math.log(sum(math.exp(t - top) for t in totals) / 2)) / math.log(10)

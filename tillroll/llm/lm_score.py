@@ -4,21 +4,23 @@ Texts are read as bytes, A-Z in lower case, with one end symbol. A byte is eight
 decisions down a tree. Each of four predictors hashes the last 1, 2, 3 or 4 bytes to a
 context and gives, for the node of the tree, the odds of a one among all bytes that
 followed that context in the training documents. A mixer adds the predictors' log odds with
-weights that a gate selects, and is refined online: behind every block of decisions the weights
-move against the coding error, and an adaptive table then corrects the mixed probability by
-what came of equal ones before. There are two such mixers, gated by the tree node and by the
+weights that a gate selects, and an adaptive table then corrects the mixed probability by what came of
+equal ones. There are two such mixers, gated by the tree node and by the
 kind of the last byte. While a document is coded the two are mixed in turn by how well
 each has coded it so far; that running mixture is the mean of the two codes' probabilities, so a
 text's total needs no loop over its bytes.
 
-All counts come from all training documents and are summed by Spark: byte 5-grams, from
-which the contexts' counts follow, and words for the base score. What the mixers learn is
-fitted on at most ``SAMPLE`` training documents of at most ``SAMPLE_BYTES`` each. The model's
-tables have a fixed size.
+All of it comes from all training documents, of any length. Spark sums their byte 5-grams, from
+which the contexts' counts follow, and their words for the base score. The weights are refined online
+over the 5-grams, each as often as it occurs: every task codes its own block by block, and behind
+every block the weights move against the coding error. A decision is coded by the odds that its own occurrence
+left out would give, so that weights fit texts that were not counted. The tasks' weights are averaged by what
+each gate has seen, for ``ROUNDS`` rounds; a last pass sums the tables. Tasks send sums of a fixed size. The
+contexts of three and four bytes grow with the number of different 5-grams, up to ``GROWTH`` times.
 
 Base score: words between blanks and one end word, each with ``log10((c + 1) / (N + V + 1))``.
-At most ``TOP`` of the most frequent words are looked up in a broadcast table; all others
-are summed per document and joined to the counts.
+At most ``TOP`` of the most frequent words, of at most ``LONGEST`` bytes each, are looked up in a
+broadcast table; all others are summed per document and joined to the counts.
 
 Defined results: a null or empty text is the end symbol alone. A null ``doc_id`` trains and is
 not held out. Repeated rows count, and are scored, repeatedly. Without training documents N and V
@@ -28,6 +30,7 @@ are 0 and all odds are even.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -40,13 +43,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import hash_sample, paired, stage_table
+from tillroll.llm.common import paired, stage_table
 
 MODULUS, HELD = 7, 2
 TOP = 1 << 17
+LONGEST = 256
 CONTEXT_BITS = {1: 8, 2: 12, 3: 14, 4: 15}
 """Bytes of context of each predictor, and bits of its hash; one byte is taken as it is."""
 
+GROWN_FROM, GROWTH = 1 << 22, 4
+"""Different 5-grams beyond which each eightfold doubles the contexts of three and four bytes, and
+their largest multiple: the tables are broadcast."""
+
 ORDERS = tuple(CONTEXT_BITS)
 REACH = max(ORDERS)
 END = b"\xff"  # in no UTF-8 text
@@ -54,9 +62,13 @@ START = END * REACH
 SLAB = 1 << 20
 FLUSH = 1 << 18
 ROWS = 1024
-SAMPLE, SAMPLE_BYTES = 256, 1 << 14
-RATE = 0.002
+ROUNDS = 2
+BLOCK = 512
+"""Different 5-grams coded between two moves of the weights."""
+
+RATE = 0.1
 PRIOR = 0.4
+TABLE_PRIOR = 64
 BUCKETS = 33
 
 # Tree nodes of each byte, from the root, and the turns taken there.
@@ -110,11 +122,19 @@ def _joined(held: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return every[real[: len(every)]], text
 
 
-def contexts(gram: np.ndarray) -> np.ndarray:
+def context_bits(distinct: int) -> dict[int, int]:
+    """Bits of each order's contexts for a number of different 5-grams."""
+    more = 0
+    while (1 << more) < GROWTH and distinct > GROWN_FROM * 8**more:
+        more += 1
+    return {order: bits + (more if order > 2 else 0) for order, bits in CONTEXT_BITS.items()}
+
+
+def contexts(gram: np.ndarray, bits_of: dict[int, int]) -> np.ndarray:
     """The context cell of each order, one column per predictor."""
     before = gram >> np.uint64(8)
     columns = []
-    for order, bits in CONTEXT_BITS.items():
+    for order, bits in bits_of.items():
         own = before & np.uint64((1 << 8 * order) - 1)
         if bits < 8 * order:
             own = (own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
@@ -171,14 +191,14 @@ def count_table(docs: DataFrame, modulus: int, held: int) -> DataFrame:
     return partial.groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
-def context_counts(counted: DataFrame) -> list[np.ndarray]:
-    """Per order the symbols that followed each context: tables of a fixed size."""
+def context_counts(rows: DataFrame, bits_of: dict[int, int]) -> list[np.ndarray]:
+    """Per order the symbols that followed each context, from 5-grams: tables of a given size."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gram = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
             n = batch.column(1).to_numpy(zero_copy_only=False)
-            cell = contexts(gram) * 256 + _symbol(gram)[:, None]
+            cell = contexts(gram, bits_of) * 256 + _symbol(gram)[:, None]
             order = np.broadcast_to(np.array(ORDERS), cell.shape)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -189,12 +209,11 @@ def context_counts(counted: DataFrame) -> list[np.ndarray]:
                 ["order", "cell", "n"],
             )
 
-    rows = counted.where("gram IS NOT NULL").select("gram", "n")
     summed = rows.mapInArrow(cells, "order int, cell int, n long").groupBy("order", "cell")
     table = summed.agg(F.sum("n").alias("n")).toArrow()
     order, cell, n = (table.column(c).to_numpy() for c in ("order", "cell", "n"))
     out = []
-    for k, bits in CONTEXT_BITS.items():
+    for k, bits in bits_of.items():
         counts = np.zeros((1 << bits, 256), dtype=np.float32)
         counts.reshape(-1)[cell[order == k]] = n[order == k]
         out.append(counts)
@@ -242,56 +261,93 @@ class Mixer:
         start = _squash(np.linspace(-8, 8, BUCKETS))
         return Mixer(np.full((gates, len(ORDERS)), 0.3), np.tile(start, (256, 1)))
 
-    def _mix(self, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    def mix(self, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return np.clip(np.einsum("...k,...k->...", self.weights[gate], odds), -12, 12)
 
-    def _bucket(self, mixed: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def bucket(mixed: np.ndarray) -> np.ndarray:
         return np.rint((np.clip(mixed, -8, 8) + 8) * (BUCKETS - 1) / 16).astype(np.int64)
 
     def predict(self, odds: np.ndarray, gate: np.ndarray, node: np.ndarray) -> np.ndarray:
         """The probability of a one."""
-        mixed = self._mix(odds, gate)
-        return 0.5 * (_squash(mixed) + self.table[node, self._bucket(mixed)])
-
-    def learn(self, odds: np.ndarray, gate: np.ndarray, node: np.ndarray, bit: np.ndarray) -> None:
-        """One block of decisions, coded with the weights so far, then learned from."""
-        mixed = self._mix(odds, gate)
-        miss = bit - _squash(mixed)
-        np.add.at(self.weights, gate, RATE * miss[:, None] * odds)
-        cell = node * BUCKETS + self._bucket(mixed)
-        times = np.bincount(cell, minlength=self.table.size)
-        ones = np.bincount(cell, weights=bit, minlength=self.table.size)
-        flat = self.table.reshape(-1)
-        hit = times > 0
-        flat[hit] += (ones[hit] - times[hit] * flat[hit]) / (times[hit] + 64)
+        mixed = self.mix(odds, gate)
+        return 0.5 * (_squash(mixed) + self.table[node, self.bucket(mixed)])
+
+
+def _gates(gram: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
+    """What selects each mixer's weights, per symbol and tree level."""
+    last = _symbol(gram >> np.uint64(8))
+    return [node, _kind(last)[:, None] * 8 + _DEPTH]
+
+
+def fresh_mixers() -> list[Mixer]:
+    return [Mixer.fresh(256), Mixer.fresh(64)]
+
+
+class Refiner:
+    """Moves a task's weights behind every block, and sums its tables."""
+
+    def __init__(self, sums: list[np.ndarray], bits_of: dict[int, int], mixers: list[Mixer]) -> None:
+        self.sums, self.bits_of, self.mixers = sums, bits_of, mixers
+        self.seen = [np.zeros(len(m.weights)) for m in mixers]
+        self.power = [np.zeros(m.weights.shape) for m in mixers]
+        self.tables = [np.zeros((2, m.table.size)) for m in mixers]
+
+    def _decisions(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Node, turn and the predictors' log odds without the decision's own occurrence."""
+        symbol = _symbol(gram)
+        turn = TURNS[symbol].astype(np.float64)
+        cell = contexts(gram, self.bits_of)
+        low = (symbol[:, None] >> (8 - _DEPTH)) << (8 - _DEPTH)
+        half = 1 << (7 - _DEPTH)
+        odds = np.empty((*turn.shape, len(ORDERS)))
+        for k, sums in enumerate(self.sums):
+            a, b, c = (sums[cell[:, k, None], low + w * half] for w in (0, 1, 2))
+            one, zero = c - b - turn + PRIOR, b - a - (1 - turn) + PRIOR
+            odds[..., k] = np.clip(np.log(one / zero), -12, 12)
+        return NODES[symbol], turn, odds
+
+    def refine(self, gram: np.ndarray, times: np.ndarray) -> None:
+        """One block, coded with the weights so far, then learned from."""
+        node, turn, odds = self._decisions(gram)
+        flat, times = odds.reshape(-1, len(ORDERS)), np.repeat(times, 8)
+        for k, (mixer, gate) in enumerate(zip(self.mixers, _gates(gram, node), strict=True)):
+            gate = gate.ravel()
+            miss = (turn.ravel() - _squash(mixer.mix(flat, gate))) * times
+            gates = len(mixer.weights)
+            seen = np.bincount(gate, weights=times, minlength=gates)
+            moves = [np.bincount(gate, weights=miss * flat[:, j], minlength=gates) for j in range(len(ORDERS))]
+            mean = np.stack(moves, axis=1) / np.maximum(seen, 1)[:, None]
+            self.power[k] += mean**2
+            mixer.weights += RATE * mean / np.sqrt(self.power[k] + 1e-9)
+            self.seen[k] += seen
+
+    def tally(self, gram: np.ndarray, times: np.ndarray) -> None:
+        """How often each table entry was met, and how often a one came of it."""
+        node, turn, odds = self._decisions(gram)
+        times = np.repeat(times, 8)
+        for table, mixer, gate in zip(self.tables, self.mixers, _gates(gram, node), strict=True):
+            cell = (node * BUCKETS + mixer.bucket(mixer.mix(odds, gate))).ravel()
+            table[0] += np.bincount(cell, weights=times, minlength=table.shape[1])
+            table[1] += np.bincount(cell, weights=times * turn.ravel(), minlength=table.shape[1])
 
 
 class Model:
-    """All tables of a trained model; their size does not depend on the corpus."""
+    """All tables of a trained model."""
 
-    def __init__(self, counts: list[np.ndarray]) -> None:
+    def __init__(self, counts: list[np.ndarray], bits_of: dict[int, int]) -> None:
+        self.bits_of = bits_of
         self.odds = [log_odds(c) for c in counts]
-        self.mixers = [Mixer.fresh(256), Mixer.fresh(64)]
+        self.mixers = fresh_mixers()
 
     def _decisions(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Per symbol and tree level: the predictors' log odds, the node, and the two gates."""
-        symbol, last = _symbol(gram), _symbol(gram >> np.uint64(8))
-        node = NODES[symbol]
-        cell = contexts(gram)
+        node = NODES[_symbol(gram)]
+        cell = contexts(gram, self.bits_of)
         odds = np.empty((*node.shape, len(ORDERS)), dtype=np.float32)
         for k, table in enumerate(self.odds):
             odds[..., k] = table[cell[:, k, None], node]
-        return odds, node, [node, _kind(last)[:, None] * 8 + _DEPTH]
-
-    def learn(self, texts: list[bytes], block: int = 512) -> None:
-        for gram, _ in (piece for text in texts for piece in grams([text])):
-            for low in range(0, len(gram), block):
-                part = gram[low : low + block]
-                odds, node, gates = self._decisions(part)
-                bit = TURNS[_symbol(part)].ravel().astype(np.float64)
-                flat = odds.reshape(-1, len(ORDERS)).astype(np.float64)
-                for mixer, gate in zip(self.mixers, gates, strict=True):
-                    mixer.learn(flat, gate.ravel(), node.ravel(), bit)
+        return odds, node, _gates(gram, node)
 
     def symbol_codes(self, gram: np.ndarray) -> np.ndarray:
         """ln of each symbol's probability behind its context, one column per mixer."""
@@ -317,14 +373,82 @@ class Model:
         return (np.logaddexp(total[:, 0], total[:, 1]) - math.log(2)) / math.log(10)
 
 
-def fit(docs: DataFrame, counted: DataFrame, modulus: int, held: int) -> Model:
-    """Counts of all training documents; mixers from a bounded sample of them."""
-    model = Model(context_counts(counted))
-    crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
-    training = docs.where(F.coalesce(crc != held, F.lit(True))).select("doc_id", "text")
-    short = training.where(F.octet_length("text") <= SAMPLE_BYTES)
-    chosen = hash_sample(short, ["doc_id", "text"], SAMPLE, docs.count()).collect()
-    model.learn([r["text"].encode() for r in chosen])
+_sums: dict[str, list[np.ndarray]] = {}
+
+
+def _sums_of(shared) -> list[np.ndarray]:
+    """The counts summed along the symbols; made once per worker process."""
+    name, counts = shared.value
+    if name not in _sums:
+        _sums.clear()
+        _sums[name] = [np.pad(np.cumsum(c, axis=1, dtype=np.float64), ((0, 0), (1, 0))) for c in counts]
+    return _sums[name]
+
+
+def _over_blocks(batches: Iterator[pa.RecordBatch], step) -> None:
+    for batch in batches:
+        gram = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
+        times = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+        for low in range(0, len(gram), BLOCK):
+            step(gram[low : low + BLOCK], times[low : low + BLOCK])
+
+
+def _refined(rows: DataFrame, shared, bits_of: dict[int, int], mixers: list[Mixer]) -> list[np.ndarray]:
+    """Each mixer's weights behind one round over all 5-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refiner = Refiner(_sums_of(shared), bits_of, mixers)
+        _over_blocks(batches, refiner.refine)
+        for k, mixer in enumerate(refiner.mixers):
+            seen = np.repeat(refiner.seen[k], len(ORDERS))
+            place = np.flatnonzero(seen)
+            columns = [np.full(len(place), k, np.int32), place.astype(np.int32), mixer.weights.ravel()[place], seen[place]]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["mixer", "place", "weight", "seen"])
+
+    parts = rows.mapInArrow(run, "mixer int, place int, weight double, seen double")
+    merged = parts.groupBy("mixer", "place").agg(
+        (F.sum(F.col("weight") * F.col("seen")) / F.sum("seen")).alias("weight")
+    )
+    out = [m.weights.copy() for m in mixers]
+    for r in merged.collect():  # at most one row per weight
+        out[r["mixer"]].reshape(-1)[r["place"]] = r["weight"]
+    return out
+
+
+def _tallied(rows: DataFrame, shared, bits_of: dict[int, int], mixers: list[Mixer]) -> list[np.ndarray]:
+    """Each mixer's adaptive table from all 5-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refiner = Refiner(_sums_of(shared), bits_of, mixers)
+        _over_blocks(batches, refiner.tally)
+        for k, (met, ones) in enumerate(refiner.tables):
+            place = np.flatnonzero(met)
+            columns = [np.full(len(place), k, np.int32), place.astype(np.int32), met[place], ones[place]]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["mixer", "place", "met", "ones"])
+
+    parts = rows.mapInArrow(run, "mixer int, place int, met double, ones double")
+    merged = parts.groupBy("mixer", "place").agg(F.sum("met").alias("met"), F.sum("ones").alias("ones"))
+    out = [m.table.copy() for m in mixers]
+    for r in merged.collect():  # at most one row per table entry
+        flat = out[r["mixer"]].reshape(-1)
+        flat[r["place"]] = (r["ones"] + TABLE_PRIOR * flat[r["place"]]) / (r["met"] + TABLE_PRIOR)
+    return out
+
+
+def fit(counted: DataFrame) -> Model:
+    """A model of the staged counts of all training documents."""
+    rows = counted.where("gram IS NOT NULL").select("gram", "n")
+    bits_of = context_bits(rows.count())
+    counts = context_counts(rows, bits_of)
+    model = Model(counts, bits_of)
+    shared = counted.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, counts))
+    for _ in range(ROUNDS):
+        refined = _refined(rows, shared, bits_of, model.mixers)
+        for mixer, weights in zip(model.mixers, refined, strict=True):
+            mixer.weights = weights
+    for mixer, table in zip(model.mixers, _tallied(rows, shared, bits_of, model.mixers), strict=True):
+        mixer.table = table
+    shared.destroy()
     return model
 
 
@@ -341,8 +465,9 @@ def lm_scores(
     totals = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = totals["n"] or 0, totals["v"]
     whole = math.log10(n + v + 1)
-    known = {w: math.log10(c + 1) - whole for w, c in _frequent(words, top).items()}
-    shared = spark.sparkContext.broadcast((known, fit(docs, counted, modulus, held)))
+    short = words.where(F.octet_length("word") <= LONGEST)
+    known = {w: math.log10(c + 1) - whole for w, c in _frequent(short, top).items()}
+    shared = spark.sparkContext.broadcast((known, fit(counted)))
     parts = stage_table(_parts(docs, shared, modulus, held), "lm-parts")
     seen = F.coalesce("n", F.lit(0))
     rare = (

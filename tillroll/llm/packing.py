@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -39,9 +40,6 @@ REOPENED = 8
 """Sequences per group that the next round packs again, at most one in eight but one at least.
 They hold at most half a group's pieces, and each round has at most half the groups."""
 
-PARTNERS = 64
-"""Sequences with which an underfull one tries exchanges."""
-
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     """``(start, length)`` of a document's pieces; only the first may be shorter."""
@@ -76,64 +74,176 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _gain(a: int, b: int, moved: int) -> int:
-    """What moving ``moved`` from fill ``a`` to fill ``b`` adds to the sum of squares."""
-    return (a - moved) ** 2 + (b + moved) ** 2 - a * a - b * b
+class _Kinds:
+    """The lengths in a bin: each once, and the sums of two of its items, as bits of a number."""
+
+    def __init__(self, sizes: tuple[int, ...]) -> None:
+        times = Counter(sizes)
+        self.one = sum(1 << size for size in times)
+        self.two = 0
+        for size, n in times.items():
+            others = self.one if n > 1 else self.one ^ (1 << size)
+            self.two |= others << size
+
+
+def _bits(number: int) -> Iterator[int]:
+    while number:
+        low = number & -number
+        yield low.bit_length() - 1
+        number ^= low
+
+
+def _above(number: int, most: int) -> int:
+    """The bits 1 to ``most`` places above those of a number."""
+    found, reach = number << 1, 1
+    while reach < most:
+        step = min(reach, most - reach)
+        found |= found << step
+        reach += step
+    return found
+
 
+def _two(sizes: Sequence[int], total: int) -> tuple[int, int]:
+    """Two items' lengths of the given sum."""
+    times = Counter(sizes)
+    return next((k, total - k) for k in times if times[total - k] > (2 * k == total))
+
+
+class _Underfull:
+    """The bins that are neither full nor empty, by room and by the lengths they hold.
+
+    All of a room's bins are asked at once, through the union of their lengths, so the
+    search meets every pair of bins without a step for each. Bins of equal lengths are one entry.
+    """
+
+    def __init__(self, bins: list[list[int]], sizes: list[int], capacity: int) -> None:
+        self.bins, self.sizes, self.capacity = bins, sizes, capacity
+        self.fills = [sum(sizes[i] for i in b) for b in bins]
+        self._kinds: dict[tuple[int, ...], _Kinds] = {}
+        self._held: dict[int, dict[tuple[int, ...], list[int]]] = {}
+        self._union: dict[int, tuple[int, int, int, int]] = {}
+        for b in range(len(bins)):
+            self._add(b)
+
+    def _lengths(self, b: int) -> tuple[int, ...]:
+        return tuple(sorted(self.sizes[i] for i in self.bins[b]))
+
+    def kinds(self, lengths: tuple[int, ...]) -> _Kinds:
+        if lengths not in self._kinds:
+            self._kinds[lengths] = _Kinds(lengths)
+        return self._kinds[lengths]
+
+    def _add(self, b: int) -> None:
+        room = self.capacity - self.fills[b]
+        if 0 < room < self.capacity:
+            self._held.setdefault(room, {}).setdefault(self._lengths(b), []).append(b)
+            self._union.pop(room, None)
+
+    def _remove(self, b: int) -> None:
+        room = self.capacity - self.fills[b]
+        if 0 < room < self.capacity:
+            lengths = self._lengths(b)
+            self._held[room][lengths].remove(b)
+            if not self._held[room][lengths]:
+                del self._held[room][lengths]
+            if not self._held[room]:
+                del self._held[room]
+            self._union.pop(room, None)
+
+    def entries(self, room: int, without: int) -> Iterator[tuple[_Kinds, int]]:
+        """The different lengths among a room's other bins, each with one of its bins."""
+        for lengths, held in self._held.get(room, {}).items():
+            other = next((b for b in held if b != without), None)
+            if other is not None:
+                yield self.kinds(lengths), other
+
+    def union(self, room: int, without: int) -> tuple[int, int, int, int]:
+        """What the room's other bins hold together, and all that is at most ``room`` more."""
+        own = self.capacity - self.fills[without] == room
+        if not own and room in self._union:
+            return self._union[room]
+        one = two = 0
+        for kinds, _ in self.entries(room, without):
+            one, two = one | kinds.one, two | kinds.two
+        found = (one, two, _above(one, room), _above(two, room))
+        if not own:
+            self._union[room] = found
+        return found
+
+    def exchange(self, source: int) -> bool:
+        """One exchange from a bin to one at least as full, if there is any: to the fullest bin
+        that gains, and what fills it most.
+
+        One or two items go, and none, one or two come back: a whole item moves, or the difference of
+        lengths in the two bins. Whatever is moved so grows the sum of squared fills.
+        """
+        most = self.capacity - self.fills[source]
+        own = self.kinds(self._lengths(source))
+        both = own.one | own.two
+        for room in sorted(r for r in self._held if r <= most):
+            one, two, above_one, above_two = self.union(room, source)
+            small = (2 << room) - 2
+            if not one or not (own.one & small or both & above_one or own.one & above_two):
+                continue
+            for moved in range(room, 0, -1):
+                if _fits(own, one, two, moved):
+                    kinds, target = next(
+                        e for e in self.entries(room, source) if _fits(own, e[0].one, e[0].two, moved)
+                    )
+                    self._apply(source, target, own, kinds, moved)
+                    return True
+        return False
+
+    def _apply(self, source: int, target: int, own: _Kinds, other: _Kinds, moved: int) -> None:
+        """Move items so that ``moved`` more are in the target."""
+        mine = [self.sizes[i] for i in self.bins[source]]
+        theirs = [self.sizes[j] for j in self.bins[target]]
+        if own.one >> moved & 1:
+            out, back = (moved,), ()
+        elif own.one & (other.one << moved):
+            size = next(_bits(own.one & (other.one << moved)))
+            out, back = (size,), (size - moved,)
+        elif own.two & (other.one << moved):
+            total = next(_bits(own.two & (other.one << moved)))
+            out, back = _two(mine, total), (total - moved,)
+        else:
+            size = next(_bits(own.one & (other.two << moved)))
+            out, back = (size,), _two(theirs, size - moved)
+        self._remove(source)
+        self._remove(target)
+        going = [self._take(source, size) for size in out]
+        coming = [self._take(target, size) for size in back]
+        self.bins[source] += coming
+        self.bins[target] += going
+        self.fills[source] -= moved
+        self.fills[target] += moved
+        self._add(source)
+        self._add(target)
 
-def _exchange(
-    source: list[int], target: list[int], sizes: list[int], fill: tuple[int, int], capacity: int
-) -> tuple[list[int], list[int]] | None:
-    """The best exchange by squared fill: items out of ``source`` and out of ``target``."""
-    room = capacity - fill[1]
-    best: tuple[int, list[int], list[int]] | None = None
+    def _take(self, b: int, size: int) -> int:
+        at = next(k for k, i in enumerate(self.bins[b]) if self.sizes[i] == size)
+        return self.bins[b].pop(at)
 
-    def offer(out: list[int], back: list[int], moved: int) -> None:
-        nonlocal best
-        if 0 < moved <= room:
-            gain = _gain(*fill, moved)
-            if gain > 0 and (best is None or gain > best[0]):
-                best = (gain, out, back)
 
-    for k, i in enumerate(source):
-        offer([i], [], sizes[i])
-        for j in target:
-            offer([i], [j], sizes[i] - sizes[j])
-            for i2 in source[k + 1 :]:
-                offer([i, i2], [j], sizes[i] + sizes[i2] - sizes[j])
-        for m, j in enumerate(target):
-            for j2 in target[m + 1 :]:
-                offer([i], [j, j2], sizes[i] - sizes[j] - sizes[j2])
-    return None if best is None else best[1:]
+def _fits(own: _Kinds, one: int, two: int, moved: int) -> bool:
+    return bool(own.one >> moved & 1 or (own.one | own.two) & (one << moved) or own.one & (two << moved))
 
 
-def improve(
-    bins: list[list[int]], sizes: list[int], capacity: int, partners: int = PARTNERS
-) -> list[list[int]]:
-    """Local search over the underfull bins, the emptiest first; empty bins go.
+def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Local search over the underfull bins, the emptiest first, until no exchange between any
+    two of them helps; empty bins go.
 
     Every step increases the sum of squared fills, so the search ends.
     """
-    fills = [sum(sizes[i] for i in b) for b in bins]
+    bins = [list(b) for b in bins]
+    held = _Underfull(bins, sizes, capacity)
     improved = True
     while improved:
         improved = False
-        underfull = [b for b, f in enumerate(fills) if 0 < f < capacity]
-        for source in sorted(underfull, key=lambda b: fills[b]):
-            targets = [b for b in underfull if b != source and fills[source] <= fills[b] < capacity]
-            for target in sorted(targets, key=lambda b: -fills[b])[:partners]:
-                while bins[source] and fills[source] <= fills[target] < capacity:
-                    fill = (fills[source], fills[target])
-                    found = _exchange(bins[source], bins[target], sizes, fill, capacity)
-                    if found is None:
-                        break
-                    out, back = found
-                    bins[source] = [i for i in bins[source] if i not in out] + back
-                    bins[target] = [j for j in bins[target] if j not in back] + out
-                    change = sum(sizes[i] for i in out) - sum(sizes[j] for j in back)
-                    fills[source] -= change
-                    fills[target] += change
-                    improved = True
+        underfull = [b for b, f in enumerate(held.fills) if 0 < f < capacity]
+        for source in sorted(underfull, key=lambda b: held.fills[b]):
+            while 0 < held.fills[source] < capacity and held.exchange(source):
+                improved = True
     return [b for b in bins if b]
 
 

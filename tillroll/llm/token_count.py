@@ -2,13 +2,17 @@
 
 A text of up to ``CHUNK`` characters is encoded in one go. A longer one is
 encoded in chunks that overlap. Two neighbouring chunks are spliced at a place
-in their overlap that is *proven stable*: a blank behind a non-blank. The
+in their overlap that is *proven stable*. Such a place is a blank behind a non-blank: the
 vocabulary's pre-tokenizer lets a blank be the first character of a
-piece, or stand in a run of blanks, but never behind a non-blank within one piece, so
+piece, or stand in a run of blanks, but never behind a non-blank within one piece. It is also an edge between
+a letter and a digit, or a mark behind either, for which a piece of letters or of digits
+ends; the marks that special strings and contractions begin with do not count. So,
 whatever was read before, a new piece starts there, and pieces are encoded
 independently. Both encodings must have a token boundary at the place, and the same tokens from
 it to the last stable place of the overlap. Where the overlap holds no such place it
-is widened, in the end to both chunks, which then are one longer chunk.
+is widened, in the end to both chunks, which then are one chunk of twice the length. So a text without any
+stable place, such as one run of letters, is encoded a bounded number of times over, whatever its length,
+but is held at once.
 
 The ids are those of the library ``tokenizers`` for the same file: special
 strings inside a text become their special id, nothing is added or cut. They are
@@ -22,6 +26,7 @@ one by one, so repeated rows repeat; an empty table gives no rows.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,8 +41,12 @@ from tillroll.llm.common import paired
 CHUNK = 32_768
 OVERLAP = 256
 
-# Blanks at which a piece starts when a non-blank stands before them.
-STABLE = " \t\n\r"
+# Where a piece starts whatever stands before: blanks behind a non-blank, edges of ASCII letters and
+# digits, and marks behind letters or digits but for those of contractions and special strings.
+STABLE = re.compile(
+    r"(?<=\S)[ \t\n\r]|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
+    r"|(?<=[0-9A-Za-z\u4e00-\u9fff])[!-&(-/:;=?@\[-`{}~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f]"
+)
 
 
 def vocabulary_path() -> str:
@@ -85,8 +94,8 @@ class Encoder:
         left = self.piece(text[:end])
         while end < len(text):
             spliced = self._next(text, start, end, left, chunk, overlap)
-            if spliced is None:  # nothing stable in the whole chunk: one longer chunk
-                end = min(end + chunk, len(text))
+            if spliced is None:  # nothing stable in the whole chunk: one of twice the length
+                end = min(start + 2 * (end - start), len(text))
                 left = self.piece(text[start:end])
                 continue
             keep, start, end, left = spliced
@@ -123,11 +132,8 @@ class Encoder:
 def _stable(text: str, low: int, high: int) -> list[int]:
     """Places at which a piece starts, whatever was read before. The character
     behind the place must be known too, hence the last one is left out."""
-    return [
-        i
-        for i in range(max(low, 1), high - 1)
-        if text[i] in STABLE and not text[i - 1].isspace()
-    ]
+    places = (found.start() for found in STABLE.finditer(text, max(low, 1), high))
+    return [place for place in places if place < high - 1]
 
 
 def _cut(ends: np.ndarray, place: int) -> int | None:

@@ -49,26 +49,33 @@ def _hot(docs: DataFrame, partitions: int) -> DataFrame:
     return counts.where(F.col("count") > fair).select("hash", slots)
 
 
-def mark(docs: DataFrame, columns: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Every row as ``row`` (a struct of ``columns``) with ``keep_id``, ``group_size``,
-    ``kept`` and ``text_sha256``, the hash of the normalised text."""
+def placed(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Every row as ``row`` with what it is compared by, in the range of its content and slot."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     needed = dict.fromkeys((*columns, "doc_id", "text"))
     keyed = docs.select(
-        F.struct(*[quoted(c) for c in needed]).alias("row"), normalised(body()).alias("norm")
+        F.struct(*[quoted(c) for c in needed]).alias("row"),
+        normalised(body()).alias("norm"),
+        F.monotonically_increasing_id().alias("place"),
     ).select(
-        "row", F.substring("norm", 1, PREFIX).alias("prefix"), F.xxhash64("norm").alias("hash")
+        "row", "place", F.substring("norm", 1, PREFIX).alias("prefix"), F.xxhash64("norm").alias("hash")
     )
-    slot = F.when(F.col("slots").isNotNull(), F.pmod(F.xxhash64("row.doc_id"), F.col("slots")))
-    placed = (
+    # by the row's place, as all rows of a hot content may have one id
+    slot = F.when(F.col("slots").isNotNull(), F.pmod(F.xxhash64("row.doc_id", "place"), F.col("slots")))
+    return (
         keyed.join(F.broadcast(_hot(docs, partitions)), "hash", "left")
         .withColumn("slot", slot)
-        .drop("slots")
+        .drop("slots", "place")
         .repartitionByRange("prefix", "hash", "slot")
         .withColumn("norm", normalised(body(F.col("row.text"))))
         .withColumn("points", F.char_length(body(F.col("row.text"))))
     )
+
+
+def mark(docs: DataFrame, columns: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Every row as ``row`` (a struct of ``columns``) with ``keep_id``, ``group_size``,
+    ``kept`` and ``text_sha256``, the hash of the normalised text."""
     # clustered as the ranges are, so neither window shuffles again
     best = [F.col("points").desc(), F.col("row.doc_id").asc_nulls_last()]
     key = ["prefix", "hash", "slot"]
@@ -76,7 +83,8 @@ def mark(docs: DataFrame, columns: Sequence[str] = ("doc_id",)) -> DataFrame:
     is_head = ~F.lag("norm").over(content).eqNullSafe(F.col("norm"))
     run = Window.partitionBy(*key, "run")
     marked = (
-        placed.withColumn("head", is_head)
+        placed(docs, columns)
+        .withColumn("head", is_head)
         .withColumn("run", F.sum(F.col("head").cast("long")).over(content))
         .select(
             F.struct(*[F.col("row")[c].alias(c) for c in columns]).alias("row"),

@@ -44,8 +44,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from tillroll.llm.common import body, texts_of
+from tillroll.llm.common import body, stage_table, texts_of
+from tillroll.operators.numbering import number_rows
 
 LENGTH = 50
 CORE = 20
@@ -602,7 +604,24 @@ def _packed_texts(docs: DataFrame) -> DataFrame:
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
-    """``doc_id, kept, n_bytes, n_removed, n_spans``: what is left of each text, in bytes."""
+    """``doc_id, kept, n_bytes, n_removed, n_spans``: what is left of each text, in bytes.
+
+    Ids that are no whole numbers are compared by their rank, and come back as they were.
+    """
+    kind = docs.schema["doc_id"].dataType
+    if isinstance(kind, IntegralType):
+        return _with_number_ids(docs)
+    ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    ranked = stage_table(number_rows(ids, ["doc_id"], "_rank"), "ranks")
+    numbered = docs.select("doc_id", "text").join(ranked, "doc_id", "left")
+    left = _with_number_ids(numbered.select(F.col("_rank").alias("doc_id"), "text"))
+    named = ranked.select(F.col("doc_id").alias("_id"), "_rank")
+    return left.join(named, left["doc_id"] == named["_rank"], "left").select(
+        F.col("_id").alias("doc_id"), "kept", "n_bytes", "n_removed", "n_spans"
+    )
+
+
+def _with_number_ids(docs: DataFrame) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     spans = covered_spans(docs).withColumnsRenamed({"doc_id": "_id", "version": "_version"})
     rows = _packed_texts(docs)

@@ -63,6 +63,19 @@ def test_exact_hot_group_is_split(spark):
     assert marked(exact_dedup.exact_dedup(frame(spark, hot + rest))) == brute.exact(hot + rest)
 
 
+@pytest.mark.parametrize("one_id", [7, None])
+def test_exact_hot_text_under_one_id_meets_several_tasks(spark, one_id):
+    hot = spark.range(4000).select(F.lit(one_id).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
+    rest = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    marked_rows = exact_dedup.mark(hot.unionByName(rest), ["doc_id"])
+    rows = marked_rows.select("row.doc_id", "keep_id", "group_size", "kept").collect()
+    assert Counter(r["group_size"] for r in rows) == {4000: 4000, 1: 1000}
+    assert sum(r["kept"] for r in rows) == 1001
+    plan = exact_dedup.placed(hot.unionByName(rest), ["doc_id"]).where("slot IS NOT NULL")
+    sizes = [r["count"] for r in plan.groupBy("slot").count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 2000
+
+
 def test_exact_repeated_rows_keep_one(spark):
     same = [(1, "a"), (1, "a"), (2, "a")]
     kept = [r for r in exact_dedup.exact_dedup(frame(spark, same)).collect() if r["kept"]]
@@ -207,6 +220,23 @@ def test_strings_null_and_equal_ids(spark):
     assert suffix_dedup.suffix_dedup(frame(spark, [])).count() == 0
 
 
+def test_strings_of_any_ids(spark):
+    """Text ids compare as texts and come back as they were; others by their order."""
+    shared = "the same fifty bytes and more in several documents, word by word"
+    rows = [("b", f"one {shared}"), ("a", f"{shared} two"), ("10", "short"), ("9", shared), (None, shared), ("\u00e9", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    order = {d: k for k, d in enumerate(sorted(d for d, _ in rows if d is not None))}
+    wanted = brute.repeats([(order[d], t) for d, t in rows if d is not None])
+    found = {r["doc_id"]: r for r in suffix_dedup.suffix_dedup(df).collect()}
+    assert suffix_dedup.suffix_dedup(df).schema["doc_id"].dataType.simpleString() == "string"
+    assert {d: (found[d]["n_bytes"], found[d]["n_removed"], found[d]["n_spans"]) for d in order} == {
+        d: wanted[k][:3] for d, k in order.items()
+    }
+    assert found[None]["n_removed"] == 0 and len(found) == 6
+    dated = df.select(F.expr("DATE '2020-01-01' + CAST(length(doc_id) AS INT)").alias("doc_id"), "text")
+    assert suffix_dedup.suffix_dedup(dated).count() == 6
+
+
 def test_intervals_against_direct_comparison():
     rng = np.random.default_rng(5)
     for _ in range(30):

@@ -105,13 +105,14 @@ def test_nothing_else_imports_the_package():
     assert not [x for x in lines if "llm" in x[1]]
 
 
-def test_entry_without_the_package():
-    """The other queries load where the corpus operators are missing."""
+@pytest.mark.parametrize("missing", ["corpus_pipeline", "tillroll.llm", "tiktoken", "zstandard", "xxhash"])
+def test_entry_without_the_package(missing):
+    """The other queries load where the corpus operators, or a library of theirs, are missing."""
     code = (
         "import sys\n"
         "class Missing:\n"
         "    def find_spec(self, name, path=None, target=None):\n"
-        "        if name in ('corpus_pipeline', 'tillroll.llm'):\n"
+        f"        if name == {missing!r}:\n"
         "            raise ModuleNotFoundError(f'No module named {name!r}', name=name)\n"
         "sys.meta_path.insert(0, Missing())\n"
         "import __spark_entry__ as e\n"

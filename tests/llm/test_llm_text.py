@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import random
+import string
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -130,6 +133,51 @@ def test_contamination_small_words(spark):
 # --- tokens -----------------------------------------------------------------
 
 
+def _unbroken(kind, size):
+    rng = random.Random(size)
+    alphabet = {
+        "base64": string.ascii_letters + string.digits + "+/",
+        "letters": string.ascii_lowercase,
+        "one": "a",
+        "han": "\u4e2d\u6587\u5b57\u3002\uff0c",
+        "blanks": " ",
+        "marks": "{}[]<|>'",
+    }[kind]
+    return "".join(rng.choices(alphabet, k=size))
+
+
+@pytest.mark.parametrize("kind", ["base64", "letters", "one", "han", "blanks", "marks"])
+def test_texts_without_blanks_are_the_librarys(library, kind):
+    encode = token_count.encoder(token_count.vocabulary_path())
+    size = 20_000 if kind == "one" else 120_000
+    text = _unbroken(kind, size)
+    assert encode(text, 1000, 64).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_edges_inside_special_strings_and_contractions(library):
+    encode = token_count.encoder(token_count.vocabulary_path())
+    rng = random.Random(8)
+    parts = ["<|endoftext|>", "'s", "'ll", "a", "7", "It's", "<|", "|>", "we'LL", "+", " ", "\n", "\u4e2d", "\u3002", "\xa0", "\x1c"]
+    for _ in range(60):
+        text = "".join(rng.choices(parts, k=400))
+        assert encode(text, 50, 8).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_cost_of_a_text_without_blanks_is_linear():
+    encode = token_count.encoder(token_count.vocabulary_path())
+
+    def seconds(size):
+        text, best = _unbroken("base64", size), 1e9
+        for _ in range(2):
+            start = time.perf_counter()
+            encode(text)
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    one, four = seconds(1 << 20), seconds(1 << 22)
+    assert four < 2.3**2 * one + 0.5 and one < 2
+
+
 def test_counts_all(docs, rows, library):
     found = {r["doc_id"]: r for r in token_count.token_counts(docs, chunk=700).collect()}
     for doc, text in rows:
@@ -240,6 +288,36 @@ def test_local_search_empties_a_bin():
     assert len(bins) == 3
 
 
+@pytest.mark.parametrize("sizes", [[5] * 16_384, [3] * 16_384, [341] * 16_384, [2, 3] * 8_192])
+def test_many_equal_lengths_pack_within_seconds(sizes):
+    start = time.perf_counter()
+    bins = packing.pack_group(sizes)
+    assert time.perf_counter() - start < 10
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+    if len(set(sizes)) == 1:
+        assert len(bins) == -(-len(sizes) // (1024 // sizes[0]))
+    assert len(bins) <= len(packing.best_fit(sizes, 1024))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_the_search_ends_where_no_pair_of_bins_gains(seed):
+    """Against trying every exchange of one or two items for none, one or two."""
+    rng = random.Random(seed)
+    sizes = [rng.randint(20, 70) for _ in range(60)]
+    bins = packing.improve(packing.best_fit(sizes, 100), sizes, 100)
+    for a, b in itertools.permutations(bins, 2):
+        mine, theirs = [sizes[i] for i in a], [sizes[j] for j in b]
+        room = 100 - sum(theirs)
+        if sum(mine) > sum(theirs) or not room:
+            continue
+        one = [(x,) for x in mine]
+        two = list(itertools.combinations(mine, 2))
+        back = [(y,) for y in theirs]
+        tried = [(o, ()) for o in one] + [(o, r) for o in one + two for r in back]
+        tried += [(o, r) for o in one for r in itertools.combinations(theirs, 2)]
+        assert not [1 for o, r in tried if 0 < sum(o) - sum(r) <= room]
+
+
 # --- quality ----------------------------------------------------------------
 
 
@@ -360,13 +438,61 @@ def test_model_scores(spark, docs):
 
 def test_symbol_probabilities_sum_to_one(docs):
     counted = lm_score.count_table(docs, 7, 2).cache()
-    model = lm_score.fit(docs, counted, 7, 2)
+    model = lm_score.fit(counted)
     counted.unpersist()
     for before in (b" the", b"\xff" * 4, b"zqxj", b"s a\n"):
         gram = np.uint64(int.from_bytes(before + b"\0", "big")) + np.arange(256, dtype=np.uint64)
         assert np.exp(model.symbol_codes(gram)).sum(axis=0) == pytest.approx([1, 1])
 
 
+def test_weights_are_learned_from_texts_of_any_length(spark):
+    """Rows of over 16 KiB alone move the weights, and shape the tables."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("etaoinshr", k=rng.randint(2, 7))) for _ in range(300)]
+    rows = [(i, " ".join(rng.choices(words, k=4000))) for i in range(12)]
+    assert min(len(t) for _, t in rows) > 1 << 14
+    model = lm_score.fit(lm_score.count_table(frame(spark, rows), 7, 2))
+    for mixer, fresh in zip(model.mixers, lm_score.fresh_mixers(), strict=True):
+        assert np.abs(mixer.weights - fresh.weights).max() > 0.1
+        assert np.abs(mixer.table - fresh.table).max() > 0.05
+    plain = lm_score.fit(lm_score.count_table(frame(spark, rows), 7, 2))
+    plain.mixers = lm_score.fresh_mixers()
+    new = " ".join(rng.choices(words, k=2000)).encode()
+    assert model.scores([new])[0] > plain.scores([new])[0]
+
+
+def test_scores_against_one_decision_after_the_other(spark, rows):
+    """The score from the documents themselves, byte by byte and bit by bit."""
+    found = {r["doc_id"]: r["score"] for r in lm_score.lm_scores(frame(spark, rows)).collect()}
+    model = lm_score.fit(lm_score.count_table(frame(spark, rows), 7, 2))
+    training = [t for d, t in rows if not lm_score.held_out(d)]
+    coder = brute.ContextMixing(training, model.mixers)
+    short = [(d, t) for d, t in rows if t is not None and len(t) < 1500][:6]
+    assert len(short) > 3
+    for doc, text in short:
+        assert found[doc] == pytest.approx(coder.score(text), rel=2e-3)
+
+
+def test_contexts_grow_with_the_corpus():
+    assert lm_score.context_bits(0) == lm_score.context_bits(1 << 22) == lm_score.CONTEXT_BITS
+    assert lm_score.context_bits(1 << 24)[4] == 16 and lm_score.context_bits(1 << 24)[2] == 12
+    assert lm_score.context_bits(1 << 50)[4] == 17
+
+
+def test_the_own_occurrence_is_left_out():
+    """A gram that occurs once is coded as if it had not been seen."""
+    bits_of = lm_score.CONTEXT_BITS
+    gram = np.array([int.from_bytes(b"the x", "big")], dtype=np.uint64)
+    cell = lm_score.contexts(gram, bits_of)[0]
+    sums = []
+    for k, bits in enumerate(bits_of.values()):
+        counts = np.zeros((1 << bits, 256))
+        counts[cell[k], ord("x")] = 1
+        sums.append(np.pad(np.cumsum(counts, axis=1), ((0, 0), (1, 0))))
+    _, _, odds = lm_score.Refiner(sums, bits_of, lm_score.fresh_mixers())._decisions(gram)
+    assert odds == pytest.approx(0)
+
+
 def test_grams_of_several_texts():
     end, start = lm_score.END, lm_score.START
     expected = [start + b"a", start[1:] + b"ab", start[2:] + b"ab" + end, start + end]
@@ -379,7 +505,7 @@ def test_grams_of_several_texts():
 
 def test_a_long_text_is_scored_in_pieces(docs, monkeypatch):
     counted = lm_score.count_table(docs, 7, 2).cache()
-    model = lm_score.fit(docs, counted, 7, 2)
+    model = lm_score.fit(counted)
     counted.unpersist()
     texts = [b"some words of text " * 50, b"", b"more " * 9]
     whole = model.scores(texts)

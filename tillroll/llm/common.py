@@ -11,14 +11,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import quoted
-from tillroll.session import stage_table
+from tillroll.session import delete_path, fresh_path, stage_table
 
 __all__ = [
-    "body", "fresh_name", "hash_sample", "paired", "scan", "small_hash", "stage_table", "text_hash",
-    "texts_of",
+    "Rounds", "body", "fresh_name", "hash_sample", "paired", "scan", "small_hash", "stage_table",
+    "text_hash", "texts_of",
 ]
 
 
+class Rounds:
+    """Staged tables of a loop, of which only the last is kept."""
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self._spark, self._label, self._path = spark, label, None
+
+    def stage(self, df: DataFrame) -> DataFrame:
+        """Write the next round's table, and delete the last one's, which it was made from."""
+        path = fresh_path(self._spark, self._label)
+        df.write.parquet(path)
+        self.clear()
+        self._path = path
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        if self._path:
+            delete_path(self._spark, self._path)
+            self._path = None
+
+
 def _reachable(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package from where the driver has it;
     on a cluster it is passed along with ``--py-files`` or installed."""

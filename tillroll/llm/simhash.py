@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import quoted
-from tillroll.llm.common import fresh_name, stage_table, texts_of
+from tillroll.llm.common import Rounds, fresh_name, stage_table, texts_of
 
 SHINGLE = 3
 SEED = 42
@@ -195,8 +195,9 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select(F.col("high").alias("node"), F.col("low").alias("other"))
     )
     both = stage_table(both.repartition("other"), "edges")
+    rounds = Rounds(edges.sparkSession, "roots")
     roots = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root"))
-    roots = stage_table(roots, "roots")
+    roots = rounds.stage(roots)
     while True:
         known = roots.select(F.col("node").alias("other"), F.col("root").alias("seen"))
         near = both.join(known, "other").groupBy("node").agg(F.min("seen").alias("seen"))
@@ -207,7 +208,7 @@ def components(edges: DataFrame) -> DataFrame:
         jumped = hooked.join(parents, "root").select(
             "node", F.least("root", "above").alias("root"), "old"
         )
-        held = stage_table(jumped, "roots")
+        held = rounds.stage(jumped)
         roots = held.select("node", "root")
         if held.where("root != old").isEmpty():
             return roots

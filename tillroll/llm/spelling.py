@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import paired, stage_table
+from tillroll.llm.common import Rounds, paired, stage_table
 
 LEAST_LENGTH, LEAST_TIMES, RATIO = 6, 5, 5
 MODULUS = 199
@@ -182,7 +182,8 @@ def neighbours(words: DataFrame, depth: int = DEPTH) -> DataFrame:
         "other",
         _node(F.col("side"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.reverse("other"))).alias("node"),
     )
-    states = stage_table(first_states(short, edges), "states")
+    rounds = Rounds(words.sparkSession, "states")
+    states = rounds.stage(first_states(short, edges))
     found = []
     while not states.isEmpty():
         done = states.where("rest = ''").join(ends, "node").select("word", "other")
@@ -190,7 +191,8 @@ def neighbours(words: DataFrame, depth: int = DEPTH) -> DataFrame:
         letter = F.substring("rest", 1, 1).alias("letter")
         moved = states.where("rest != ''").select("word", "node", letter, F.expr("substring(rest, 2)").alias("rest"))
         step = moved.join(edges.drop("below"), ["node", "letter"]).where(_possible())
-        states = stage_table(step.select("word", "rest", F.col("child").alias("node")), "states")
+        states = rounds.stage(step.select("word", "rest", F.col("child").alias("node")))
+    rounds.clear()
     if size[1] > depth:
         found.append(long_neighbours(words.where(F.char_length("word") >= depth)))
     pairs = found[0] if found else words.select("word", F.col("word").alias("other")).limit(0)
@@ -286,9 +288,10 @@ def spelling_variants(
 
 def followed(roots: DataFrame) -> DataFrame:
     """``word, root`` with each root's own root in its place, until none has one."""
+    rounds = Rounds(roots.sparkSession, "roots")
     while True:
         above = roots.select(F.col("word").alias("root"), F.col("root").alias("above"))
-        held = stage_table(roots.join(above, "root", "left").select("word", "root", "above"), "roots")
+        held = rounds.stage(roots.join(above, "root", "left").select("word", "root", "above"))
         roots = held.select("word", F.coalesce("above", "root").alias("root"))
         if held.where("above IS NOT NULL").isEmpty():
             return roots

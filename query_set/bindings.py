@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tillroll.functions.frames import null_tokens
+from tillroll.markers import published
 from tillroll.schemas import EXPORT_COLUMNS
 from tillroll.session import fresh_path
 
@@ -212,15 +213,17 @@ def _build_raw(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_written: dict[tuple[str, str, str], Any] = {}
+_written: dict[tuple[str, str, str], tuple[str, Any]] = {}
 
 
 def once(spark: SparkSession, sf: str, label: str, write: Callable[[str], Any]) -> Any:
-    """What ``write`` returns for a new path; called once per application and data folder."""
+    """What ``write`` returns for a new path; called once per application and data folder, and
+    again when the path has been deleted since."""
     key = (spark.sparkContext.applicationId, sf, label)
-    if key not in _written:
-        _written[key] = write(fresh_path(spark, label))
-    return _written[key]
+    if key not in _written or not published(spark, _written[key][0]):
+        path = fresh_path(spark, label)
+        _written[key] = (path, write(path))
+    return _written[key][1]
 
 
 def raw_export(spark: SparkSession, sf: str) -> DataFrame:

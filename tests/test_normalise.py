@@ -163,7 +163,7 @@ def test_a_key_given_twice_costs_no_other_element(spark, duplicate_keys):
 
 def test_both_ways_of_parsing_agree(spark):
     texts = [
-        "[]", " [ ] ", "null", "5", '"[1]"', "{}", "[", "[1", "not json", "[5]", "[null]", '["a"]', "[[1]]",
+        "[]", " [ ] ", "['a']", "[{'a': 1}]", "[NaN]", '[{"price": NaN}]', "[01]", "[{a: 1}]", "null", "5", '"[1]"', "{}", "[", "[1", "not json", "[5]", "[null]", '["a"]', "[[1]]",
         json.dumps([item(1), item("2", price=3.5), {}, item(None, name="é \\ \" \ue000 \ue000q \n")]),
         json.dumps([item(1), {"product_id": {"a": [1, None]}}]) , json.dumps([item(1)]) + " x",
     ]

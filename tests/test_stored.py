@@ -18,7 +18,7 @@ from query_set import tables as t
 from tillroll.operators import check_fk, semi_join
 from tillroll.plans import catalogue as cat
 from tillroll.schemas import CUSTOMERS, EXPORT_COLUMNS, ORDER_ITEMS, ORDERS, PRODUCTS, TABLES
-from tillroll.session import fresh_path
+from tillroll.session import delete_path, fresh_path
 from tillroll.sources import read_csv, read_export, write_csv
 from tillroll.sources.multiline import read_records, read_split_csv
 from tillroll.sources.stored import declare_table, declared_type, required_values, store_rows
@@ -270,3 +270,19 @@ def test_an_unclosed_cell_reaches_the_end_of_its_file_only(spark, tmp_path, smal
     write_rows(tmp_path / "2.csv", [("3", "y"), ("4", "z\nz")], ["id", "a"])
     got = {r.id: r.a for r in read_split_csv(spark, str(tmp_path)).collect()}
     assert set(got) == {"1", "2", "3", "4"} and got["4"] == "z\nz" and got["2"].startswith("open")
+
+
+# --- queries ----------------------------------------------------------------
+
+
+def test_what_is_written_once_is_written_again_when_it_is_gone(spark, sf):
+    written = []
+
+    def write(path):
+        spark.range(3).write.parquet(path)
+        written.append(path)
+        return path
+
+    assert b.once(spark, sf, "test", write) == b.once(spark, sf, "test", write) and len(written) == 1
+    delete_path(spark, written[0])
+    assert b.once(spark, sf, "test", write) == written[1] != written[0]

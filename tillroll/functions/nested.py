@@ -64,6 +64,10 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
 _HIDE = (("\ue000", "\ue000z"), ("\\\\", "\ue000b"), ('\\"', "\ue000q"))
 
 
+# What the parser of single values refuses, as the one of whole texts does.
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
 def parse_elements(text: Column) -> Column:
     """``array<variant>`` of a JSON array's elements, each parsed by itself.
 
@@ -78,7 +82,7 @@ def parse_elements(text: Column) -> Column:
 
     def split(held: Column) -> Column:
         document, mark = _marked(held)
-        both = F.from_json(document, "array<string>")
+        both = F.from_json(document, "array<string>", STRICT)
         is_one = F.ltrim(held).startswith("[")  # a text would lose its quotes
         return _bound(
             both,
@@ -87,7 +91,7 @@ def parse_elements(text: Column) -> Column:
             ),
         )
 
-    elements = F.from_json(_bound(hidden, split), "array<string>")
+    elements = F.from_json(_bound(hidden, split), "array<string>", STRICT)
     return F.transform(elements, _element)
 
 
@@ -95,7 +99,7 @@ def _element(text: Column) -> Column:
     """The value of one element's text; a JSON null for what is none."""
     for plain, code in reversed(_HIDE):
         text = F.replace(text, F.lit(code), F.lit(plain))
-    held = F.when(text.startswith("{"), F.from_json(text, "map<string,variant>"))
+    held = F.when(text.startswith("{"), F.from_json(text, "map<string,variant>", STRICT))
 
     def last(entries: Column) -> Column:
         keys = F.transform(entries, lambda e: e["key"])
@@ -103,7 +107,8 @@ def _element(text: Column) -> Column:
         return F.filter(entries, lambda e, i: ~F.array_contains(behind(i), e["key"]))
 
     object_ = _bound(F.map_entries(held), lambda e: F.to_variant_object(F.map_from_entries(last(e))))
-    other = F.get(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<variant>"), F.lit(0))
+    alone = F.concat(F.lit("["), text, F.lit("]"))
+    other = F.get(F.from_json(alone, "array<variant>", STRICT), F.lit(0))
     return F.coalesce(object_, other, F.to_variant_object(F.lit(None).cast("map<string,variant>")))
 
 

@@ -94,6 +94,20 @@ def parse_money(col: Column | str, strip: str = "$,", strict: bool = False) -> C
     return F.coalesce(text.try_cast(AMOUNT), failed)
 
 
+def money_text(col: Column | str, strip: str = "$,", strict: bool = False) -> Column:
+    """The cleaned text of an amount, NULL for what ``parse_money`` makes NULL.
+
+    A text travels lighter than a decimal of 38 digits; ``as_money`` makes the amount where it is needed.
+    """
+    amount = parse_money(col, strip, strict)
+    return F.when(amount.isNotNull(), drop_chars(col, strip))
+
+
+def as_money(text: Column | str) -> Column:
+    """The amount of a ``money_text``."""
+    return as_column(text).try_cast(AMOUNT)
+
+
 def collated(col: Column | str, collation: str = "UNICODE_CI_AI") -> Column:
     """The text compared without regard to case and accents."""
     return F.collate(as_column(col), collation)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tillroll.functions.columns import as_column, parse_money
+from tillroll.functions.columns import as_column, money_text, parse_money
 
 
 def repair_json(text: Column | str, wrapped_only: bool = False) -> Column:
@@ -35,18 +35,22 @@ def parse_items(text: Column | str, wrapped_only: bool = False) -> Column:
     exceeds a VARIANT, or gives a key twice where the session does not allow that, is
     parsed element by element.
     """
-    text = repair_json(text, wrapped_only)
-    document, mark = _marked(text)
-    parsed = F.try_variant_get(F.try_parse_json(document), "$", "array<variant>")
 
-    def first(elements: Column) -> Column:
-        end = F.try_variant_get(F.get(elements, F.lit(1)), "$", "string")
-        return F.when((F.size(elements) == 2) & (end == mark), F.get(elements, F.lit(0)))
+    def parse(text: Column) -> Column:
+        document, mark = _marked(text)
 
-    # through a lambda, so that the text is parsed once and not for each use
-    only = _bound(parsed, first)
-    items = F.try_variant_get(only, "$", "array<variant>")
-    return F.coalesce(items, parse_elements(text))
+        def first(both: Column) -> Column:
+            third = F.try_variant_get(both, "$[2]", "variant")
+            is_one = (F.try_variant_get(both, "$[1]", "string") == mark) & third.isNull()
+            return F.when(is_one, F.try_variant_get(both, "$[0]", "array<variant>"))
+
+        items = _bound(F.try_parse_json(document), first)
+        bare = F.btrim(text, F.lit(" \t\r\n"))
+        may_be_one = bare.startswith("[") & bare.endswith("]")
+        return F.coalesce(items, F.when(may_be_one, parse_elements(text)))
+
+    # through lambdas, so that the text is repaired and parsed once and not for each use
+    return _bound(repair_json(text, wrapped_only), parse)
 
 
 def _marked(text: Column) -> tuple[Column, Column]:
@@ -79,6 +83,7 @@ def parse_elements(text: Column) -> Column:
     hidden = text
     for plain, code in _HIDE:
         hidden = F.replace(hidden, F.lit(plain), F.lit(code))
+    hidden = F.regexp_replace(hidden, r"\\u[eE]000", _HIDE[0][1])  # the character as an escape
 
     def split(held: Column) -> Column:
         document, mark = _marked(held)
@@ -127,6 +132,11 @@ def item_money(item: Column, key: str) -> Column:
     return parse_money(get_item(item, key), strip="$")
 
 
+def item_money_text(item: Column, key: str) -> Column:
+    """``item_money`` as its cleaned text; see ``money_text``."""
+    return _bound(get_item(item, key), lambda value: money_text(value, strip="$"))
+
+
 def prefix_length(items: Column, is_good: Callable[[Column], Column]) -> Column:
     """Number of elements before the first one that is not good; 0 for NULL.
 

@@ -13,13 +13,13 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.functions.columns import coerce_timestamp, parse_int, parse_money
+from tillroll.functions.columns import as_money, coerce_timestamp, money_text, parse_int
 from tillroll.functions.frames import fill_nulls
 from tillroll.functions.nested import (
     explode_items,
     get_item,
     has_key,
-    item_money,
+    item_money_text,
     parse_items,
     prefix_length,
     valid_prefix,
@@ -61,10 +61,11 @@ def build_orders(raw: DataFrame, date_formats: Sequence[str] = ()) -> DataFrame:
         parse_int("customer_id").alias("customer_id"),
         coerce_timestamp("order_date", date_formats).alias("order_date"),
         parse_int("total_quantity").alias("total_quantity"),
-        parse_money("taxful_total_price", strip="$,", strict=True).alias("total_price"),
+        money_text("taxful_total_price", strict=True).alias("total_price"),
         "seq",
     )
-    return keep_first(typed, ["order_id"], ["seq"]).drop("seq")
+    first = keep_first(typed, ["order_id"], ["seq"]).drop("seq")
+    return first.withColumn("total_price", as_money("total_price"))
 
 
 # --- line items -------------------------------------------------------------
@@ -72,12 +73,12 @@ def build_orders(raw: DataFrame, date_formats: Sequence[str] = ()) -> DataFrame:
 
 def _items_ok(e: Column) -> Column:
     """The items pass needs id, quantity and price to parse."""
-    return e["product_id"].isNotNull() & e["quantity"].isNotNull() & e["price"].isNotNull()
+    return e["product_id"].isNotNull() & e["quantity"].isNotNull() & e["price_text"].isNotNull()
 
 
 def _products_ok(e: Column) -> Column:
     """The products pass needs id and price to parse, and name and category to exist."""
-    return e["product_id"].isNotNull() & e["price"].isNotNull() & e["named"]
+    return e["product_id"].isNotNull() & e["price_text"].isNotNull() & e["named"]
 
 
 def _flat_ok(e: Column) -> Column:
@@ -92,7 +93,7 @@ def _item_fields(item: Column, passes: Sequence[str], raw_text: bool) -> Column:
     """The element's fields that the passes look at."""
     fields = [
         get_item(item, "product_id", "bigint").alias("product_id"),
-        item_money(item, "price").alias("price"),
+        item_money_text(item, "price").alias("price_text"),
     ]
     if "items" in passes:
         fields.append(get_item(item, "quantity", "bigint").alias("quantity"))
@@ -105,7 +106,7 @@ def _item_fields(item: Column, passes: Sequence[str], raw_text: bool) -> Column:
     if "flat" in passes:
         fields.append(reduce(and_, [has_key(item, k) for k in ITEM_KEYS]).alias("complete"))
     if raw_text:
-        fields.append(item.cast("string").alias("element"))
+        fields.append(item.alias("element"))
     return F.struct(*fields)
 
 
@@ -132,7 +133,7 @@ def parse_rows(
     kept_by_all = F.least(*kept) if len(kept) > 1 else kept[0]
 
     def with_text(e: Column, at: Column) -> Column:
-        return e.withField("element", F.when(at >= kept_by_all, e["element"]))
+        return e.withField("element", F.when(at >= kept_by_all, e["element"].cast("string")))
 
     return rows.withColumn("_items", F.transform("_items", with_text))
 
@@ -152,6 +153,7 @@ def elements_of(rows: DataFrame, passes: Sequence[str] = ("items", "products"))
             *place,
             "pos",
             "item.*",
+            as_money(F.col("item.price_text")).alias("price"),
             *[PASSES[p](F.col("item")).alias(f"{p}_ok") for p in passes],
         )
     )
@@ -174,16 +176,23 @@ def items_from_elements(
     it could drop nothing. ``each`` keeps good elements behind a bad one too.
     """
     kept = elements.where("items_ok" if each else "pos < items_prefix")
-    kept = kept.select("order_id", "product_id", "quantity", "price", "seq", "pos")
-    items = keep_first(kept, ["order_id", "product_id"], ["seq", "pos"]).drop("seq", "pos")
+    kept = kept.select("order_id", "product_id", "quantity", "price_text", "seq", "pos")
+    items = _priced(keep_first(kept, ["order_id", "product_id"], ["seq", "pos"]))
     return items if orders is None else semi_join(items, orders, "order_id", null_safe=True)
 
 
 def products_from_elements(elements: DataFrame, each: bool = False) -> DataFrame:
     """Products from parsed elements: one per product id, the first."""
     kept = elements.where("products_ok" if each else "pos < products_prefix")
-    kept = kept.select("product_id", "product_name", "category", "price", "seq", "pos")
-    return keep_first(kept, ["product_id"], ["seq", "pos"]).drop("seq", "pos")
+    kept = kept.select("product_id", "product_name", "category", "price_text", "seq", "pos")
+    return _priced(keep_first(kept, ["product_id"], ["seq", "pos"]))
+
+
+def _priced(first: DataFrame) -> DataFrame:
+    """The rows that stay, their prices as amounts: a text until here, as it travels lighter."""
+    return first.drop("seq", "pos").withColumn("price_text", as_money("price_text")).withColumnRenamed(
+        "price_text", "price"
+    )
 
 
 def build_order_items(
@@ -230,7 +239,11 @@ def rejects_of(rows: DataFrame, targets: Sequence[str], dates: Column | None = N
             lost.append(F.when(at >= F.col(f"{p}_prefix"), _reject(p, at, e["element"], good)))
         return F.array(*lost)
 
-    lost = F.coalesce(F.flatten(F.transform("_items", of_element)), whole)
+    # what no pass loses is left out first
+    prefixes = [F.col(f"{p}_prefix") for p in targets]
+    before = F.least(*prefixes) if len(prefixes) > 1 else prefixes[0]
+    behind = F.slice("_items", before + 1, F.size("_items"))
+    lost = F.coalesce(F.flatten(F.transform(behind, lambda e, i: of_element(e, i + before))), whole)
     if dates is not None:
         bad = F.col("order_date").isNotNull() & dates.isNull()
         of_date = _reject("orders", none, F.col("order_date"), F.lit("bad date"))

@@ -9,7 +9,8 @@ the windows to test; their first word is compared, then all words.
 
 The benchmark is a stated set of queries. It is read in blocks of items of at most
 ``BLOCK_BYTES`` on average, each of which is broadcast and run against all
-documents, so its size is not bounded by a task's memory.
+documents. Behind every ``RESIDENT`` blocks the state is staged and their tables are dropped, so no task
+and no driver holds more of them, however large the benchmark is.
 
 Defined results: a null or empty text has no words and no hit; an item without words has no
 window. A null ``item_id`` is named by the empty text. Items that
@@ -20,17 +21,18 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import texts_of
+from tillroll.llm.common import Rounds, texts_of
 
 WIDTH = 10
 BLOCK_BYTES = 8 << 20
+RESIDENT = 4
+"""Blocks of the benchmark that are held at once."""
 
 # One byte of a word, A-Z in lower case, or a blank for all that stands between words.
 _FOLD = bytes(
@@ -122,6 +124,22 @@ def _block(benchmark: DataFrame, block: int, blocks: int, width: int):
     return benchmark.sparkSession.sparkContext.broadcast(searches(items, width))
 
 
+def _over_blocks(
+    state: DataFrame, benchmark: DataFrame, blocks: int, width: int, step: Callable
+) -> DataFrame:
+    """``step(state, tables, block)`` for every block, staged behind every ``RESIDENT`` of them."""
+    rounds, held = Rounds(state.sparkSession, "contamination"), []
+    for block in range(blocks):
+        held.append(_block(benchmark, block, blocks, width))
+        state = step(state, held[-1], block)
+        if len(held) == RESIDENT and block < blocks - 1:
+            state = rounds.stage(state)
+            for tables in held:
+                tables.destroy()
+            held = []
+    return state
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
@@ -134,12 +152,14 @@ def contamination(
     id_type = docs.schema["doc_id"].dataType.simpleString()
     held = "spans array<array<int>>, items array<string>"
     none = {"spans": F.array().cast("array<array<int>>"), "items": F.array().cast("array<string>")}
-    state = docs.select("doc_id", "text").withColumns(none)
-    for block in range(blocks):
+
+    def add(state: DataFrame, found, block: int) -> DataFrame:
         last = block == blocks - 1
         schema = f"doc_id {id_type}, {'n_words long' if last else 'text string'}, {held}"
-        state = state.mapInArrow(_scan(_block(benchmark, block, blocks, width), last), schema)
-    return state
+        return state.mapInArrow(_scan(found, last), schema)
+
+    state = docs.select("doc_id", "text").withColumns(none)
+    return _over_blocks(state, benchmark, blocks, width, add)
 
 
 def _scan(found, last: bool):
@@ -188,9 +208,7 @@ def drop_contaminated(
     """The rows of ``docs`` in which no window of the benchmark occurs, whole."""
     blocks = benchmark_blocks(benchmark, block_bytes)
 
-    def clean(state: DataFrame, block: int) -> DataFrame:
-        found = _block(benchmark, block, blocks, width)
-
+    def clean(state: DataFrame, found, block: int) -> DataFrame:
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 free = [not hits(words_of(t), found.value)[0] for t in texts_of(batch)]
@@ -198,4 +216,4 @@ def drop_contaminated(
 
         return state.mapInArrow(keep, state.schema)
 
-    return reduce(clean, range(blocks), docs)
+    return _over_blocks(docs, benchmark, blocks, width, clean)

@@ -8,7 +8,8 @@ document labels: the attention weighs the passages, the weighted sum is the docu
 the output scores it.
 
 The classifier is fitted on a sample of at most ``SAMPLE`` labelled documents, those of the
-smallest hash of ``doc_id`` among the rows that may be learned from. Labels, ``lang``,
+smallest hash of ``doc_id`` among the rows that may be learned from, and of at most ``PASSAGES`` passages together:
+documents that do not fit are left out. Of an id's rows the text of the smallest hash is learned from. Labels, ``lang``,
 ``source`` and ``doc_id`` are no inputs of a score.
 
 Defined results: a null or empty text is one empty passage and gets a score too. A null
@@ -23,13 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import hash_sample, paired, small_hash, texts_of
+from tillroll.llm.common import hash_sample, paired, small_hash, stage_table, text_hash, texts_of
 
 PASSAGE = 1024
 SAMPLE = 4096
+PASSAGES = 1 << 16
+"""Passages of the sample together."""
+
 HIDDEN = 24
 ATTENTION = 12
 EPOCHS = 300
@@ -201,41 +205,65 @@ def learnable(labels: DataFrame, label: str, modulus: int, held: int, sample: in
     return hash_sample(means, ["doc_id"], sample, total)
 
 
-def train(
+def sampled(
     docs: DataFrame,
     labels: DataFrame,
     label: str = "quality",
     modulus: int = 4,
     held: int = 2,
     sample: int = SAMPLE,
-) -> Attention | None:
-    """The classifier; the sample's rows are at most ``sample``, so they are broadcast."""
-    chosen = F.broadcast(learnable(labels, label, modulus, held, sample))
+    passages: int = PASSAGES,
+) -> list[Row]:
+    """``doc_id, label, n, passages`` of the sample: one text of each chosen id, whole documents in
+    the order of their ids' hash as long as they fit in ``passages``.
+
+    What is sent is bounded by that, however many rows an id has and however long a text is.
+    """
+    chosen = F.broadcast(learnable(labels, label, modulus, held, sample))  # at most ``sample`` rows
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [encode(t).astype(np.float32) for t in texts_of(batch)]
+            texts = texts_of(batch)
+            counts = [max(1, -(-len(t) // PASSAGE)) for t in texts]
+            rows = [
+                encode(t).astype(np.float32).tobytes() if n <= passages else b""
+                for t, n in zip(texts, counts, strict=True)
+            ]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(2),
-                    pa.array([len(r) for r in rows], pa.int32()),
-                    pa.array([r.tobytes() for r in rows], pa.binary()),
-                ],
+                [batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(rows, pa.binary())],
                 ["doc_id", "label", "n", "passages"],
             )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = (
-        docs.select("doc_id", "text")
-        .join(chosen, "doc_id")
-        .select("doc_id", "text", "label")
-        .mapInArrow(features, f"doc_id {id_type}, label double, n int, passages binary")
-        .collect()
+    named = docs.select("doc_id", "text").join(chosen, "doc_id")
+    one = named.groupBy("doc_id").agg(
+        F.min_by("text", text_hash()).alias("text"), F.max("label").alias("label")
+    )
+    held_in = stage_table(
+        one.mapInArrow(features, f"doc_id {id_type}, label double, n long, passages binary"), "features"
     )
+    place = F.xxhash64("doc_id").alias("place")
+    left, taken = passages, []
+    for r in sorted(held_in.select(place, "n").collect()):
+        if r["n"] <= left:
+            left -= r["n"]
+            taken.append(r["place"])
+    fits = held_in.where(F.xxhash64("doc_id").isin(taken)) if taken else held_in.limit(0)
+    return sorted(fits.collect(), key=lambda r: r["doc_id"])
+
+
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "quality",
+    modulus: int = 4,
+    held: int = 2,
+    sample: int = SAMPLE,
+) -> Attention | None:
+    """The classifier, fitted on the driver on a sample of bounded size."""
+    rows = sampled(docs, labels, label, modulus, held, sample)
     if not rows:
         return None
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["passages"])))
     held_in = [np.frombuffer(r["passages"], dtype=np.float32).reshape(r["n"], -1) for r in rows]
     first = np.cumsum([0, *[r["n"] for r in rows[:-1]]])
     return fit(np.concatenate(held_in).astype(np.float64), first, np.array([r["label"] for r in rows]))

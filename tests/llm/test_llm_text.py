@@ -110,6 +110,24 @@ def test_contamination_all(spark, sf, docs, rows):
     assert sorted(r["doc_id"] for r in kept.collect()) == clean and kept.columns == docs.columns
 
 
+def test_contamination_of_many_blocks_holds_a_few(spark):
+    """Fifty blocks run with a bounded number of workers in a stage."""
+    items = [(i, f"word{i} and ten more words that stand in item {i} only") for i in range(200)]
+    rows = [(i, f"text {i} " + (items[i][1] if i % 3 else "")) for i in range(60)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    docs = frame(spark, rows).coalesce(1)
+    size = sum(len(t) for _, t in items) // 50
+    assert decontaminate.benchmark_blocks(benchmark, size) >= 50
+    found = decontaminate.contamination(docs, benchmark, block_bytes=size)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.count("MapInArrow") <= decontaminate.RESIDENT
+    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    got = Counter(tuple(r[n] for n in names) for r in decontaminate.digest(found).collect())
+    assert got == Counter(brute.contamination(rows, items))
+    kept = decontaminate.drop_contaminated(docs, benchmark, block_bytes=5 * size)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 60, 3))
+
+
 def test_contamination_small_words(spark):
     rng = random.Random(2)
     vocabulary = ["a", "b", "c", "É", "x1"]
@@ -354,6 +372,24 @@ def test_quality_learns_from_all_usable_labels(spark):
     assert {r["doc_id"] for r in found} == exact
 
 
+def test_quality_sample_is_bounded(spark):
+    """An id with very many rows, and texts that do not fit, send no more than the bound."""
+    labels = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
+    text = F.concat(F.lit("word "), "id")
+    hot = spark.range(100_000).select(F.lit(3).cast("long").alias("doc_id"), text.alias("text"))
+    rest = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(text, 400).alias("text"))
+    docs = hot.union(rest)
+    usable = labels.where(quality.remainder(4) != 2).count()
+    rows = quality.sampled(docs, labels)
+    assert len(rows) == usable and len({r["doc_id"] for r in rows}) == usable
+    for bound in (1, 10, 30):
+        few = quality.sampled(docs, labels, passages=bound)
+        assert sum(r["n"] for r in few) <= bound
+        assert all(len(r["passages"]) == 4 * r["n"] * quality.FEATURES for r in few)
+    large = quality.sampled(docs.where("doc_id = 5").withColumn("text", F.repeat("text", 100)), labels, passages=5)
+    assert large == []
+
+
 def test_quality_gradients():
     rng = np.random.default_rng(0)
     passages, first = rng.normal(size=(9, quality.FEATURES)), np.array([0, 2, 5])

@@ -1,17 +1,17 @@
 """Licence scan by a positional index of rare words, in native expressions only.
 
 Templates are short licence texts, each with the label it proves and the key
-phrases it must hold. Every template is indexed under its rarest words, by
+phrases it must hold. Every key phrase is indexed under its rarest words, by
 their inverse document frequency over the whole corpus, with the words' places in it. A
 file's words that are in the index are looked up with their places; the
-postings of one template meet where file place less template place is the same for
-each of its rare words. There the key phrases are verified word by
+postings of one phrase meet where file place less phrase place is the same for
+each of its rare words. There the phrase is verified word by
 word.
 
 A base template is its own key phrase, so it is found at exactly the places where
-its words stand consecutively. A longer template allows other words
-between its key phrases, which is what the rest of its words are for: its score is the
-part of them that stands where the template has them.
+its words stand consecutively. A longer template stands where its first phrase does, if each other one begins
+at most ``SLACK`` words from where the template has it; the words between them may be
+others. Its score is the part of the template, by the words' rarity, that stands in place, phrase by phrase.
 
 Defined results: a null or empty text has no words, no place, no label and
 score 0. Rows are scored one by one, so repeated rows repeat.
@@ -84,7 +84,10 @@ NOTICES = (
 )
 
 RARE = 3
-"""Index words per template."""
+"""Index words per key phrase."""
+
+SLACK = 8
+"""Words more or less that may stand between two key phrases."""
 
 
 def words_of(text: Column) -> Column:
@@ -109,55 +112,68 @@ def document_frequency(docs: DataFrame, templates: tuple[Template, ...]) -> dict
 
 def rare_words(
     templates: tuple[Template, ...], frequency: dict[str, int], total: int, rare: int = RARE
-) -> tuple[dict[str, float], dict[Template, list[str]]]:
-    """Every template word's IDF, and per template its words of highest IDF."""
+) -> tuple[dict[str, float], dict[Template, list[list[str]]]]:
+    """Every template word's IDF, and per key phrase its words of highest IDF."""
     idf = {
         w: math.log((total + 1) / (frequency.get(w, 0) + 1)) + 1.0
         for t in templates
         for w in t.words
     }
-    # a word is indexed at one place of its template, so it stands there once
-    once = {t: sorted(w for w in set(t.words) if t.words.count(w) == 1) for t in templates}
-    chosen = {t: sorted(once[t], key=lambda w: (-idf[w], w))[:rare] for t in templates}
-    return idf, chosen
 
+    def chosen(phrase: list[str]) -> list[str]:
+        # a word is indexed at one place of its phrase, so it stands there once
+        once = [w for w in set(phrase) if phrase.count(w) == 1]
+        return sorted(once, key=lambda w: (-idf[w], w))[:rare]
+
+    return idf, {t: [chosen(phrase) for _, phrase in t.phrases] for t in templates}
 
-def _starts(hits: Column, template: Template, rare: list[str]) -> Column:
-    """Where the template's rare words agree on a start, from a file's hits."""
+
+def _phrase_starts(words: Column, hits: Column, phrase: list[str], rare: list[str]) -> Column:
+    """Where a phrase's rare words agree on a start, from a file's hits, and the phrase stands."""
 
     def posting(word: str) -> Column:
-        place = template.words.index(word)
+        place = phrase.index(word)
         own = F.filter(hits, lambda h: h["word"] == F.lit(word))
         return F.transform(own, lambda h: h["pos"] - F.lit(place))
 
-    return reduce(F.array_intersect, map(posting, rare))
+    def stands(start: Column) -> Column:
+        held = F.slice(words, F.greatest(start, F.lit(0)) + 1, F.lit(len(phrase)))
+        return (start >= 0) & (held == F.array(*map(F.lit, phrase)))
 
+    return F.filter(reduce(F.array_intersect, map(posting, rare)), stands)
 
-def _verified(words: Column, starts: Column, template: Template) -> Column:
-    """The starts at which every key phrase stands in its place."""
 
-    def holds(start: Column) -> Column:
-        tests = [
-            (start + F.lit(place) >= 0)
-            & (
-                F.slice(words, F.greatest(start + F.lit(place), F.lit(0)) + 1, F.lit(len(phrase)))
-                == F.array(*map(F.lit, phrase))
-            )
-            for place, phrase in template.phrases
-        ]
-        return reduce(Column.__and__, tests)
+def _starts(words: Column, hits: Column, template: Template, rare: list[list[str]]) -> Column:
+    """``start`` of the first phrase, and in ``others`` those of the other phrases that belong to it."""
+    found = [
+        _phrase_starts(words, hits, phrase, own)
+        for (_, phrase), own in zip(template.phrases, rare, strict=True)
+    ]
+    first, *others = found
+    behind = [place - template.phrases[0][0] for place, _ in template.phrases[1:]]
 
-    return F.filter(starts, holds)
+    def near(starts: Column, wanted: Column) -> Column:
+        return F.array_min(F.filter(starts, lambda x: F.abs(x - wanted) <= SLACK))
 
+    def with_place(start: Column) -> Column:
+        held = [near(b, start + F.lit(d)) for b, d in zip(others, behind, strict=True)]
+        return F.struct(start.alias("start"), F.array(*held).cast("array<int>").alias("others"))
 
-def _coverage(words: Column, start: Column, template: Template, idf: dict[str, float]) -> Column:
-    """The template's part, by IDF, whose words stand in their places."""
+    with_others = F.transform(first, with_place)
+    return F.filter(with_others, lambda s: ~F.exists(s["others"], lambda o: o.isNull()))
+
+
+def _coverage(words: Column, found: Column, template: Template, idf: dict[str, float]) -> Column:
+    """The template's part, by IDF, whose words stand in place behind the start of the phrase before them."""
     whole = sum(idf[w] for w in template.words)
-    held = [
-        F.when(F.try_element_at(words, start + F.lit(p + 1)) == F.lit(w), F.lit(idf[w] / whole))
-        .otherwise(F.lit(0.0))
-        for p, w in enumerate(template.words)
-    ]
+    places = [place for place, _ in template.phrases]
+    held = []
+    for p, w in enumerate(template.words):
+        k = max(0, sum(place <= p for place in places) - 1)
+        start = found["start"] if k == 0 else found["others"][k - 1]
+        at = start + F.lit(p - places[k] + 1)
+        stands = F.when(at > 0, F.try_element_at(words, at)) == F.lit(w)
+        held.append(F.when(stands, F.lit(idf[w] / whole)).otherwise(F.lit(0.0)))
     return F.least(reduce(Column.__add__, held), F.lit(1.0))
 
 
@@ -175,8 +191,8 @@ def license_scan(
     templates = (*base, *notices)
     frequency = document_frequency(docs, templates)
     idf, chosen = rare_words(templates, frequency, docs.count(), rare)
-    index = sorted({w for words in chosen.values() for w in words})
-    rarest = F.array(*[F.lit(w) for w in sorted({words[0] for words in chosen.values()})])
+    index = sorted({w for phrases in chosen.values() for words in phrases for w in words})
+    rarest = F.array(*[F.lit(w) for w in sorted({phrases[0][0] for phrases in chosen.values()})])
     indexed = F.array(*map(F.lit, index))
     words = F.col("words")
     placed = F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
@@ -188,14 +204,14 @@ def license_scan(
             "doc_id",
             "words",
             *[
-                _verified(words, _starts(F.col("hits"), t, chosen[t]), t).alias(f"t{i}")
+                _starts(words, F.col("hits"), t, chosen[t]).alias(f"t{i}")
                 for i, t in enumerate(templates)
             ],
         )
     )
-    none = F.array().cast("array<int>")
+    none = F.array().cast("array<struct<start:int,others:array<int>>>")
     at = [F.coalesce(F.col(f"t{i}"), none) for i in range(len(templates))]
-    base_at = F.concat(*at[: len(base)])
+    base_at = F.concat(*at[: len(base)])["start"]
 
     def labels(chosen_at: list[Column], own: tuple[Template, ...]) -> Column:
         names = [F.when(F.size(a) > 0, F.lit(t.label)) for a, t in zip(chosen_at, own, strict=True)]
@@ -204,7 +220,7 @@ def license_scan(
     def best(starts: Column, template: Template) -> Column:
         if not template.keys:  # found, it stands there word by word
             return F.when(F.size(starts) > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-        scores = F.transform(starts, lambda start: _coverage(words, start, template, idf))
+        scores = F.transform(starts, lambda found: _coverage(words, found, template, idf))
         return F.coalesce(F.array_max(scores), F.lit(0.0))
 
     return found.select(

@@ -69,6 +69,22 @@ def licences(rows, phrases):
     return out
 
 
+def licence_labels(text, templates, slack):
+    """Labels of all templates whose phrases stand near enough to their places."""
+    held, found = words(text), set()
+
+    def places(phrase):
+        return [p for p in range(len(held) - len(phrase) + 1) if held[p : p + len(phrase)] == phrase]
+
+    for label, phrases in templates:
+        (first, phrase), *others = phrases
+        for start in places(phrase):
+            wanted = [(start + place - first, other) for place, other in others]
+            if all(any(abs(p - at) <= slack for p in places(other)) for at, other in wanted):
+                found.add(label)
+    return ",".join(sorted(found))
+
+
 def contamination(rows, items, width=10):
     windows = defaultdict(set)
     for item, text in items:

@@ -81,10 +81,34 @@ def test_licences_of_longer_templates(spark):
     ]
     found = {r["doc_id"]: r for r in license_scan.license_scan(frame(spark, rows)).collect()}
     assert found[1]["labels"] == "bsd" and found[1]["score"] == pytest.approx(1)
+    assert found[2]["labels"] == "bsd" and 0.5 < found[2]["score"] < 1
     assert found[3]["labels"] == "" and found[3]["score"] == 0
     assert found[4]["labels"] == "gpl,mit" and found[4]["base_labels"] == "mit"
 
 
+def test_licence_labels_against_brute_force(spark, docs, rows):
+    """Phrases with more, fewer and other words between them, in and out of order, and the documents."""
+    rng = random.Random(6)
+    templates = [(t.label, [(p, w) for p, w in t.phrases]) for t in (*license_scan.BASE, *license_scan.NOTICES)]
+    made = []
+    for k in range(150):
+        words = rng.choices(["the", "of", "software", "license", "permission"], k=rng.randint(0, 12))
+        for t in rng.choices((*license_scan.BASE, *license_scan.NOTICES), k=2):
+            text = t.words
+            for _ in range(rng.randint(0, 12)):
+                at = rng.randrange(len(text))
+                text = rng.choice([text[:at] + text[at + 1 :], text[:at] + ["x"] + text[at:]]) or ["x"]
+            words = words + text + rng.choices(["and", "mit"], k=rng.randint(0, 3))
+        made.append((10_000 + k, " ".join(words).title()))
+    for t in license_scan.NOTICES:
+        if t.keys:
+            made += [(20_000 + n, f"{t.keys[0]} {'other ' * n} {t.keys[1]}") for n in range(0, 40, 3)]
+            made.append((30_000, f"{t.keys[1]} then {t.keys[0]}"))
+    for some, df in ((made, frame(spark, made)), (rows, docs)):
+        got = Counter((r["doc_id"], r["labels"]) for r in license_scan.license_scan(df).collect())
+        assert got == Counter((d, brute.licence_labels(text, templates, license_scan.SLACK)) for d, text in some)
+
+
 def test_licences_without_python(docs):
     plan = license_scan.license_scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -27,7 +27,7 @@ def _lines(text: Column) -> Column:
 
 
 def line_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``doc_id, version, pos, w1, w2``: the 128-bit hash of every window."""
+    """``doc_id, version, pos, w1, w2``: two hashes of every window, of its lines' 64-bit hashes."""
     hashes = F.transform(_lines(body()), lambda line: F.xxhash64(line))
     starts = F.sequence(F.lit(0), F.size("hashes") - F.lit(width))
     lines = docs.select("doc_id", text_hash().alias("version"), hashes.alias("hashes"))

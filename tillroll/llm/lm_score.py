@@ -30,7 +30,6 @@ are 0 and all odds are even.
 from __future__ import annotations
 
 import math
-import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -373,16 +372,14 @@ class Model:
         return (np.logaddexp(total[:, 0], total[:, 1]) - math.log(2)) / math.log(10)
 
 
-_sums: dict[str, list[np.ndarray]] = {}
-
-
-def _sums_of(shared) -> list[np.ndarray]:
-    """The counts summed along the symbols; made once per worker process."""
-    name, counts = shared.value
-    if name not in _sums:
-        _sums.clear()
-        _sums[name] = [np.pad(np.cumsum(c, axis=1, dtype=np.float64), ((0, 0), (1, 0))) for c in counts]
-    return _sums[name]
+def _sums(counts: np.ndarray) -> np.ndarray:
+    """Counts summed along the symbols, in four bytes each while they fit."""
+    total = counts.sum(axis=1, dtype=np.float64).max(initial=0)
+    kind = np.uint32 if total < 1 << 32 else np.float64
+    out = np.zeros((len(counts), 257), dtype=kind)
+    for low in range(0, len(counts), 4096):
+        out[low : low + 4096, 1:] = np.cumsum(counts[low : low + 4096], axis=1, dtype=np.float64)
+    return out
 
 
 def _over_blocks(batches: Iterator[pa.RecordBatch], step) -> None:
@@ -397,7 +394,7 @@ def _refined(rows: DataFrame, shared, bits_of: dict[int, int], mixers: list[Mixe
     """Each mixer's weights behind one round over all 5-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refiner = Refiner(_sums_of(shared), bits_of, mixers)
+        refiner = Refiner(shared.value, bits_of, mixers)
         _over_blocks(batches, refiner.refine)
         for k, mixer in enumerate(refiner.mixers):
             seen = np.repeat(refiner.seen[k], len(ORDERS))
@@ -419,7 +416,7 @@ def _tallied(rows: DataFrame, shared, bits_of: dict[int, int], mixers: list[Mixe
     """Each mixer's adaptive table from all 5-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refiner = Refiner(_sums_of(shared), bits_of, mixers)
+        refiner = Refiner(shared.value, bits_of, mixers)
         _over_blocks(batches, refiner.tally)
         for k, (met, ones) in enumerate(refiner.tables):
             place = np.flatnonzero(met)
@@ -441,7 +438,8 @@ def fit(counted: DataFrame) -> Model:
     bits_of = context_bits(rows.count())
     counts = context_counts(rows, bits_of)
     model = Model(counts, bits_of)
-    shared = counted.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, counts))
+    shared = counted.sparkSession.sparkContext.broadcast([_sums(c) for c in counts])
+    del counts
     for _ in range(ROUNDS):
         refined = _refined(rows, shared, bits_of, model.mixers)
         for mixer, weights in zip(model.mixers, refined, strict=True):

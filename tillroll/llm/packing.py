@@ -33,7 +33,7 @@ from tillroll.llm.token_count import encoder, vocabulary_path
 CAPACITY = 1024
 END_ID = 2
 PIECE = ("doc_id", "piece", "start", "length", "ids_crc32")
-GROUP = 16_384
+GROUP = 32_768
 """Pieces packed together in one task, on average."""
 
 REOPENED = 8

@@ -145,3 +145,21 @@ def test_numbering_joins_one_row_per_slice(spark):
     df = number_rows(spark.range(1000), ["id"], "n")
     plan = plan_text(df)
     assert "BroadcastHashJoin [_slice" in plan
+
+
+def test_documents_are_shuffled_once(spark, sf):
+    """Lines are gathered behind their shuffle, in one step, and the documents stay where they are."""
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, -1)
+    try:
+        plan = plan_text(b._build_raw(spark, sf)).splitlines()
+    finally:
+        spark.conf.set(threshold, before)
+    depth = [len(re.match(r"[ :+*|-]*", line)[0]) for line in plan]
+    gathers = [k for k, line in enumerate(plan) if "ObjectHashAggregate" in line]
+    assert len(gathers) == 2
+    first, second = gathers
+    assert not any("Exchange" in line for line in plan[first:second])
+    above = [k for k in range(first) if all(depth[k] < depth[j] for j in range(k + 1, first + 1))]
+    assert not any("Exchange" in plan[k] for k in above)

@@ -238,3 +238,18 @@ def test_items_that_come_after_their_orders(spark, tmp_path):
     periods.apply_batch(none, items.where("product_id >= 6"), state, "items", known=orders)
     periods.apply_batch(none, items.limit(0), state, "nothing")
     assert all_rows(periods.reports(spark, state, customers, products)) == full(orders, items, customers, products)
+
+
+def test_sums_by_month_hold_no_order(spark):
+    """No aggregation by order and product, which would keep the items themselves in memory."""
+    orders = spark.createDataFrame(
+        [(1, 5, dt.datetime(2024, 2, 1), D("9.00"))],
+        "order_id bigint, customer_id bigint, order_date timestamp_ntz, total_price decimal(10,2)",
+    )
+    lines = [(1, 7, 2, D("1.50")), (1, 7, 3, D("2.00")), (1, 8, 1, D("4.00")), (9, 7, 1, D("0.25")), (None, 7, 1, None)]
+    items = spark.createDataFrame(lines, "order_id bigint, product_id bigint, quantity bigint, price decimal(10,2)")
+    sold = periods.monthly_sums(orders, items)["sold"]
+    held = sorted((x.month, x.product_id, x.units, x.revenue) for x in sold.collect())
+    assert held == [("2024-02", 7, 5, D("9")), ("2024-02", 8, 1, D("4")), ("undated", 7, 2, D("0.25"))]
+    plan = sold._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [order_id" not in plan

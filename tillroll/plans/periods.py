@@ -51,17 +51,17 @@ def monthly_sums(orders: DataFrame, items: DataFrame, known: DataFrame | None =
     months = (orders if known is None else known).select(
         "order_id", F.coalesce(month_key("order_date"), F.lit(UNDATED)).alias(MONTH)
     )
-    # summed per order and product before the join, so no hot product meets it row by row
-    lines = items.groupBy("order_id", "product_id").agg(
-        F.sum("quantity").alias("units"), F.sum(F.col("quantity") * F.col("price")).cast(WIDE).alias("revenue")
-    )
-    sold = lines.join(months, "order_id", "left").withColumn(MONTH, F.coalesce(MONTH, F.lit(UNDATED)))
+    # an order's products hardly repeat, so sums per order and product would hold the items themselves in
+    # memory; adaptive execution splits a hot order
+    sold = items.join(months, "order_id", "left").withColumn(MONTH, F.coalesce(MONTH, F.lit(UNDATED)))
     return {
         "days": dated.groupBy(MONTH, day_key("order_date").alias("order_date")).agg(
             F.count("*").alias("orders"), F.sum(price).cast(WIDE).alias("total_sales")
         ),
         "buyers": dated.groupBy(MONTH, "customer_id").agg(F.sum(price).cast(WIDE).alias("revenue")),
-        "sold": _merged(sold.select(MONTH, "product_id", "units", "revenue"), "sold"),
+        "sold": sold.groupBy(MONTH, "product_id").agg(
+            F.sum("quantity").alias("units"), F.sum(F.col("quantity") * F.col("price")).cast(WIDE).alias("revenue")
+        ),
     }
 
 

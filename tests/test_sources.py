@@ -219,3 +219,13 @@ def test_staging_is_cleared_at_the_end_of_a_job(spark, tmp_path, monkeypatch):
     assert not (tmp_path / "app").exists()
     assert table(spark, str(tmp_path / "out")).count() == 10
     assert build_session() is not None
+
+
+def test_csv_files_hold_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
+    """A file whose cells may hold line breaks is one task; its rows keep their order over the files."""
+    monkeypatch.setattr("tillroll.sources.sinks.CSV_ROWS", 4)
+    cells = [F.col("id").cast("string").alias(c) for c in EXPORT_COLUMNS]
+    write_csv(spark.range(10, numPartitions=1).select(*cells), str(tmp_path))
+    assert len([f for f in os.listdir(tmp_path) if f.endswith(".csv")]) == 3
+    held = [x["order_id"] for x in read_export(spark, str(tmp_path)).orderBy("seq").collect()]
+    assert held == [str(k) for k in range(10)]

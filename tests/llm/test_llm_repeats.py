@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -150,6 +151,23 @@ def test_curve_text_ids_and_empty_table(spark):
     packed_right(curve_packing.curve_pack(frame(spark, [("x", "a b"), ("y", None)], "string")), [("x", "a b"), ("y", None)])
 
 
+def test_a_short_document_is_projected_in_its_own_size():
+    """The same numbers as by counting in all dimensions, which a short document does not fill."""
+    rnd = np.random.default_rng(1)
+    curve_packing.projection()
+    for size in (1, 2, 300, curve_packing.FEATURES - 1, curve_packing.FEATURES, 100_000):
+        ids = rnd.integers(0, 900, size).astype("<u2")
+        hashed = (ids.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - curve_packing.FEATURE_BITS)
+        times = np.bincount(hashed, minlength=curve_packing.FEATURES)
+        counted = np.sqrt(times / size) @ curve_packing.projection()
+        assert np.allclose(curve_packing.project(ids), counted)
+    tracemalloc.start()
+    curve_packing.project(ids[:300])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < curve_packing.FEATURES
+
+
 def test_hilbert_steps_to_neighbours():
     for axes, bits in ((2, 4), (3, 3), (4, 2)):
         cells = np.array(list(itertools.product(range(1 << bits), repeat=axes)))

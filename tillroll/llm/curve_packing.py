@@ -199,11 +199,21 @@ def projection() -> np.ndarray:
 
 
 def project(ids: np.ndarray) -> np.ndarray:
-    """The projection of the hashed vector of one document's ids, which are not empty."""
+    """The projection of the hashed vector of one document's ids, which are not empty.
+
+    A document of fewer ids than there are dimensions has them sorted, so that its cost is its length.
+    """
     mixed = ids.astype(np.uint32) * np.uint32(0x9E3779B1)
-    times = np.bincount(mixed >> np.uint32(32 - FEATURE_BITS), minlength=FEATURES)
-    held = np.flatnonzero(times)
-    return np.sqrt(times[held] / len(ids)) @ projection()[held]
+    hashed = (mixed >> np.uint32(32 - FEATURE_BITS)).astype(np.uint16)
+    if len(ids) < FEATURES:
+        hashed.sort(kind="stable")
+        ends = np.flatnonzero(np.r_[hashed[1:] != hashed[:-1], True])
+        held, times = hashed[ends], np.diff(ends, prepend=-1)
+    else:
+        counts = np.bincount(hashed, minlength=FEATURES)
+        held = np.flatnonzero(counts)
+        times = counts[held]
+    return np.sqrt(times / len(ids)) @ projection()[held]
 
 
 def hilbert(cells: np.ndarray, bits: int = GRID_BITS) -> np.ndarray:

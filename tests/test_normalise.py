@@ -180,6 +180,35 @@ def test_both_ways_of_parsing_agree(spark):
         assert r.whole == r.each or r.t == '"[1]"', r.t
 
 
+def test_fields_read_at_once_are_those_of_the_elements(spark, duplicate_keys):
+    """Values, presence and texts from one cast, as element by element, for keys given twice too."""
+    twice = '{"product_id": 8, "quantity": "x", "price": "$2.50", "quantity": null, "note": "a \\"b\\""}'
+    ends = ["5", "null", "[1]", '"t"', "{}", '{"price": 1.50}', '{"product_id": {"n": 1, "n": 2}}', '{"z": {"q": 1, "q": 2}}', "NaN", "01"]
+    texts = ["[]", "null", "not json", f"[{twice}] end", f"[{twice}],[]", f'[{twice}],"x":1', f"[[{twice}]]"]
+    texts += [f"[{first}, {end}]" for first in (twice, json.dumps(item(1, name=None))) for end in ends]
+    keys = n.ITEM_KEYS
+    elements = parse_items("t", True)
+
+    def cells(value, has):
+        return F.struct(*[x for k in keys for x in (value(k), has(k))])
+
+    at_once = nested.parse_fields(
+        "t", n.ITEM_TYPES, lambda e, has: cells(lambda k: e[k], has), keys, True, lambda e: F.lit(True)
+    )
+    one_by_one = F.transform(
+        elements, lambda i: cells(lambda k: nested.get_item(i, k, n.ITEM_TYPES[k]), lambda k: nested.has_key(i, k))
+    )
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t",
+        at_once["items"].cast("string").alias("items"),
+        at_once["texts"].alias("texts"),
+        one_by_one.cast("string").alias("want"),
+        F.transform(elements, lambda e: e.cast("string")).alias("want_texts"),
+    )
+    for r in df.collect():
+        assert r["items"] == r.want and (r.texts or []) == (r.want_texts or []), r.t
+
+
 def test_a_document_beyond_a_variant_is_read_whole(spark):
     items = [item(i, name="x" * 2000) for i in range(20_000)]  # 40 MB
     df = spark.createDataFrame([("7", json.dumps(items))], "order_id string, t string")

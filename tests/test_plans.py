@@ -48,6 +48,15 @@ def test_the_text_is_parsed_once(spark, sf):
         assert optimized_text(df).lower().count("parsejson(") == 1
 
 
+def test_elements_are_cast_in_one_pass(spark, sf):
+    # a document's own parse makes no VARIANT for each of its elements
+    raw = b.raw_export(spark, sf)
+    for df in (n.build_order_items(raw), n.build_products(raw), n.rejects(raw), n.build_flat_items(raw)):
+        plan = optimized_text(df)
+        assert "$[0], ArrayType(StructType(StructField(product_id," in plan
+        assert "$[0], ArrayType(VariantType" not in plan
+
+
 def test_the_array_is_not_carried_behind_the_explode(spark, sf):
     plan = plan_text(n.parse_export(b.raw_export(spark, sf)))
     generate = re.search(r"Generate posexplode\(.*?\), \[(.*?)\], false", plan)

@@ -11,10 +11,11 @@ from collections import Counter, defaultdict
 import brute
 import numpy as np
 import pytest
+from plans import plan_text
 from tokenizers import Tokenizer
 
 from tillroll.llm import curve_packing, periodic_runs, queries, spelling
-from tillroll.llm.common import scan
+from tillroll.llm.common import scan, stage_table
 
 SCHEMA = "doc_id long, text string"
 CLASHING = ["1 AS number", "2 AS slice", "3 AS key", "4 AS ids", "5 AS size", "6 AS word", "7 AS n", "8 AS runs"]
@@ -251,6 +252,22 @@ def test_spelling_forms_and_roots(spark):
     assert got["zzzzzz"] == (5, 0, None, None, "zzzzzz")
 
 
+def test_spelling_shuffled_levels(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(spelling, "SENT", 0)
+    assert found_variants(spelling.spelling_variants(docs, modulus=199)) == brute.variants(brute.vocabulary(rows))
+
+
+def test_spelling_sends_nothing_by_the_size_of_files(spark):
+    """A few words' files are small, but not the rows that an explode makes of them."""
+    held = spark.createDataFrame([("a" * 60 + chr(97 + k), 5) for k in range(26)], "word string, n long")
+    words = stage_table(held, "few-words")
+    edges = stage_table(spelling.trie(words, 1), "few-edges")
+    spread = spelling.first_states(words, edges)
+    assert "BroadcastHashJoin" not in plan_text(spread, run=True) and spread.count() == 25 * 26 / 2
+    pairs = spelling.neighbours(words)
+    assert "BroadcastHashJoin" not in plan_text(pairs, run=True) and pairs.count() == 25 * 26
+
+
 def test_spelling_empty_table(spark):
     assert spelling.spelling_variants(frame(spark, [])).count() == 0
 

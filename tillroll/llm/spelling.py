@@ -20,6 +20,9 @@ are tried in the second half only, forwards and backwards: the first nodes, thro
 pass, are never joined. Words of over ``DEPTH`` letters, whose levels would be as many joins, meet by the hashes of what is left
 after deleting one letter, and are compared.
 
+No join is left to Spark's estimate of a side: that is of the files, in which words that repeat take next to nothing, and an
+explode does not raise it. A level's states are sent to all tasks up to ``SENT`` rows; else both sides are shuffled.
+
 Defined results: a null or empty text has no words. A null ``doc_id`` has no checksum, so none of its
 runs loses a letter. Repeated rows count repeatedly. Without words there are no rows.
 """
@@ -44,6 +47,8 @@ MODULUS = 199
 
 DEPTH = 65
 FLUSH = 1 << 18
+SENT = 1 << 16
+"""States sent to all tasks at most; they are of words of ``DEPTH`` letters, so some 20 MB."""
 LETTERS = re.compile("[a-zÀ-ÿ]+")
 PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
 BASE = 1_000_003
@@ -163,7 +168,8 @@ def first_states(words: DataFrame, edges: DataFrame) -> DataFrame:
     other = F.when((read != "") & (F.col("letter") > read), F.expr("substring(rest, 2)"))
     more = F.when(F.col("letter") != read, F.col("rest"))  # behind equal letters, not before them
     return (
-        own.join(edges.drop("below"), "node")
+        own.hint("merge")
+        .join(edges.drop("below"), "node")
         .select("word", F.col("child").alias("node"), "mask", F.explode(F.array(other, more)).alias("rest"))
         .where(F.col("rest").isNotNull() & _possible())
         .select("word", "rest", "node")
@@ -185,12 +191,13 @@ def neighbours(words: DataFrame, depth: int = DEPTH) -> DataFrame:
     rounds = Rounds(words.sparkSession, "states")
     states = rounds.stage(first_states(short, edges))
     found = []
-    while not states.isEmpty():
-        done = states.where("rest = ''").join(ends, "node").select("word", "other")
+    while n := states.count():
+        how = "broadcast" if n <= SENT else "merge"
+        done = states.where("rest = ''").hint(how).join(ends, "node").select("word", "other")
         found.append(stage_table(done.where(F.levenshtein("word", "other") == 1), "pairs"))
         letter = F.substring("rest", 1, 1).alias("letter")
         moved = states.where("rest != ''").select("word", "node", letter, F.expr("substring(rest, 2)").alias("rest"))
-        step = moved.join(edges.drop("below"), ["node", "letter"]).where(_possible())
+        step = moved.hint(how).join(edges.drop("below"), ["node", "letter"]).where(_possible())
         states = rounds.stage(step.select("word", "rest", F.col("child").alias("node")))
     rounds.clear()
     if size[1] > depth:
@@ -202,7 +209,8 @@ def neighbours(words: DataFrame, depth: int = DEPTH) -> DataFrame:
     pairs = pairs.select(least.alias("word"), greatest.alias("other")).distinct()
     both = pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("word").alias("other")))
     known = words.select(F.col("word").alias("other"), F.col("n").alias("other_n"))
-    return both.join(known, "other").join(words, "word").select("word", "n", "other", "other_n")
+    named = both.join(known.hint("merge"), "other").join(words.hint("merge"), "word")
+    return named.select("word", "n", "other", "other_n")
 
 
 # --- long words -------------------------------------------------------------
@@ -239,11 +247,12 @@ def long_neighbours(words: DataFrame) -> DataFrame:
                 )
 
     keys = stage_table(named.mapInArrow(keyed, "key long, id long"), "deletions")
-    met = keys.join(keys.select("key", F.col("id").alias("other_id")), "key")
+    met = keys.hint("merge").join(keys.select("key", F.col("id").alias("other_id")), "key")
     pairs = met.where("id < other_id").select("id", "other_id").distinct()
     others = named.select(F.col("id").alias("other_id"), F.col("word").alias("other"))
     apart = F.udf(lambda a, b: one_edit(a, b), "boolean")("word", "other")
-    return pairs.join(named, "id").join(others, "other_id").where(apart).select("word", "other")
+    met = pairs.join(named.hint("merge"), "id").join(others.hint("merge"), "other_id")
+    return met.where(apart).select("word", "other")
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -281,7 +290,7 @@ def spelling_variants(
     )
     held = stage_table(held, "forms")
     roots = held.where("form IS NOT NULL").select("word", F.col("form").alias("root"))
-    return held.join(followed(roots), "word", "left").select(
+    return held.join(followed(roots).hint("merge"), "word", "left").select(
         "word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root")
     )
 
@@ -291,7 +300,7 @@ def followed(roots: DataFrame) -> DataFrame:
     rounds = Rounds(roots.sparkSession, "roots")
     while True:
         above = roots.select(F.col("word").alias("root"), F.col("root").alias("above"))
-        held = rounds.stage(roots.join(above, "root", "left").select("word", "root", "above"))
+        held = rounds.stage(roots.join(above.hint("merge"), "root", "left").select("word", "root", "above"))
         roots = held.select("word", F.coalesce("above", "root").alias("root"))
         if held.where("above IS NOT NULL").isEmpty():
             return roots

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import json
+import os
 from decimal import Decimal
 
 import pytest
@@ -13,10 +14,13 @@ from plans import optimized_text, plan_text
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from query_set import bindings
+from query_set import normalise as queries
 from tillroll.functions import nested, parse_items, repair_json, valid_prefix
 from tillroll.plans import normalise as n
 from tillroll.schemas import EXPORT_COLUMNS
-from tillroll.session import shared_dir, staged
+from tillroll.session import fresh_path, shared_dir, staged, staging_dir
+from tillroll.sources import file_batches
 
 SCHEMA = ", ".join(f"`{c}` string" for c in EXPORT_COLUMNS) + ", seq bigint"
 
@@ -452,3 +456,34 @@ def test_normalise_writes_the_four_tables(spark, tmp_path):
             "products": 2,
             "rejects": 3,
         }
+
+
+def test_files_in_batches(spark):
+    path = fresh_path(spark, "files")
+    for k in (10, 1000, 100_000):
+        spark.range(k).coalesce(1).write.mode("append").parquet(path)
+    files = {os.path.basename(f): os.path.getsize(f) for f in glob.glob(f"{path}/*.parquet")}
+    for size in (1, sum(sorted(files.values())[:2]), 1 << 30):
+        batches = [[os.path.basename(f) for f in batch] for batch in file_batches(spark, path, size)]
+        assert sorted(sum(batches, [])) == sorted(files) and all(batches)
+        assert all(len(x) == 1 or sum(files[f] for f in x) <= size for x in batches)
+    assert len(batches) == 1 and len(file_batches(spark, path, 1)) == 3
+
+
+def test_text_of_a_large_export_is_written_in_batches(spark, monkeypatch):
+    """An order in several files counts once with all its elements; two batches at most are text at a time."""
+    path, there = fresh_path(spark, "export"), []
+    texts = [json.dumps([item(1), item(2, quantity=3)]), wrapped([item(3), item(4, price="oops")]), "no json"]
+    rows = [{"order_id": order, "products": text} for order in ("7", "8", None) for text in texts]
+    for part in ([], rows[0::2], rows[1::2], rows[:1]):
+        export(spark, *part).coalesce(1).write.mode("append").parquet(path)
+    monkeypatch.setitem(bindings._written, (spark.sparkContext.applicationId, "toy", "export"), (path, path))
+    text = lambda: glob.glob(f"{staging_dir(spark).removeprefix('file:')}/csv-lines-*")
+    before, write = text(), queries.write_csv
+    monkeypatch.setattr(queries, "write_csv", lambda df, to: (write(df, to), there.append(len(text()) - len(before))))
+    for size, batches in ((1, 4), (1 << 30, 1)):
+        monkeypatch.setattr(queries, "BATCH", size)
+        there.clear()
+        got = {tuple(r) for r in queries.csv_split_elements(spark, "toy").collect()}
+        assert got == {(7, 5, 9, 12.5), (8, 3, 5, 7.5), (None, 3, 5, 7.5)}
+        assert len(there) == batches and max(there) <= 2 and text() == before
